@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfiles, packing
+from . import idfiles, packing, pii
 from .common import table
 
 
@@ -18,9 +18,13 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_token_id_files)
+    for f in (op1_best_fit_packing, op3_token_id_files, op9_pii_spans)
 }
 
 ORACLE_SQL: dict[str, str] = {}
