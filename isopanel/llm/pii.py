@@ -175,13 +175,18 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
 
 
 def mask(text: str) -> str:
-    """text with every span's kind in its place; overlapping spans become one, named by the first."""
-    out, low = [], 0
-    for s in find(text):
-        if s.start >= low:
-            out += [text[low : s.start], f"<{s.kind}>"]
-        low = max(low, s.end)
-    return "".join([*out, text[low:]])
+    """text with every span's kind in its place, until none is left: taking one away can complete another.
+
+    Overlapping spans become one, named by the first. Each round takes away digits or an @ that never come back.
+    """
+    while spans := find(text):
+        out, low = [], 0
+        for s in spans:
+            if s.start >= low:
+                out += [text[low : s.start], f"<{s.kind}>"]
+            low = max(low, s.end)
+        text = "".join([*out, text[low:]])
+    return text
 
 
 def redact(docs: DataFrame) -> DataFrame:
