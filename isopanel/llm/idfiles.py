@@ -54,7 +54,7 @@ class Writer:
     def __init__(self, path: str, vocabulary_size: int, block: int = BLOCK):
         where, at = fs.FileSystem.from_uri(path)
         where.create_dir(at.rpartition("/")[0], recursive=True)
-        self.out = where.open_output_stream(at)
+        self.out = where.open_output_stream(at, compression=None)
         self.width, self.block = max(1, (vocabulary_size - 1).bit_length()), block
         self.out.write(MAGIC + np.array([self.width, block], "<u4").tobytes())
         self.offsets, self.docs, self.starts = [self.out.tell()], [], [0]
