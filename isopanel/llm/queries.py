@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfiles, maxscore, packing, pii, warc
+from . import decontaminate, idfiles, maxscore, packing, pii, toxicity, warc
 from .common import table
 
 
@@ -28,13 +28,22 @@ def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_token_id_files, op5_warc_archives, op6_maxscore_top_k, op9_pii_spans)
+    for f in (op1_best_fit_packing, op3_token_id_files, op5_warc_archives, op6_maxscore_top_k, op8_toxicity, op9_pii_spans, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
