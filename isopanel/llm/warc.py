@@ -62,7 +62,11 @@ def decisions(pages: DataFrame) -> DataFrame:
 
 def dictionary(pages: DataFrame) -> bytes:
     """Trained on a sample that depends on page ids only; without enough to train on, the sample itself."""
-    sample = pages.where("html IS NOT NULL").select(F.xxhash64("page_id").alias("k"), F.substring("html", 1, SAMPLE_BYTES // 4).alias("html")).orderBy("k", "html").limit(SAMPLES)
+    found = pages.where("html IS NOT NULL")
+    # about four times as many as are wanted leave their tasks, however many pages there are
+    share = min(1.0, 4 * SAMPLES / max(1, found.count()))
+    picked = found.select(F.xxhash64("page_id").alias("k"), F.substring("html", 1, SAMPLE_BYTES // 4).alias("html")).where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = picked.orderBy("k", "html").limit(SAMPLES)
     payloads = [r["html"].encode() for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes()
