@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, maxscore, packing, pii, toxicity, warc
+from . import decontaminate, idfiles, language, maxscore, packing, pii, toxicity, warc
 from .common import table
 
 
@@ -28,6 +28,15 @@ def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.documents_languages(table(spark, sf_dir, "documents"))
+
+
+def llm_pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language operator over pages, where markup, address suffixes and hosts are."""
+    return language.pages_languages(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_token_id_files, op5_warc_archives, op6_maxscore_top_k, op8_toxicity, op9_pii_spans, op10_decontamination)
+    for f in (op1_best_fit_packing, op3_token_id_files, op5_warc_archives, op6_maxscore_top_k, op7_language_id, llm_pages_language, op8_toxicity, op9_pii_spans, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
