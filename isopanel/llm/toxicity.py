@@ -126,11 +126,12 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) ->
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, limit / max(1, marked.count()))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
+    # at most about `limit` rows of 12 bytes
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> Model:
-    rows = labelled(docs, labels, limit)
+    rows = written(labelled(docs, labels, limit), "toxicity-labelled")
     words = map_batches(rows, _words, "word string, toxic int, n bigint").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     totals = rows.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in totals}
