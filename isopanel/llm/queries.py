@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, jaccard, language, maxscore, packing, pii, toxicity, warc
+from . import decontaminate, idfiles, jaccard, language, maxscore, packing, pii, suffix, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_token_id_files, op4_jaccard_join, op5_warc_archives, op6_maxscore_top_k, op7_language_id, llm_pages_language, op8_toxicity, op9_pii_spans, op10_decontamination)
+    for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_id_files, op4_jaccard_join, op5_warc_archives, op6_maxscore_top_k, op7_language_id, llm_pages_language, op8_toxicity, op9_pii_spans, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
