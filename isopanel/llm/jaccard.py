@@ -8,12 +8,13 @@ whole sequence). Texts with one set are one class, known by a digest of the set;
    seem shared that are not, never the other way round.
 2. Among the rest, a class's shingles are ordered by how many classes have them, rarest first. Linked classes have one
    in common among the first |A| - ceil(0.75 |A|) + 1 (prefix filter), so all links lie in groups by such a shingle.
-3. A first round compares classes that share their least hashed shingle, which joins most copies. Then groups whose
-   classes are all in one component are done, groups of the same classes are one group, and what remains is compared.
+3. A first round compares classes that share one of their LEADS least hashed shingles, on whole sets, which joins most
+   copies. Then groups whose classes are all in one component are done, and groups of the same classes are one group.
 4. In a group a signature tree holds token bitmaps combined by OR and by AND, and size ranges. Pairs of nodes are
    traversed together and pruned when their largest possible overlap is too small, their sizes are too far apart, or
-   all below is in one component already; what is left is verified on whole sets. Large groups are cut into chunks
-   and all pairs of chunks compared, in different tasks.
+   all below is in one component already. In the first round what is left is verified at once and joins as it goes;
+   in the second, bitmaps alone travel, and distinct pairs that are left are verified on their sets. Large groups are
+   cut into chunks, and in the second round all pairs of chunks are compared, in different tasks.
 
 Every link is a link of the result's components; links inside a component that is joined already need no check.
 Shingles are compared as 64-bit hashes.
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, slices, written
 from .graph import components
+from .packs import dealt, gathered, packs
 from .words import gram_hashes, hashes, mix, raw_words
 
 WORDS, PERCENT = 5, 75
@@ -43,7 +45,9 @@ WORDS, PERCENT = 5, 75
 BUCKET_SHINGLES, PACKED_TEXT = 3_000_000, 8_000_000
 #: Shingles in one chunk of a group, about.
 CHUNK_SHINGLES = 1_000_000
-LEAF = 8
+#: Classes in one chunk of a group that is compared by bitmaps.
+CHUNK_CLASSES = 4_000
+LEADS, LEAF, BITS = 2, 8, 2048
 #: Ids of classes that go to every task, 16 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -67,40 +71,6 @@ def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[dict[str
             yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": [digest(s) if len(s) else None for s in sets]}
 
 
-def _packs(rows: Iterator[tuple[bytes, np.ndarray]], size: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Sets in packs of at least size shingles and fewer than 2^16 classes: classes, hashes, owners."""
-    held: dict[bytes, np.ndarray] = {}
-    n = 0
-    for name, shingles in rows:
-        if name not in held:
-            held[name] = shingles
-            n += len(shingles)
-        if n >= size or len(held) == 65_535:
-            yield list(held), np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), [len(s) for s in held.values()])
-            held, n = {}, 0
-    if held:
-        yield list(held), np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), [len(s) for s in held.values()])
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-def _dealt(packs: Iterator[tuple[list[bytes], np.ndarray, np.ndarray]], buckets: int, whole: bool) -> Iterator[dict[str, Any]]:
-    """A row for each bucket of a pack: shingles in order (their low 24 bits as byte planes, or all 64), owners, classes."""
-    for names, h, owner in packs:
-        bucket = _bucket(h, buckets)
-        order = np.argsort((bucket << np.uint64(24) | h & np.uint64(0xFFFFFF)) if not whole else h, kind="stable")
-        h, owner, bucket = h[order], owner[order], bucket[order]
-        table = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), 16)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-            present, at = np.unique(owner[a:b], return_inverse=True)
-            low = h[a:b].astype("<u8")
-            data = low.tobytes() if whole else low.view(np.uint8).reshape(-1, 8)[:, :3].T.tobytes()
-            yield {"bucket": [int(bucket[a])], "shingles": [data], "owners": [at.astype("<u2").tobytes()], "classes": [table[present].tobytes()]}
-
-
 def _deal_texts(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterator[dict[str, Any]]:
     def sets() -> Iterator[tuple[bytes, np.ndarray]]:
         for whole in batches:
@@ -109,46 +79,17 @@ def _deal_texts(batches: Iterator[pa.RecordBatch], words: int, buckets: int) ->
                     if len(s := shingle_set(text, words)):
                         yield digest(s), s
 
-    return _dealt(_packs(sets(), PACKED_TEXT // 6), buckets, False)
+    return dealt(packs(sets(), PACKED_TEXT // 6), buckets, 3)
 
 
 def _deal_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict[str, Any]]:
     sets = ((c, np.frombuffer(s, "<u8")) for b in batches for c, s in zip(b.column("class").to_pylist(), b.column("shingles").to_pylist(), strict=True))
-    return _dealt(_packs(sets, PACKED_TEXT // 6), buckets, True)
-
-
-def _gathered(rows: pa.Table, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: distinct (shingle, class) in order, each shingle's number of classes, and the classes."""
-    parts, tables, n = [], [], 0
-    for data, owners, names in zip(*(rows.column(c).to_pylist() for c in ("shingles", "owners", "classes")), strict=True):
-        at = np.frombuffer(owners, "<u2").astype(np.uint64) + np.uint64(n)
-        if whole:
-            h = np.frombuffer(data, "<u8")
-        else:
-            planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.uint64)
-            h = planes[0] | planes[1] << np.uint64(8) | planes[2] << np.uint64(16)
-        parts.append((h, at))
-        tables.append(np.frombuffer(names, "V16"))
-        n += len(tables[-1])
-    h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    classes, same = np.unique(np.concatenate(tables), return_inverse=True)
-    at = same.astype(np.uint64)[at]
-    if whole:
-        order = np.lexsort((at, h))
-        h, at = h[order], at[order]
-    else:  # 24 bits and a class number below 2^40 in one word
-        both = np.sort(h << np.uint64(40) | at)
-        h, at = both >> np.uint64(40), both & np.uint64((1 << 40) - 1)
-    first = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
-    h, at = h[first], at[first]
-    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    counts = np.diff(np.append(starts, len(h)))
-    return h, at, np.repeat(counts, counts), classes
+    return dealt(packs(sets, PACKED_TEXT // 6), buckets, 8)
 
 
 def _shared(rows: pa.Table) -> pa.Table:
     """How many shingles each class shares with others in this bucket."""
-    _, at, counts, classes = _gathered(rows, False)
+    _, at, counts, classes = gathered(rows, 3)
     n = np.bincount(at[counts > 1].astype(np.int64), minlength=len(classes))
     some = np.flatnonzero(n)
     return pa.table({"class": pa.array([classes[i].tobytes() for i in some], pa.binary()), "shared": pa.array(n[some], pa.int64())})
@@ -156,7 +97,7 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 def _frequencies(rows: pa.Table) -> pa.Table:
     """Each class's shared shingles in this bucket and how many classes have them (255: or more)."""
-    h, at, counts, classes = _gathered(rows, True)
+    h, at, counts, classes = gathered(rows, 8)
     some = counts > 1
     h, at, counts = h[some], at[some], np.minimum(counts[some], 255)
     order = np.argsort(at, kind="stable")
@@ -176,7 +117,7 @@ def least_overlap(n: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
-    """Shared shingles among a class's first ones, rarest first; the least hashed of all its shared ones is `lead`."""
+    """Shared shingles among a class's first ones, rarest first; leads: the least of all its shared ones, by hashes."""
     for batch in batches:
         out: dict[str, list[Any]] = defaultdict(list)
         for name, n, parts in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "parts")), strict=True):
@@ -187,7 +128,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
             order = np.lexsort((h, counts))[: len(h) - least_overlap(n) + 1]
             out["class"].append(name)
             out["n_shingles"].append(n)
-            out["lead"].append(h.min().astype(np.int64))
+            out["leads"].append([h[np.argmin(mix(h + np.uint64(i)))].astype(np.int64) for i in range(LEADS)])
             out["tokens"].append(h[order].astype(np.int64))
         if out:
             yield dict(out)
@@ -216,19 +157,23 @@ class Node:
         self.members, self.kids, self.any, self.every, self.low, self.high = members, kids, any_, every, low, high
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Bitmap of BITS bits."""
+    bits = np.zeros(BITS, bool)
+    bits[mix(shingles) & np.uint64(BITS - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
 class SignatureTree:
-    """Over the members of a group: sets as sorted arrays."""
-
-    def __init__(self, sets: list[np.ndarray], labels: list[int]):
-        self.sets, self.forest = sets, Forest(labels)
-        self.sizes = np.array([len(s) for s in sets])
-        width = 1 << int(min(14, max(9, int(2 * self.sizes.max(initial=1)).bit_length())))
-        bits = np.zeros((len(sets), width), bool)
-        for i, s in enumerate(sets):
-            bits[i, mix(s) & np.uint64(width - 1)] = True
-        self.signs = np.packbits(bits, axis=1).view(np.uint64)
-        # members of like size, and then of like least shingles, stand together
-        order = sorted(range(len(sets)), key=lambda i: (int(np.log(max(1, self.sizes[i])) / 0.25), int(sets[i][0]) if len(sets[i]) else 0))
+    """Over the members of a group: their sizes, bitmaps and components, and their sorted sets if these are at hand."""
+
+    def __init__(self, sizes: list[int], signs: list[bytes], labels: list[Any], sets: list[np.ndarray] | None = None):
+        number: dict[Any, int] = {}
+        self.sets, self.forest = sets, Forest([number.setdefault(x, len(number)) for x in labels])
+        self.sizes = np.array(sizes, np.int64)
+        self.signs = np.frombuffer(b"".join(signs), np.uint64).reshape(len(sizes), BITS // 64)
+        # members of one component, of like size, and with like bitmaps stand together
+        order = sorted(range(len(sizes)), key=lambda i: (self.forest.root(i), int(np.log(max(1, sizes[i])) / 0.25), signs[i]))
         self.root = self._build(order)
 
     def _build(self, order: list[int]) -> Node:
@@ -256,7 +201,7 @@ class SignatureTree:
         return all(self.forest.root(m) == root for node in (a, b) for m in node.members)
 
     def links(self) -> list[tuple[int, int]]:
-        """Pairs that link and join what was not joined before."""
+        """Pairs in different components that link; without sets, pairs that may."""
         found: list[tuple[int, int]] = []
         todo = [(self.root, self.root)]
         while todo:
@@ -280,7 +225,11 @@ class SignatureTree:
         most = np.minimum(sizes[0] - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), sizes[1] - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
         for i, j in np.argwhere((100 + PERCENT) * most >= PERCENT * (sizes[0] + sizes[1])):
             p, q = int(left[i]), int(right[j])
-            if (a is not b or i < j) and (r := self.forest.root(p)) != (s := self.forest.root(q)) and linked(self.sets[p], self.sets[q]):
+            if (a is b and i >= j) or (r := self.forest.root(p)) == (s := self.forest.root(q)):
+                continue
+            if self.sets is None:
+                found.append((p, q))
+            elif linked(self.sets[p], self.sets[q]):
                 self.forest.up[max(r, s)] = min(r, s)
                 found.append((p, q))
 
@@ -291,33 +240,42 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compare(rows: pa.Table) -> pa.Table:
+    """Links among a group's classes; without their sets, pairs that may link."""
     names = rows.column("class").to_pylist()
     where = {c: i for i, c in enumerate(names)}  # a pair of chunks may hold a class twice
-    names = list(where)
-    sets, labels = rows.column("shingles").to_pylist(), rows.column("component").to_pylist()
-    number: dict[bytes, int] = {}
-    tree = SignatureTree([np.frombuffer(sets[where[c]], "<u8") for c in names], [number.setdefault(labels[where[c]], len(number)) for c in names])
+    at = list(where.values())
+    part = rows.take(pa.array(at))
+    sets = [np.frombuffer(s, "<u8") for s in part.column("shingles").to_pylist()] if "shingles" in rows.column_names else None
+    tree = SignatureTree(part.column("n_shingles").to_pylist(), part.column("signature").to_pylist(), part.column("component").to_pylist(), sets)
     pairs = tree.links()
-    return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())})
+    ends = [[min(names[at[i]], names[at[j]]) for i, j in pairs], [max(names[at[i]], names[at[j]]) for i, j in pairs]]
+    return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
+
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
+        yield batch.filter(pa.array([linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in both], pa.bool_())).select(["a", "b"])
 
-def _links(members: DataFrame, sets: DataFrame, grid: bool) -> DataFrame:
-    """Links (a, b) between members (token, class, component) of a token, on their sets.
 
-    A token whose members have more than CHUNK_SHINGLES is cut into chunks by class. With grid all pairs of chunks are
-    compared, each in a task of its own; without, only what shares a chunk.
-    """
+def _first_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members (token, class, component) of one token and one chunk, on their sets."""
     sized = members.join(sets.select("class", "n_shingles"), "class")
     chunks = sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks"))
-    own = F.pmod(F.xxhash64("class"), F.col("chunks"))
-    placed = sized.join(chunks, "token").withColumn("chunk", own)
-    if grid:
-        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("p"), F.greatest(c, F.col("chunk")).alias("q")))
-    else:
-        pairs = F.array(F.struct(F.col("chunk").alias("p"), F.col("chunk").alias("q")))
+    placed = sized.join(chunks, "token").select("token", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"), "class", "component")
+    return placed.join(sets, "class").groupBy("token", "chunk").applyInArrow(_compare, "a binary, b binary")
+
+
+def _other_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) between members (token, class, component) of one token that are not in one component."""
+    chunks = members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK_CLASSES).alias("chunks"))
+    placed = members.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("p"), F.greatest(c, F.col("chunk")).alias("q")))
     placed = placed.select("token", "class", "component", F.explode(pairs).alias("pair")).select("token", "pair.p", "pair.q", "class", "component")
-    whole = placed.join(sets.select("class", "shingles"), "class")
-    return whole.groupBy("token", "p", "q").applyInArrow(_compare, "a binary, b binary")
+    small = placed.join(sets.select("class", "n_shingles", "signature"), "class")
+    pairs = written(small.groupBy("token", "p", "q").applyInArrow(_compare, "a binary, b binary").distinct(), "jaccard-pairs")
+    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary")
 
 
 def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -350,21 +308,21 @@ def _class_links(docs: DataFrame, classes: DataFrame, total: int, words: int) ->
     n = close.count()
     wanted = F.broadcast(close) if n <= BROADCAST_IDS else close
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = map_batches(texts, _sets, "class binary, n_shingles bigint, shingles binary", words).dropDuplicates(["class"])
+    sets = map_batches(texts, _sets, "class binary, n_shingles bigint, signature binary, shingles binary", words).dropDuplicates(["class"])
     sets = written(sets.join(wanted.select("class"), "class", "left_semi"), "jaccard-sets")
 
     kept = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     dealt = map_batches(sets.select("class", "shingles"), _deal_sets, packed, max(1, -(-int(kept) // BUCKET_SHINGLES)))
     counted = dealt.groupBy("bucket").applyInArrow(_frequencies, "class binary, hashes binary, counts binary")
     parts = counted.groupBy("class").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts")).join(sets.select("class", "n_shingles"), "class")
-    prefixes = written(map_batches(parts.select("class", "n_shingles", "parts"), _prefixes, "class binary, n_shingles bigint, lead bigint, tokens array<bigint>"), "jaccard-prefixes")
+    prefixes = written(map_batches(parts.select("class", "n_shingles", "parts"), _prefixes, "class binary, n_shingles bigint, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
 
-    alone = prefixes.select(F.col("lead").alias("token"), "class", F.col("class").alias("component"))
-    first = written(_links(_several(alone), sets, False), "jaccard-first")
+    leads = prefixes.select(F.explode(F.array_distinct("leads")).alias("token"), "class", F.col("class").alias("component"))
+    first = written(_first_links(_several(leads), sets), "jaccard-first")
     named = components(first, "jaccard-first-components").withColumnRenamed("node", "class")
     tokens = prefixes.select("class", F.explode("tokens").alias("token")).join(named, "class", "left")
     tokens = tokens.select("token", "class", F.coalesce("component", "class").alias("component"))
-    rest = written(_links(_several(tokens), sets, True), "jaccard-rest")
+    rest = written(_other_links(_several(tokens), sets), "jaccard-rest")
     return first.unionAll(rest)
 
 
@@ -381,7 +339,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[dict[str, A
         for batch in slices(whole):
             sets = [s for t in batch.column("text").to_pylist() if len(s := shingle_set(t, words))]
             if sets:
-                yield {"class": [digest(s) for s in sets], "n_shingles": [len(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
+                yield {"class": [digest(s) for s in sets], "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:

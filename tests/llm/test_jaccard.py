@@ -69,6 +69,7 @@ def test_join(spark, monkeypatch, seed, small):
     if small:
         monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 500)
         monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 300)
+        monkeypatch.setattr(jaccard, "CHUNK_CLASSES", 3)
         monkeypatch.setattr(jaccard, "PACKED_TEXT", 3000)
         monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rows = fixture(seed)
@@ -97,7 +98,7 @@ def test_tree_finds_what_brute_force_finds():
             part = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.3])]
             sets.append(np.unique(np.append(part, rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64))))
     sets = [s for s in sets if len(s)]
-    tree = jaccard.SignatureTree(sets, list(range(len(sets))))
+    tree = jaccard.SignatureTree([len(s) for s in sets], [jaccard.signature(s) for s in sets], list(range(len(sets))), sets)
     tree.links()
     want = jaccard.Forest(list(range(len(sets))))
     for i in range(len(sets)):
