@@ -1,4 +1,8 @@
-"""A corpus pipeline of the training-data operators, over `documents`."""
+"""A corpus pipeline of the training-data operators, over `documents`.
+
+Stages read and return documents; all but the last keep the columns. Nulls, empty texts, repeated rows and further
+columns are handled as each operator states; a null text reaches packing as an empty document.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isopanel.llm import common, packing
+from isopanel.llm import common, decontaminate, jaccard, language, packing, pii
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an accepted language go."""
+    return language.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: that with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of `benchmark` go."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the text."""
+    return pii.redact(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
     return packing.pack_documents(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
+#: Language models, checksums and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
