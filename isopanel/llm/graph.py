@@ -13,17 +13,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large and small stars: each round hangs neighbours below the least one around, so rounds grow with the
     logarithm of the longest path. A star's centre is found by a partial aggregate and joined back, which Spark can
-    split for nodes with very many neighbours.
+    split for nodes with very many neighbours. Rounds end when count and fingerprint of the edges stay.
     """
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
-        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mark = _fingerprint(links)
+    while mark[0]:
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = written(small.select("e.*").where("a <> b").distinct(), name)
-        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
+        # above its node, each neighbour meets the least one around; a node above its least meets it too
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        centre = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(centre, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        links = written(small.select("e.*").where("a <> b").distinct(), name)
+        if (after := _fingerprint(links)) == mark:
             break
-        links = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        mark = after
+    return links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("e")).select("e.*").distinct()
+
+
+def _fingerprint(links: DataFrame) -> tuple[int, int, int]:
+    one = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
+    return one["n"], one["x"] or 0, one["y"] or 0

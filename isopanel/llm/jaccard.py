@@ -323,7 +323,7 @@ def _class_links(docs: DataFrame, classes: DataFrame, total: int, words: int) ->
     tokens = prefixes.select("class", F.explode("tokens").alias("token")).join(named, "class", "left")
     tokens = tokens.select("token", "class", F.coalesce("component", "class").alias("component"))
     rest = written(_other_links(_several(tokens), sets), "jaccard-rest")
-    return first.unionAll(rest)
+    return rest.unionAll(named.where("class <> component").select(F.col("class").alias("a"), F.col("component").alias("b")))
 
 
 def _several(members: DataFrame) -> DataFrame:
