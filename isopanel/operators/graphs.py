@@ -68,19 +68,29 @@ def overlap(reference: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of nodes with an edge, named by the least node; alternating large and small stars."""
-    links = settled(edges.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).where("a <> b").distinct(), name)
-    while True:
-        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(node, component) of nodes with an edge, named by the least node.
+
+    Alternates large and small stars until count and fingerprint of the edges stay; a centre is a partial aggregate
+    that is joined back, so a node with very many neighbours is no single task.
+    """
+    links = settled(edges.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct(), name)
+    mark = _fingerprint(links)
+    while mark[0]:
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = settled(small.select("e.*").where("a <> b").distinct(), name)
-        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        centre = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(centre, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        links = settled(small.select("e.*").where("a <> b").distinct(), name)
+        if (after := _fingerprint(links)) == mark:
             break
-        links = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        mark = after
+    return links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("e")).select("e.*").distinct()
+
+
+def _fingerprint(links: DataFrame) -> tuple[int, int, int]:
+    one = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
+    return one["n"], one["x"] or 0, one["y"] or 0
 
 
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
