@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, slices, written
 from .graph import components
-from .packs import dealt, gathered, packs
+from .packs import dealt, gathered, in_parts, joined_parts, packs, parts_schema, pieces
 from .words import gram_hashes, hashes, mix, raw_words
 
 WORDS, PERCENT = 5, 75
 #: Shingles that a bucket of packed arrays should hold, and bytes of text that are packed together.
-BUCKET_SHINGLES, PACKED_TEXT = 3_000_000, 8_000_000
+BUCKET_SHINGLES, PACKED_TEXT = 1_500_000, 8_000_000
 #: Shingles in one chunk of a group, about.
 CHUNK_SHINGLES = 1_000_000
 #: Classes in one chunk of a group that is compared by bitmaps.
@@ -87,28 +87,35 @@ def _deal_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict
     return dealt(packs(sets, PACKED_TEXT // 6), buckets, 8)
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """How many shingles each class shares with others in this bucket."""
+def _shared(rows: pa.Table, parts: int) -> pa.Table:
+    """How many shingles each class shares with others in this bucket; a row for each part of the classes."""
     _, at, counts, classes = gathered(rows, 3)
     n = np.bincount(at[counts > 1].astype(np.int64), minlength=len(classes))
     some = np.flatnonzero(n)
-    return pa.table({"class": pa.array([classes[i].tobytes() for i in some], pa.binary()), "shared": pa.array(n[some], pa.int64())})
+    return in_parts(classes[some], {"shared": (np.ones(len(some), np.int64), n[some].astype("<u4"))}, parts)
 
 
-def _frequencies(rows: pa.Table) -> pa.Table:
-    """Each class's shared shingles in this bucket and how many classes have them (255: or more)."""
+def _summed(rows: pa.Table) -> pa.Table:
+    names, lists = joined_parts(rows, {"shared": "<u4"})
+    lengths, values = lists["shared"]
+    totals = np.add.reduceat(values.astype(np.int64), np.cumsum(lengths) - lengths)
+    return pa.table({"class": pa.array([n.tobytes() for n in names], pa.binary()), "shared": pa.array(totals, pa.int64())})
+
+
+def _frequencies(rows: pa.Table, parts: int) -> pa.Table:
+    """Each class's shared shingles in this bucket and how many classes have them (255: or more); a row for each part."""
     h, at, counts, classes = gathered(rows, 8)
     some = counts > 1
-    h, at, counts = h[some], at[some], np.minimum(counts[some], 255)
+    h, at, counts = h[some], at[some].astype(np.int64), np.minimum(counts[some], 255)
     order = np.argsort(at, kind="stable")
-    h, at, counts = h[order], at[order], counts[order]
-    cuts = np.searchsorted(at, np.arange(len(classes) + 1))
-    there = np.flatnonzero(np.diff(cuts))
-    return pa.table({
-        "class": pa.array([classes[i].tobytes() for i in there], pa.binary()),
-        "hashes": pa.array([h[cuts[i] : cuts[i + 1]].astype("<u8").tobytes() for i in there], pa.binary()),
-        "counts": pa.array([counts[cuts[i] : cuts[i + 1]].astype(np.uint8).tobytes() for i in there], pa.binary()),
-    })
+    lengths = np.bincount(at, minlength=len(classes))
+    there = np.flatnonzero(lengths)
+    return in_parts(classes[there], {"hashes": (lengths[there], h[order].astype("<u8")), "counts": (lengths[there], counts[order].astype(np.uint8))}, parts)
+
+
+def _by_class(rows: pa.Table) -> pa.Table:
+    names, lists = joined_parts(rows, {"hashes": "<u8", "counts": "u1"})
+    return pa.table({"class": pa.array([n.tobytes() for n in names], pa.binary()), "hashes": pa.array(pieces(lists["hashes"]), pa.binary()), "counts": pa.array(pieces(lists["counts"]), pa.binary())})
 
 
 def least_overlap(n: int) -> int:
@@ -120,9 +127,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
     """Shared shingles among a class's first ones, rarest first; leads: the least of all its shared ones, by hashes."""
     for batch in batches:
         out: dict[str, list[Any]] = defaultdict(list)
-        for name, n, parts in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "parts")), strict=True):
-            h = np.concatenate([np.frombuffer(p["hashes"], "<u8") for p in parts])
-            counts = np.concatenate([np.frombuffer(p["counts"], np.uint8) for p in parts])
+        for name, n, found, often in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "hashes", "counts")), strict=True):
+            h, counts = np.frombuffer(found, "<u8"), np.frombuffer(often, np.uint8)
             if len(h) < least_overlap(n):
                 continue  # those that only this class has come first, and are too many
             order = np.lexsort((h, counts))[: len(h) - least_overlap(n) + 1]
@@ -301,7 +307,8 @@ def _class_links(docs: DataFrame, classes: DataFrame, total: int, words: int) ->
     packed = "bucket int, shingles binary, owners binary, classes binary"
     buckets = max(1, -(-total // BUCKET_SHINGLES))
     dealt = map_batches(docs.select("text"), _deal_texts, packed, words, buckets)
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "class binary, shared bigint").groupBy("class").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), parts_schema("shared"))
+    shared = shared.groupBy("part").applyInArrow(_summed, "class binary, shared bigint")
     enough = F.col("shared") >= F.ceil(F.col("n_shingles") * F.lit(PERCENT) / 100)
     close = written(classes.join(shared, "class").where(enough).select("class", "least", "n_shingles"), "jaccard-close")
 
@@ -312,10 +319,12 @@ def _class_links(docs: DataFrame, classes: DataFrame, total: int, words: int) ->
     sets = written(sets.join(wanted.select("class"), "class", "left_semi"), "jaccard-sets")
 
     kept = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    dealt = map_batches(sets.select("class", "shingles"), _deal_sets, packed, max(1, -(-int(kept) // BUCKET_SHINGLES)))
-    counted = dealt.groupBy("bucket").applyInArrow(_frequencies, "class binary, hashes binary, counts binary")
-    parts = counted.groupBy("class").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts")).join(sets.select("class", "n_shingles"), "class")
-    prefixes = written(map_batches(parts.select("class", "n_shingles", "parts"), _prefixes, "class binary, n_shingles bigint, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
+    few = max(1, -(-int(kept) // BUCKET_SHINGLES))
+    dealt = map_batches(sets.select("class", "shingles"), _deal_sets, packed, few)
+    counted = dealt.groupBy("bucket").applyInArrow(lambda t: _frequencies(t, few), parts_schema("hashes", "counts"))
+    counted = counted.groupBy("part").applyInArrow(_by_class, "class binary, hashes binary, counts binary")
+    parts = counted.join(sets.select("class", "n_shingles"), "class")
+    prefixes = written(map_batches(parts.select("class", "n_shingles", "hashes", "counts"), _prefixes, "class binary, n_shingles bigint, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
 
     leads = prefixes.select(F.explode(F.array_distinct("leads")).alias("token"), "class", F.col("class").alias("component"))
     first = written(_first_links(_several(leads), sets), "jaccard-first")

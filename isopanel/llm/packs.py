@@ -75,3 +75,53 @@ def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     counts = np.diff(np.append(starts, len(h)))
     return h, at, np.repeat(counts, counts), names
+
+
+Lists = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _gather(lengths: np.ndarray, values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """values, cut in pieces of these lengths, with the pieces in another order."""
+    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def in_parts(names: np.ndarray, lists: Lists, parts: int) -> pa.Table:
+    """Names of 16 bytes and each one's lists, as one row for each part that some name falls in.
+
+    lists: by column, the length of each name's list, and all lists one after the other.
+    """
+    part = np.ascontiguousarray(names).view("<u8").reshape(-1, 2)[:, 0] % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(names) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(names)) if len(names) else cuts
+    columns: dict[str, list[bytes] | np.ndarray] = {"part": part[order][cuts].astype(np.int32), "names": [names[order][a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]}
+    for column, (lengths, values) in lists.items():
+        sizes, flat = lengths[order], _gather(lengths, values, order)
+        at = np.append(0, np.cumsum(sizes))
+        columns[f"{column}_lengths"] = [sizes[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)]
+        columns[column] = [flat[at[a] : at[b]].tobytes() for a, b in zip(cuts, ends, strict=True)]
+    return pa.table({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in columns.items()})
+
+
+def parts_schema(*columns: str) -> str:
+    return ", ".join(["part int, names binary", *(f"{c}_lengths binary, {c} binary" for c in columns)])
+
+
+def joined_parts(rows: pa.Table, kinds: dict[str, str]) -> tuple[np.ndarray, Lists]:
+    """The distinct names of a part's rows, and each one's lists from all rows together."""
+    names, at = np.unique(np.concatenate([np.frombuffer(x, "V16") for x in rows.column("names").to_pylist()]), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    lists: Lists = {}
+    for column, kind in kinds.items():
+        lengths = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column(f"{column}_lengths").to_pylist()]).astype(np.int64)
+        values = np.concatenate([np.frombuffer(x, kind) for x in rows.column(column).to_pylist()])
+        lists[column] = (np.bincount(at, lengths, len(names)).astype(np.int64), _gather(lengths, values, order))
+    return names, lists
+
+
+def pieces(lists: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Each name's list as bytes."""
+    lengths, values = lists
+    at = np.append(0, np.cumsum(lengths))
+    return [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]

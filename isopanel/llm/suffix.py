@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, partitions_for, slices, written
-from .packs import dealt, gathered, packs
+from .packs import dealt, gathered, in_parts, joined_parts, packs, parts_schema, pieces
 from .words import mix
 
 WINDOW, GRAM = 50, 20
 HOT = 10_000
 #: Bytes whose hashes are computed together; bytes of text packed together.
 STEP, PACKED_TEXT = 1 << 20, 8_000_000
-BUCKET_ANCHORS, BUCKET_FRAGMENTS = 2_000_000, 40_000
+BUCKET_ANCHORS, BUCKET_FRAGMENTS = 700_000, 40_000
 #: Ids that go to every task, 24 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -130,23 +130,26 @@ def _deal_anchors(batches: Iterator[pa.RecordBatch], window: int, buckets: int)
     return dealt(packs(sets(), PACKED_TEXT // 15), buckets, 4)
 
 
-def _flags(rows: pa.Table, most: int) -> pa.Table:
-    """Of each text in a bucket, the anchors (bucket and 32 bits) that other texts have, and those that very many have."""
+def _flags(rows: pa.Table, most: int, parts: int) -> pa.Table:
+    """Of each text in a bucket, the anchors (bucket and 32 bits) that other texts have, and those that very many have.
+
+    A row for each part of the texts.
+    """
     bucket = rows.column("bucket")[0].as_py()
     h, at, counts, classes = gathered(rows, 4)
     some = counts > 1
     key, at, hot = h[some] | np.uint64(bucket) << np.uint64(32), at[some], counts[some] > most
     order = np.argsort(at, kind="stable")
-    key, at, hot = key[order], at[order], hot[order]
-    cuts = np.searchsorted(at, np.arange(len(classes) + 1))
-    there = np.flatnonzero(np.diff(cuts))
-    parts = [(key[a:b], hot[a:b]) for a, b in zip(cuts[there], cuts[there + 1], strict=True)]
-    return pa.table({
-        "class": pa.array([classes[i].tobytes() for i in there], pa.binary()),
-        "keys": pa.array([k[~x].astype("<u8").tobytes() for k, x in parts], pa.binary()),
-        "hot": pa.array([k[x].astype("<u8").tobytes() for k, x in parts], pa.binary()),
-        "n": pa.array([len(k) for k, _ in parts], pa.int64()),
-    })
+    key, at, hot = key[order], at[order].astype(np.int64), hot[order]
+    there = np.flatnonzero(np.bincount(at, minlength=len(classes)))
+    lists = {name: (np.bincount(at[x], minlength=len(classes))[there], key[x].astype("<u8")) for name, x in (("keys", ~hot), ("hot", hot))}
+    return in_parts(classes[there], lists, parts)
+
+
+def _by_text(rows: pa.Table) -> pa.Table:
+    names, lists = joined_parts(rows, {"keys": "<u8", "hot": "<u8"})
+    n = lists["keys"][0] + lists["hot"][0]
+    return pa.table({"class": pa.array([x.tobytes() for x in names], pa.binary()), "keys": pa.array(pieces(lists["keys"]), pa.binary()), "hot": pa.array(pieces(lists["hot"]), pa.binary()), "n": pa.array(n, pa.int64())})
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -165,7 +168,7 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Ite
                 if name_of(data) != name:
                     continue  # another text with this id
                 values, _, valid = _joined([data], window)
-                common, many = (np.frombuffer(b"".join(x), "<u8") for x in (keys, hot))
+                common, many = (np.frombuffer(x, "<u8") for x in (keys, hot))
                 for a in anchors(values, valid, window):
                     key = (((a.hash >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32) | a.hash & np.uint64(0xFFFFFFFF)
                     yield doc_id, name, data, a, _member(key, common), _member(key, many)
@@ -406,8 +409,8 @@ def _all_spans(docs: DataFrame, info: DataFrame, first: DataFrame, window: int)
     size = info.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     buckets = int(max(1, -(-size // (15 * BUCKET_ANCHORS))))
     packed = map_batches(docs.where("doc_id IS NOT NULL").select("text"), _deal_anchors, "bucket int, shingles binary, owners binary, classes binary", window, buckets)
-    flags = packed.groupBy("bucket").applyInArrow(lambda t: _flags(t, most), "class binary, keys binary, hot binary, n bigint")
-    flags = flags.groupBy("class").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot"), F.sum("n").alias("n"))
+    flags = packed.groupBy("bucket").applyInArrow(lambda t: _flags(t, most, buckets), parts_schema("keys", "hot"))
+    flags = flags.groupBy("part").applyInArrow(_by_text, "class binary, keys binary, hot binary, n bigint")
     flags = written(flags.join(first, "class"), "repeats-flags")
     groups = partitions_for(flags, F.col("n"), BUCKET_FRAGMENTS)
     marked = _only(docs, flags.select("doc_id", "class", "keys", "hot"), flags.count())
@@ -419,7 +422,7 @@ def _all_spans(docs: DataFrame, info: DataFrame, first: DataFrame, window: int)
     # the first eight bytes of a class tell texts with one id apart
     own = flags.select("doc_id", "class", F.substring("class", 1, 8).alias("own"))
     spans = spans.join(own, ["doc_id", "own"]).select("doc_id", "class", F.array("spans").alias("spans"))
-    very = flags.where(F.exists("hot", lambda h: F.octet_length(h) > 0))
+    very = flags.where(F.octet_length("hot") > 0)
     if not very.isEmpty():
         many = map_batches(_only(docs, very.select("doc_id", "class", "keys", "hot"), very.count()), _hot_windows, "doc_id bigint, class binary, start bigint, w binary", window, buckets)
         many = written(many, "repeats-hot")
