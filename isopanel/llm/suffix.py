@@ -225,21 +225,38 @@ class SuffixArray(NamedTuple):
     left: np.ndarray
 
 
-def suffix_array(fragments: list[bytes], window: int = WINDOW) -> SuffixArray:
+def big_endian(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, for all places but the last seven."""
+    word = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        word = word[:-width] << np.uint64(8 * width) | word[width:]
+    return word
+
+
+def suffix_array(fragments: list[bytes], window: int = WINDOW, repeated_only: bool = False) -> SuffixArray:
+    """With repeated_only, suffixes whose first window occurs once (by its hash) are left out: no repeat has them."""
     sizes = np.array([len(f) for f in fragments], np.int64)
     suffixes = np.maximum(sizes - window + 1, 0)
     fragment = np.repeat(np.arange(len(fragments)), suffixes)
     start = np.arange(len(fragment)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
     width = -(-int(sizes.max(initial=1)) // 8) * 8
-    data = np.frombuffer(b"".join(fragments) + bytes(width), np.uint8)
+    data = np.frombuffer(b"".join(fragments) + bytes(width + 8), np.uint8)
     places = (np.cumsum(sizes) - sizes)[fragment] + start
+    if repeated_only and len(places):
+        h = gram_hash(data, window)[places]
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        fragment, start, places = fragment[twice], start[twice], places[twice]
     rest = sizes[fragment] - start
+    words = big_endian(data)
     columns = []
     for c in range(0, width, 8):
-        word = np.zeros(len(places), np.uint64)
-        for b in range(8):
-            word = word << np.uint64(8) | np.where(c + b < rest, data[places + min(c + b, width - 1)], 0).astype(np.uint64)
-        columns.append(word)
+        # what lies beyond a fragment's end counts as zero
+        beyond = (8 * np.clip(8 - (rest - c), 0, 8)).astype(np.uint64)
+        word = words[np.minimum(places + c, len(words) - 1)]
+        columns.append(np.where(beyond < 64, word >> np.minimum(beyond, 63) << np.minimum(beyond, 63), 0).astype(np.uint64))
     order = np.lexsort((rest, *columns[::-1]))
     fragment, start, rest, places = fragment[order], start[order], rest[order], places[order]
     prefix = np.zeros(len(order), np.int64)
@@ -290,42 +307,46 @@ def maximal_repeats(array: SuffixArray, least: int = WINDOW) -> Iterator[tuple[i
                 stack.append((length, low, byte))
 
 
-def covered(fragments: list[bytes], least: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+def covered(fragments: list[bytes], least: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """(fragment, start, end) that a repeat with a smaller id than the fragment's least covers."""
-    array = suffix_array(fragments, window)
+    array = suffix_array(fragments, window, True)
     ids = least[array.fragment]
-    out = []
-    for length, low, high in maximal_repeats(array, window):
-        part = ids[low:high]
-        smallest = part.min()
-        for i in (low + np.flatnonzero(part > smallest)).tolist():
-            out.append((int(array.fragment[i]), int(array.start[i]), int(array.start[i]) + length))
-    return out
+    groups = np.array(list(maximal_repeats(array, window)), np.int64).reshape(-1, 3)
+    if not len(groups):
+        return np.zeros((0, 3), np.int64)
+    length, low, high = groups.T
+    # intervals overlap in a tree, so each is reduced by itself: its members one after the other
+    sizes = high - low
+    members = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    smallest = np.minimum.reduceat(ids[members], np.cumsum(sizes) - sizes)
+    later = ids[members] > np.repeat(smallest, sizes)
+    at, long = members[later], np.repeat(length, sizes)[later]
+    return np.column_stack([array.fragment[at], array.start[at], array.start[at] + long])
 
 
 def _spans(rows: pa.Table, window: int, parts: int) -> pa.Table:
-    places: dict[bytes, list[np.ndarray]] = defaultdict(list)
+    number: dict[bytes, int] = {}
+    where, owner = [], []
     for data, sizes, counts, docs, starts in zip(*(rows.column(c).to_pylist() for c in ("fragments", "sizes", "counts", "docs", "starts")), strict=True):
-        sizes, counts = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64)
-        where = np.column_stack([np.frombuffer(docs, "<u8").reshape(-1, 2), np.frombuffer(starts, "<u4").astype(np.uint64)])
-        at = np.append(0, np.cumsum(sizes)).tolist()
-        for i, own in enumerate(np.split(where, np.cumsum(counts)[:-1])):
-            places[data[at[i] : at[i + 1]]].append(own)
-    fragments = list(places)
-    where = [np.concatenate(p) for p in places.values()]
-    ids = [w[:, 0].view(np.int64) for w in where]
-    least = np.array([i.min() for i in ids], np.int64)
-    found: list[np.ndarray] = []
-
-    def add(own: np.ndarray, start: int, end: int) -> None:
-        found.append(np.column_stack([own[:, :2], own[:, 2] + np.uint64(start), own[:, 2] + np.uint64(end)]))
-
-    for i, own in enumerate(where):
-        if len(later := own[ids[i] > least[i]]):
-            add(later, 0, len(fragments[i]))
-    for i, start, end in covered(fragments, least, window):
-        add(where[i], start, end)
-    spans = np.concatenate(found) if found else np.zeros((0, 4), np.uint64)
+        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+        own = [number.setdefault(data[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        owner.append(np.repeat(own, np.frombuffer(counts, "<u4").astype(np.int64)))
+        where.append(np.column_stack([np.frombuffer(docs, "<u8").reshape(-1, 2), np.frombuffer(starts, "<u4").astype(np.uint64)]))
+    fragments, places, at = list(number), np.concatenate(where), np.concatenate(owner)
+    order = np.argsort(at, kind="stable")
+    places, at = np.ascontiguousarray(places[order]), at[order]
+    cuts = np.searchsorted(at, np.arange(len(fragments) + 1))
+    ids = np.ascontiguousarray(places[:, 0]).view(np.int64)
+    least = np.minimum.reduceat(ids, cuts[:-1])
+    sizes = np.array([len(f) for f in fragments], np.uint64)
+    later = ids > least[at]
+    whole = np.column_stack([places[later], places[later, 2] + sizes[at[later]]])
+    found = covered(fragments, least, window)
+    times = np.diff(cuts)[found[:, 0]]
+    which = np.repeat(cuts[:-1][found[:, 0]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    first, last = (np.repeat(found[:, c], times).astype(np.uint64) for c in (1, 2))
+    cut = np.column_stack([places[which, :2], places[which, 2] + first, places[which, 2] + last])
+    spans = np.concatenate([whole, cut])
     part = mix(spans[:, 0]) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     spans, part = np.ascontiguousarray(spans[order]), part[order]
