@@ -117,24 +117,6 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     return (left.limit(0) if taken is None else taken).select(*EDGES)
 
 
-def bottlenecks(tree: DataFrame) -> DataFrame:
-    """(i, j, bottleneck) of all pairs that a spanning forest joins: the largest edge on the path between them.
-
-    Pairs that a merge joins get its weight, so the table is made by doubling path lengths: a path's largest edge is
-    the greater one of its halves.
-    """
-    half = half_edges(tree).select(F.col("node").alias("i"), F.col("neighbour").alias("j"), F.col("weight").alias("b"))
-    paths, frontier = settled(half, "bottleneck"), None
-    frontier = paths
-    while not frontier.isEmpty():
-        # on a tree a longer path through j is one that is not there yet
-        step = frontier.join(half.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("b").alias("c")), "j").where("i <> k")
-        found = step.select("i", F.col("k").alias("j"), F.greatest("b", "c").alias("b")).join(paths.select("i", "j"), ["i", "j"], "left_anti").distinct()
-        frontier = settled(found, "bottleneck-frontier")
-        paths = settled(paths.unionAll(frontier), "bottleneck")
-    return paths.where("i < j").select("i", "j", F.col("b").alias("bottleneck"))
-
-
 def near_minimum(pairs: DataFrame, tree_bottlenecks: DataFrame, eps: list[float]) -> DataFrame:
     """(eps, source, target, weight): pairs at most (1 + eps) times their bottleneck."""
     both = pairs.join(tree_bottlenecks, ["i", "j"]).withColumn("eps", F.explode(F.array(*map(F.lit, eps))))

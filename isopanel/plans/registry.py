@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries
+
+_PARTS = (graph_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
