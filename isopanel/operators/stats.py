@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,3 +194,59 @@ def best_mapping(df: DataFrame, cluster: str, label: str) -> DataFrame:
     rows = [(c, labels[i], cells.get((c, labels[i]), 0)) for c, i in zip(clusters, chosen, strict=True)]
     types = dict(df.dtypes)
     return df.sparkSession.createDataFrame(rows, f"{cluster} {types[cluster]}, {label} {types[label]}, n bigint")
+
+
+def paired_summary(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row of y - x: n, median, signs, sign-test z, and the signed-rank sum with its z (ties at mean ranks, zeros out)."""
+    moved = df.select((F.col(y) - F.col(x)).alias("delta")).dropna()
+    some = moved.where("delta <> 0").select("delta", F.abs("delta").alias("size"))
+    ranked = with_ranks(some, "size")
+    ties = some.groupBy("size").count().agg(F.sum(F.col("count").cast("double") ** 3 - F.col("count")).alias("ties"))
+    ranks = ranked.agg(F.count("*").cast("double").alias("m"), F.count_if(F.col("delta") > 0).cast("double").alias("up"), F.sum(F.when(F.col("delta") > 0, F.col("rank_size")).otherwise(0.0)).alias("w"))
+    m = F.col("m")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    whole = moved.agg(F.count("*").alias("n"), F.percentile("delta", F.lit(0.5)).alias("median"))
+    return whole.join(F.broadcast(ranks)).join(F.broadcast(ties)).select("n", "median", "m", "up", ((2 * F.col("up") - m) / F.sqrt(m)).alias("sign_z"), "w", ((F.col("w") - m * (m + 1) / 4) / sd).alias("z"))
+
+
+def fisher_tail(a: int, b: int, c: int, d: int) -> float:
+    """P(first cell <= a) of a 2 x 2 table with these margins, exactly; four counts, no rows."""
+    row, column, n = a + b, a + c, a + b + c + d
+    choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+    low = max(0, column - (n - row))
+    return min(1.0, sum(math.exp(choose(row, k) + choose(n - row, column - k) - choose(n, column)) for k in range(low, a + 1)))
+
+
+def quantile_strata(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """df with stratum: 0 for exact zeros, else 1..bins by quantiles (linear) of what is positive."""
+    edges = df.where(F.col(value) > 0).agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    above = F.size(F.filter("edges", lambda e: F.col(value) > e))
+    return df.join(F.broadcast(edges)).withColumn("stratum", F.when(F.col(value) == 0, 0).otherwise(1 + above)).drop("edges")
+
+
+def saturation(curve: DataFrame, x: str, y: str, *by: str, share: float = 0.95) -> DataFrame:
+    """(by, last, x_at): the value at the largest x, and the first x where the curve has reached a share of it."""
+    ends = curve.groupBy(*by).agg(F.max_by(y, x).alias("last"))
+    return curve.join(ends, list(by)).groupBy(*by).agg(F.first("last").alias("last"), F.min(F.when(F.col(y) >= share * F.col("last"), F.col(x))).alias("x_at"))
+
+
+def nearest_match(df: DataFrame, value: str, first: str, key: str, *by: str, caliper: float | None = None) -> DataFrame:
+    """(by, key, match, gap): for each row of the first group, in the order of key, the nearest row of the others that is
+    still free, ties to the smaller key. Strata are matched in different tasks; within one the order matters."""
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), f"`{key}` {types[key]}, match {types[key]}, gap double"])
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame[first]].sort_values(key)
+        free = frame[~frame[first]].sort_values([value, key])
+        values, keys, there = free[value].to_numpy(float), free[key].to_numpy(), [True] * len(free)
+        rows = []
+        for k, v in zip(own[key], own[value].astype(float), strict=True):
+            gaps = [(abs(values[i] - v), keys[i], i) for i in range(len(values)) if there[i]]
+            if gaps and (caliper is None or min(gaps)[0] <= caliper):
+                gap, name, i = min(gaps)
+                there[i] = False
+                rows.append((*(frame[c].iloc[0] for c in by), k, name, gap))
+        return pd.DataFrame(rows, columns=[*by, key, "match", "gap"])
+
+    return df.groupBy(*by).applyInPandas(match, schema)

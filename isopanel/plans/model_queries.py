@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
 from ..operators import cluster as K
 from ..operators import distance as D
+from ..operators import graphs as G
+from ..operators import refine
 from ..operators import stats as S
 from ..operators import temporal as M
 from ..operators import trees as R
@@ -163,3 +166,65 @@ def date_roles_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["date_roles_by_label"] = """WITH x AS (SELECT CAST(label AS VARCHAR) AS label, vec_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS x FROM embeddings JOIN events ON event_id = vec_id)
     SELECT label, n, CAST(span AS INTEGER) AS span, round(mean_gap, 6) AS mean_gap FROM (SELECT label, count(*) AS n, max(x) - min(x) AS span FROM x GROUP BY label) JOIN (SELECT a.label, avg(abs(a.x - b.x)) AS mean_gap FROM x a JOIN x b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label) USING (label)"""
+
+
+@query()
+def directional_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = T.vectors(spark, sf_dir)
+    kept = refine.directional_refinement(nodes, settled(G.knn_graph(nodes, 10), "knn"))
+    return kept.select("source", "target", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+@query()
+def spectral_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = T.vectors(spark, sf_dir)
+    found = refine.spectral_layout(nodes.select(F.col("id").alias("node")), settled(G.knn_graph(nodes, 5), "knn"))
+    return found.select("node", F.round(F.abs("x"), 5).alias("x"))
+
+
+@query()
+def local_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean days between ends of edges by shuffle, dates moved by two days at most."""
+    edges, dates = settled(G.knn_graph(T.vectors(spark, sf_dir), 5), "knn"), T.dates(spark, sf_dir)
+    dealt = settled(M.locally_shuffled(dates, 20, 2), "dealt")
+    a, b = (dealt.select("shuffle", F.col("node").alias(c), F.col("day").alias(d)) for c, d in (("source", "a"), ("target", "b")))
+    return edges.join(a, "source").join(b, ["shuffle", "target"]).groupBy("shuffle").agg(F.round(F.avg(F.abs(F.datediff("a", "b"))), 6).alias("mean"))
+
+
+@query()
+def best_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = T.vectors(spark, sf_dir)
+    found = A.geodesics(settled(G.knn_graph(nodes, 5), "knn"), nodes.select(F.col("id").alias("root")))
+    return M.best_root(found, T.dates(spark, sf_dir)).withColumn("r", F.round("r", 6))
+
+
+@query("""WITH x AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS x, avg(value) FILTER (event_type = 'view') AS y FROM events GROUP BY user_id), d AS (SELECT round(y - x, 6) AS delta FROM x WHERE x IS NOT NULL AND y IS NOT NULL),
+    s AS (SELECT delta, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2 AS r FROM d WHERE delta <> 0), t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM s GROUP BY abs(delta))),
+    w AS (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(count(*) FILTER (delta > 0) AS DOUBLE) AS up, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w FROM s)
+    SELECT (SELECT count(*) FROM d) AS n, round((SELECT quantile_cont(delta, 0.5) FROM d), 6) AS median, m, up, round((2 * up - m) / sqrt(m), 6) AS sign_z, w, round((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) AS z FROM w, t""")
+def paired_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
+    rows = T.table(spark, sf_dir, "events").groupBy("user_id").agg(of("click").alias("x"), of("view").alias("y")).select(F.lit(0.0).alias("x"), F.round(F.col("y") - F.col("x"), 6).alias("y"))
+    return S.paired_summary(rows, "x", "y").withColumns({c: F.round(c, 6) for c in ("median", "sign_z", "z")})
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_discount, 0.25) AS a, quantile_cont(l_discount, 0.5) AS b, quantile_cont(l_discount, 0.75) AS c FROM lineitem WHERE l_discount > 0)
+    SELECT CASE WHEN l_discount = 0 THEN 0 ELSE 1 + CAST(l_discount > a AS INTEGER) + CAST(l_discount > b AS INTEGER) + CAST(l_discount > c AS INTEGER) END AS stratum, count(*) AS n FROM lineitem, q GROUP BY 1""")
+def quantile_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.quantile_strata(T.table(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("double").alias("x")), "x", 4).groupBy("stratum").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(count(*)) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS n FROM events GROUP BY 1, 2), l AS (SELECT user_id, arg_max(n, day) AS last FROM c GROUP BY user_id)
+    SELECT user_id, CAST(any_value(last) AS BIGINT) AS last, min(day) FILTER (n >= 0.95 * last) AS x_at FROM c JOIN l USING (user_id) GROUP BY user_id""")
+def saturation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day by which a user has 95 % of its events."""
+    daily = T.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
+    running = daily.select("user_id", "day", F.sum("c").over(Window.partitionBy("user_id").orderBy("day")).alias("n"))
+    return S.saturation(running, "day", "n", "user_id")
+
+
+@query()
+def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the nearest other event of the same user by value."""
+    rows = T.table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("event_type") == "click").alias("first"))
+    return S.nearest_match(rows, "value", "first", "event_id", "user_id").withColumn("gap", F.round("gap", 6))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,37 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
         return parse_newick(text)
 
     return files.select("file", F.inline(parsed("value")))
+
+
+def _number(attributes: dict[str, Any], name: str) -> float | None:
+    value = attributes.get(name)
+    value = value.get("value") if isinstance(value, dict) else value
+    return float(value) if isinstance(value, int | float) and not isinstance(value, bool) else None
+
+
+def parse_tree_json(text: str) -> list[tuple[int, int | None, float, float, str]]:
+    """(node, parent, branch, root_dist, name) of a nested JSON tree in order: a node's cumulative `div` where it has one,
+    else its `branch_length`, gives the branch; no branch is below zero."""
+    tree = json.loads(text)
+    todo: list[tuple[dict[str, Any], int | None, float]] = [(tree.get("tree", tree), None, 0.0)]
+    rows: list[tuple[int, int | None, float, float, str]] = []
+    while todo:
+        node, parent, above = todo.pop()
+        attributes = node.get("node_attrs") or {}
+        div, length = _number(attributes, "div"), _number(node, "branch_length")
+        branch = max(0.0, div - above) if div is not None else max(0.0, length or 0.0)
+        own = len(rows)
+        rows.append((own, parent, branch if parent is not None else 0.0, above + branch, str(node.get("name", ""))))
+        todo += [(child, own, above + branch) for child in reversed(node.get("children") or [])]
+    return rows
+
+
+def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
+    """(file, node, parent, branch, root_dist, name) of trees, one in each file."""
+    files = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+
+    @F.udf("array<struct<node: bigint, parent: bigint, branch: double, root_dist: double, name: string>>")
+    def parsed(text: str) -> list[tuple[int, int | None, float, float, str]]:
+        return parse_tree_json(text)
+
+    return files.select("file", F.inline(parsed("value")))
