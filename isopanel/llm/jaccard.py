@@ -42,7 +42,7 @@ from .words import gram_hashes, hashes, mix, raw_words
 
 WORDS, PERCENT = 5, 75
 #: Shingles that a bucket of packed arrays should hold, and bytes of text that are packed together.
-BUCKET_SHINGLES, PACKED_TEXT = 2_500_000, 8_000_000
+BUCKET_SHINGLES, PACKED_TEXT = 2_000_000, 8_000_000
 #: Shingles in one chunk of a group, about.
 CHUNK_SHINGLES = 1_000_000
 #: Classes in one chunk of a group that is compared by bitmaps.
@@ -267,14 +267,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _first_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members (token, class, component) of one token and one chunk, on their sets."""
     sized = members.join(sets.select("class", "n_shingles"), "class")
-    chunks = sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks"))
+    # a table of its own, so that the join with a hot token's members can be split
+    chunks = written(sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks")), "jaccard-chunks")
     placed = sized.join(chunks, "token").select("token", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"), "class", "component")
     return placed.join(sets, "class").groupBy("token", "chunk").applyInArrow(_compare, "a binary, b binary")
 
 
 def _other_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """All links (a, b) between members (token, class, component) of one token that are not in one component."""
-    chunks = members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK_CLASSES).alias("chunks"))
+    chunks = written(members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK_CLASSES).alias("chunks")), "jaccard-chunks")
     placed = members.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("p"), F.greatest(c, F.col("chunk")).alias("q")))
     placed = placed.select("token", "class", "component", F.explode(pairs).alias("pair")).select("token", "pair.p", "pair.q", "class", "component")

@@ -50,28 +50,43 @@ def dealt(found: Iterator[Pack], buckets: int, width: int) -> Iterator[dict[str,
 
 
 def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: distinct (hash, name) in order, each hash's number of names, and the names."""
-    parts, tables, n = [], [], 0
-    for data, owners, names in zip(*(rows.column(c).to_pylist() for c in ("shingles", "owners", "classes")), strict=True):
-        at = np.frombuffer(owners, "<u2").astype(np.uint64) + np.uint64(n)
-        planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-        whole = np.zeros((planes.shape[1], 8), np.uint8)
-        whole[:, :width] = planes.T
-        parts.append((whole.view("<u8").ravel(), at))
-        tables.append(np.frombuffer(names, "V16"))
-        n += len(tables[-1])
-    h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Of a bucket: distinct (hash, name) in order, each hash's number of names, and the names.
+
+    Where a hash and a name's number fit in 64 bits, one array of these is sorted in place.
+    """
+    tables = [np.frombuffer(x, "V16") for x in rows.column("classes").to_pylist()]
     names, same = np.unique(np.concatenate(tables), return_inverse=True)
-    at = same.astype(np.uint64)[at]
+    same = same.astype(np.uint64)
     free = np.uint64(64 - 8 * width)
-    if len(names) < 1 << int(free):
-        both = np.sort(h << free | at)
-        h, at = both >> free, both & np.uint64((1 << int(free)) - 1)
+    narrow = len(names) < 1 << int(free)
+    parts, others, n = [], [], 0
+    for data, owners, table in zip(rows.column("shingles"), rows.column("owners"), tables, strict=True):
+        planes = np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1)
+        h = np.zeros(planes.shape[1], np.uint64)
+        for plane in planes[::-1]:
+            h <<= np.uint64(8)
+            h |= plane
+        at = same[n + np.frombuffer(owners.as_buffer(), "<u2").astype(np.int64)]
+        n += len(table)
+        if narrow:
+            h <<= free
+            h |= at
+        else:
+            others.append(at)
+        parts.append(h)
+    h = np.concatenate(parts)
+    del parts
+    if narrow:
+        h.sort()
+        h = h[np.append(True, h[1:] != h[:-1])]
+        at = h & np.uint64((1 << int(free)) - 1)
+        h >>= free
     else:
+        at = np.concatenate(others)
         order = np.lexsort((at, h))
         h, at = h[order], at[order]
-    first = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
-    h, at = h[first], at[first]
+        first = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
+        h, at = h[first], at[first]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     counts = np.diff(np.append(starts, len(h)))
     return h, at, np.repeat(counts, counts), names

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Words a worker remembers, twice over; beyond it the older half goes, so memory stays bounded on any corpus.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 #: Texts of these characters alone are split here; others, and those that may name a special token, go to the library whole.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
 #: The vocabulary's own word pattern (fixed), for the characters above in lower case.

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: A-Z in lower case; what is neither a letter, a digit nor part of a longer character becomes a space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
