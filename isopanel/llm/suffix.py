@@ -447,7 +447,8 @@ def _all_spans(docs: DataFrame, info: DataFrame, first: DataFrame, window: int)
     if not very.isEmpty():
         many = map_batches(_only(docs, very.select("doc_id", "class", "keys", "hot"), very.count()), _hot_windows, "doc_id bigint, class binary, start bigint, w binary", window, buckets)
         many = written(many, "repeats-hot")
-        least = many.groupBy("w").agg(F.min("doc_id").alias("least"))
+        # a table of its own, so that the join with a hot window's places can be split
+        least = written(many.groupBy("w").agg(F.min("doc_id").alias("least")), "repeats-least")
         later = many.join(least, "w").where("doc_id > least").groupBy("doc_id", "class").agg(F.collect_list("start").alias("starts"))
         hot = map_batches(later, _windows, "doc_id bigint, class binary, spans array<binary>", window)
         spans = spans.unionAll(hot).groupBy("doc_id", "class").agg(F.flatten(F.collect_list("spans")).alias("spans"))
