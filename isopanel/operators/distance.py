@@ -109,10 +109,14 @@ def nearest(nodes: DataFrame, k: int, metric: str = "cityblock", block: int = BL
         parts = []
         for own, others, m in [(a, b, d)] if same else [(a, b, d), (b, a, d.T)]:
             m = np.where(own[:, None] == others[None], np.float32(np.inf), m)
-            for row, i in zip(m, own, strict=True):
-                order = np.lexsort((others, row))[: k + 1]
-                order = order[others[order] != i][:k]
-                parts.append((np.full(len(order), i), others[order], row[order]))
+            # all that are as near as the k-th, then ties by id
+            edge = np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, min(k, m.shape[1]) - 1]
+            at, to = np.nonzero((m <= edge[:, None]) & np.isfinite(m))
+            order = np.lexsort((others[to], m[at, to], at))
+            at, to = at[order], to[order]
+            place = np.arange(len(at)) - np.searchsorted(at, np.arange(len(own)))[at]
+            at, to = at[place < k], to[place < k]
+            parts.append((own[at], others[to], m[at, to]))
         return _table(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     found = block_pairs(nodes, block).groupBy("p", "q").applyInArrow(best, PAIRS)

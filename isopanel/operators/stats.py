@@ -250,3 +250,20 @@ def nearest_match(df: DataFrame, value: str, first: str, key: str, *by: str, cal
         return pd.DataFrame(rows, columns=[*by, key, "match", "gap"])
 
     return df.groupBy(*by).applyInPandas(match, schema)
+
+
+def bootstrap_means(df: DataFrame, value: str, key: str, replicates: int, *by: str, level: float = 0.95) -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean over Poisson resamples.
+
+    A row's weight in a replicate is a Poisson number from the hash of its key, so nothing is drawn twice and the
+    replicates are partial sums.
+    """
+    draws = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    u = F.pmod(F.xxhash64(key, "k"), F.lit(1 << 30)) / float(1 << 30)
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(8)]
+    weight = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda t, s: t + F.when(F.col("u") > s, 1).otherwise(0))
+    rows = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v")).withColumn("k", draws).withColumn("u", u).withColumn("w", weight)
+    means = rows.groupBy(*by, "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    ends = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    whole = df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return whole.join(ends, list(by)).select(*by, "mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import cluster as K
 from ..operators import distance as D
+from ..operators import flows
 from ..operators import graphs as G
 from ..operators import refine
 from ..operators import stats as S
@@ -228,3 +229,28 @@ def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and the nearest other event of the same user by value."""
     rows = T.table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("event_type") == "click").alias("first"))
     return S.nearest_match(rows, "value", "first", "event_id", "user_id").withColumn("gap", F.round("gap", 6))
+
+
+@query()
+def exact_densest_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.exact_densest(G.knn_graph(T.vectors(spark, sf_dir), 5)).select("node")
+
+
+@query()
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.bootstrap_means(T.table(spark, sf_dir, "events"), "value", "event_id", 50, "event_type")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
+
+
+@query("""WITH s AS (SELECT c_custkey AS node, c_nationkey AS p FROM customer), e AS (SELECT least(node, 1000000 + p) AS source, greatest(node, 1000000 + p) AS target FROM s),
+    d AS (SELECT n AS node, count(*) AS degree FROM (SELECT source AS n FROM e UNION ALL SELECT target FROM e) GROUP BY n), f AS (SELECT o_custkey AS node, min(o_orderdate) AS first FROM orders GROUP BY 1 UNION ALL SELECT 1000000 + c_nationkey, min(o_orderdate) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+    SELECT source AS leaf, target AS inner, CASE WHEN x.first < y.first THEN 'leaf first' WHEN x.first > y.first THEN 'inner first' ELSE 'together' END AS relation FROM e JOIN d a ON a.node = source AND a.degree = 1 JOIN d b ON b.node = target AND b.degree > 1 JOIN f x ON x.node = source JOIN f y ON y.node = target""")
+def leaf_edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers hang on their nation; whose first order was earlier."""
+    customer, orders = T.table(spark, sf_dir, "customer"), T.table(spark, sf_dir, "orders")
+    nation = (F.lit(1_000_000) + F.col("c_nationkey")).cast("bigint")
+    edges = customer.select(F.col("c_custkey").alias("source"), nation.alias("target"), F.lit(1.0).alias("weight"))
+    own = orders.groupBy(F.col("o_custkey").alias("node")).agg(F.min("o_orderdate").alias("first"))
+    theirs = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(nation.alias("node")).agg(F.min("o_orderdate").alias("first"))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return M.leaf_edges(edges, own.unionByName(theirs), A.degrees(nodes, edges))

@@ -75,3 +75,23 @@ def test_local_shuffle_stays_near(spark):
 def test_tree_json():
     tree = {"tree": {"name": "r", "node_attrs": {"div": 1.0}, "children": [{"name": "a", "node_attrs": {"div": {"value": 3}}}, {"name": "b", "branch_length": 2, "children": [{"name": "c"}]}]}}
     assert parse_tree_json(json.dumps(tree)) == [(0, None, 0.0, 1.0, "r"), (1, 0, 2.0, 3.0, "a"), (2, 0, 2.0, 3.0, "b"), (3, 2, 0.0, 3.0, "c")]
+
+
+def test_exact_densest_subgraph():
+    from itertools import combinations
+
+    from isopanel.operators.flows import densest_nodes
+
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        n = 9
+        e = np.array([p for p in combinations(range(n), 2) if rng.random() < 0.4] or [(0, 1)])
+        dense = lambda s: sum(a in s and b in s for a, b in e.tolist()) / len(s)
+        best = max(dense(set(s)) for k in range(1, n + 1) for s in combinations(range(n), k))
+        assert dense(densest_nodes(e[:, 0], e[:, 1], n)) == pytest.approx(best)
+
+
+def test_bootstrap(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v"), F.lit("g").alias("g"))
+    one = S.bootstrap_means(df, "v", "id", 60, "g").first()
+    assert one["low"] < one["mean"] < one["high"] < one["low"] + 1
