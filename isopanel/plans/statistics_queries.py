@@ -265,10 +265,10 @@ def duplicate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, round(year(o_orderdate) + date_diff('day', date_trunc('year', o_orderdate), o_orderdate) / date_diff('day', date_trunc('year', o_orderdate), date_trunc('year', o_orderdate) + INTERVAL 1 YEAR), 8) AS decimal_year,
-    year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, CASE WHEN o_custkey <= 1 THEN '1' WHEN o_custkey <= 3 THEN '2-3' WHEN o_custkey <= 9 THEN '4-9' WHEN o_custkey <= 99 THEN '10-99' ELSE '100+' END AS bin FROM orders""")
+    year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, CASE WHEN o_custkey <= 5 THEN CAST(o_custkey AS VARCHAR) WHEN o_custkey <= 9 THEN '6-9' ELSE '10+' END AS degree_bin, CASE WHEN o_custkey <= 5 THEN CAST(o_custkey AS VARCHAR) WHEN o_custkey <= 9 THEN '6-9' WHEN o_custkey <= 24 THEN '10-24' WHEN o_custkey <= 49 THEN '25-49' WHEN o_custkey <= 99 THEN '50-99' ELSE '100+' END AS multiplicity_bin FROM orders""")
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
-    return T.table(spark, sf_dir, "orders").select("o_orderkey", F.round(C.decimal_year(day), 8).alias("decimal_year"), C.quarter_label(day).alias("quarter"), C.degree_bin(F.col("o_custkey")).alias("bin"))
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", F.round(C.decimal_year(day), 8).alias("decimal_year"), C.quarter_label(day).alias("quarter"), C.degree_bin(F.col("o_custkey")).alias("degree_bin"), C.multiplicity_bin(F.col("o_custkey")).alias("multiplicity_bin"))
 
 
 @query("""WITH q AS (SELECT CAST(year(o_orderdate) AS VARCHAR) || '_' || o_orderpriority AS stratum, o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate), o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, count(*) OVER (PARTITION BY year(o_orderdate), o_orderpriority) AS n FROM orders)
