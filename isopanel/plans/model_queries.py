@@ -147,8 +147,8 @@ def streamed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of lags; the last batch's moments."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    # a pattern stands for a file as well as for a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     lags = stream.select(F.col("event_type").alias("graph"), F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("lag_days"))
     out = shared_dir(spark, "moments")
     found = moments.keep_moments(lags, out, shared_dir(spark, "moments-checkpoint"))
