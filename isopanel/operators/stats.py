@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ..storage import settled
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null without variance, also where division by zero is an error."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def average_rank(value: str, *by: str) -> Column:
     """Rank with ties at their mean, within groups."""
     w = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -41,14 +48,14 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho); null with fewer than three finite pairs or without variance."""
     fine = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})")
     ranked = with_ranks(fine.select(x, y), x, y)
-    rho = F.corr(f"rank_{x}", f"rank_{y}")
-    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.nanvl(rho, F.lit(None).cast("double"))).alias("rho"))
+    rho = correlation(f"rank_{x}", f"rank_{y}")
+    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, rho).alias("rho"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
     """One row (n, rho, rho_xy, rho_xz, rho_yz) of x and y given control."""
     ranked = with_ranks(df.select(x, y, control).dropna(), x, y, control)
-    one = ranked.agg(F.count("*").alias("n"), F.corr(f"rank_{x}", f"rank_{y}").alias("rho_xy"), F.corr(f"rank_{x}", f"rank_{control}").alias("rho_xz"), F.corr(f"rank_{y}", f"rank_{control}").alias("rho_yz"))
+    one = ranked.agg(F.count("*").alias("n"), correlation(f"rank_{x}", f"rank_{y}").alias("rho_xy"), correlation(f"rank_{x}", f"rank_{control}").alias("rho_xz"), correlation(f"rank_{y}", f"rank_{control}").alias("rho_yz"))
     below = F.sqrt((1 - F.col("rho_xz") ** 2) * (1 - F.col("rho_yz") ** 2))
     return one.select("n", F.when((F.col("n") >= 4) & (below > 0), (F.col("rho_xy") - F.col("rho_xz") * F.col("rho_yz")) / below).alias("rho"), "rho_xy", "rho_xz", "rho_yz")
 
@@ -90,7 +97,7 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     n = F.count("*")
     enough = (n >= 3) & (F.count_distinct(x) >= 2) & (F.count_distinct(y) >= 2)
     rest = F.sqrt(F.regr_syy(y, x) * (1 - F.regr_r2(y, x)) / (n - 2))
-    return df.dropna(subset=[x, y]).agg(n.alias("n"), *(F.when(enough, c).alias(a) for c, a in ((F.regr_slope(y, x), "slope"), (F.regr_intercept(y, x), "intercept"), (F.corr(x, y), "r"), (F.regr_r2(y, x), "r2"), (rest, "residual_sd"))))
+    return df.dropna(subset=[x, y]).agg(n.alias("n"), *(F.when(enough, c).alias(a) for c, a in ((F.regr_slope(y, x), "slope"), (F.regr_intercept(y, x), "intercept"), (correlation(x, y), "r"), (F.regr_r2(y, x), "r2"), (rest, "residual_sd"))))
 
 
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
