@@ -2,9 +2,10 @@
 
 A clause is read left to right by transducers that are composed: the first rewrites words as symbols (insult, threat,
 target, negation, reported speech, other), the second is an automaton whose state says what the clause has opened
-(nothing, a negation still in force, reported speech, a target awaiting its predicate), and each arc weighs the insult
-or threat it passes by that state. So "not stupid" or "he said 'trash'" weighs less than "you are trash", a threat
-counts only towards a target, and a clause's weight is the sum along its path. Documents are scored from their
+(nothing, a negation still in force, reported speech, a target awaiting its predicate, a threat or insult awaiting its
+target), and each arc weighs the insult or threat it passes by that state. So "not stupid" or "he said 'trash'" weighs
+less than "you are trash", a threat counts only towards a target, which stands before it ("they will kill") or after it
+("I will kill you"), and a clause's weight is the sum along its path. Documents are scored from their
 clauses: the heaviest, their sum, how many, and their share.
 
 What the grammar can't know is learned from labelled rows of the training folds, LABELLED_ROWS of them at most: which
@@ -42,7 +43,7 @@ THREATS = "kill hurt destroy beat burn shoot attack crush stab punish".split()
 TARGETS = "you your yours they them their he him she her people everyone".split()
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't cannot can't hardly".split()
 REPORTS = "said says say wrote writes called reported quoted claims claimed alleged according told".split()
-#: How long a negation, reported speech and a target stay in force, in words.
+#: How long a negation, reported speech and a target stay in force, in words; a threat or insult awaits a target as long.
 REACH = {"negation": 3, "report": 8, "target": 6}
 #: What an arc does to an insult's weight in each state.
 NEGATED, REPORTED, TARGETED = 0.3, 0.6, 1.3
@@ -73,16 +74,28 @@ class Grammar:
         return not self.head_bytes.isdisjoint(low.encode().translate(_LETTERS).split())
 
     def weigh(self, words: list[str]) -> float:
-        """The path's weight. A state is what is still in force, and for how many words."""
+        """The path's weight. A state is what is still in force, and for how many words.
+
+        pending: what each threat or insult without a target before it adds if one comes, and up to which word.
+        """
         left = dict.fromkeys(REACH, 0)
+        pending: list[tuple[float, int]] = []
         total = 0.0
-        for word in words:
+        for at, word in enumerate(words):
             symbol = self.symbols.get(word)
             factor = (NEGATED if left["negation"] else 1) * (REPORTED if left["report"] else 1)
-            if symbol == "insult":
+            if symbol == "target":
+                total += sum(weight for weight, last in pending if at <= last)
+                pending = []
+            elif symbol == "insult":
                 total += self.insults[word] * factor * (TARGETED if left["target"] else 1)
-            elif symbol == "threat" and left["target"]:
-                total += THREAT_WEIGHT * factor
+                if not left["target"]:
+                    pending.append((self.insults[word] * factor * (TARGETED - 1), at + REACH["target"]))
+            elif symbol == "threat":
+                if left["target"]:
+                    total += THREAT_WEIGHT * factor
+                else:
+                    pending.append((THREAT_WEIGHT * factor, at + REACH["target"]))
             left = {k: max(0, n - 1) for k, n in left.items()}
             if symbol in left:
                 left[symbol] = REACH[symbol]

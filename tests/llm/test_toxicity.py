@@ -45,3 +45,21 @@ def test_learned(spark):
     none = tox.learn(df, lf.limit(0))
     assert {r["doc_id"] for r in tox.score(df, none).collect() if r["predicted"]} >= {5002}
     assert tox.score(df.limit(0), model).count() == 0
+
+
+def test_targets_that_follow():
+    g = tox.Grammar({"stupid": 2.0})
+    w = lambda s: g.weigh(s.split())
+    assert w("kill the lights") == 0 < w("i will kill you") == w("we will hurt them") == w("they will kill") == tox.THREAT_WEIGHT
+    assert w("i will not kill you") == tox.NEGATED * w("i will kill you")
+    assert w("she will kill you") == w("i will kill you") and w("i will kill you and them") == w("i will kill you")
+    assert w("kill and burn you") == 2 * tox.THREAT_WEIGHT
+    assert w("kill a b c d e you") > 0 == w("kill a b c d e f you")
+    assert w("stupid you") == w("you stupid") == tox.TARGETED * w("stupid")
+    assert [(c.start, c.end) for c in g.clauses("Kill it. You go. I will kill you.")] == [(16, 33)]
+
+
+def test_threats_are_scored(spark):
+    docs = spark.createDataFrame([(1, "I will kill you.", "", ""), (2, "Kill the lights.", "", ""), (3, "Fine words.", "", "")], SCHEMA)
+    got = {r["doc_id"]: r for r in tox.score(docs, tox.Model({}, [1.5, 0.5, 0.5, 0.0, 0.0, -2.5])).collect()}
+    assert got[1]["score"] > got[2]["score"] == got[3]["score"] and got[1]["heaviest"] == "I will kill you."
