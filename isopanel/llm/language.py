@@ -7,8 +7,9 @@ and P(suffix | language), and for hosts a hierarchy (host, its parent domain, ev
 the one above and without the row's own share. Text counts as much as EVIDENCE trigrams at most, so that long texts
 don't drown what else is known.
 
-Trigram models are trained on LABELLED_ROWS rows with a declared language at most, picked by a hash of the id. Languages
-are the declared ones, at most MOST_LANGUAGES by number of rows.
+Trigram models are trained for each declared language on about LABELLED_ROWS of its rows that have letters, picked by a
+hash of the id, or on all of them where it has no more. Languages are all declared ones; those beyond MOST_LANGUAGES go
+in further blocks of columns, one pass over the texts for each, so that a task holds one block's models.
 
 Defined cases: a text without letters, null or empty, is UNDETERMINED and rejected, as is one that its best model finds
 less likely than chance; a missing declaration, suffix or host is a value of its own; null ids and repeated rows are
@@ -30,6 +31,7 @@ from .common import map_batches, slices, texts_of, written
 
 UNDETERMINED = "und"
 LABELLED_ROWS = 4000
+#: Languages whose models are held at once.
 MOST_LANGUAGES = 200
 BUCKETS = 1 << 16
 EVIDENCE = 64
@@ -38,6 +40,9 @@ ALPHA, HOST_ROWS, VALUE_ROWS = 0.1, 20.0, 1.0
 LEAST_PROBABILITY = 0.5
 #: Grouped tables of up to so many rows (a few numbers each) go to every task; larger ones are joined by shuffle.
 BROADCAST_ROWS = 10_000
+#: Hashes that pick rows are below this.
+HASHES = 1 << 40
+_LETTER = r"[a-zA-Z\x{80}-\x{10FFFF}]"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
@@ -56,19 +61,26 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def languages(docs: DataFrame) -> list[str]:
-    counts = docs.where("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES)
-    return sorted(r["declared"] for r in counts.collect())
+    return sorted(r["declared"] for r in docs.where("declared <> ''").select("declared").distinct().collect())
 
 
-def train(docs: DataFrame, names: list[str], limit: int = LABELLED_ROWS) -> np.ndarray:
+def sample(docs: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
+    """declared and text of rows to train on: about `limit` of each language, all rows of rarer ones, never none."""
+    known = docs.where(F.col("declared").isin(names) & F.col("text").rlike(_LETTER)).select("declared", "text", F.pmod(F.xxhash64("key"), F.lit(HASHES)).alias("hash"))
+    share = F.lit(float(limit or LABELLED_ROWS)) / F.count("*")
+    bounds = known.groupBy("declared").agg(F.greatest(F.min("hash"), (share * HASHES).cast("bigint")).alias("bound"))
+    # a row for each language
+    return known.join(F.broadcast(bounds), "declared").where("hash <= bound").select("declared", "text")
+
+
+def train(docs: DataFrame, names: list[str], limit: int | None = None) -> np.ndarray:
     """log P(trigram bucket | language), of rows with a declared language: BUCKETS x languages."""
-    known = docs.where(F.col("declared").isin(names))
-    share = min(1.0, limit / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = map_batches(picked.select("declared", "text"), _counts, "language string, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample(docs, names, limit), _counts, "language string, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS, len(names)), ALPHA)
-    for r in counts.collect():  # at most BUCKETS for each language
-        table[r["bucket"], names.index(r["language"])] += r["n"]
+    place = {name: i for i, name in enumerate(names)}
+    for batch in counts.toArrow().to_batches():  # at most BUCKETS for each language
+        columns = [place[x] for x in batch.column("language").to_pylist()]
+        table[batch.column("bucket").to_numpy(), columns] += batch.column("n").to_numpy()
     return np.log(table / table.sum(0)).astype(np.float32)
 
 
@@ -83,7 +95,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
 
 
 def _likelihood(batches: Iterator[pa.RecordBatch], model: np.ndarray, columns: list[str]) -> Iterator[dict[str, Any]]:
-    """Mean log likelihood by language and number of trigrams of each text."""
+    """Mean log likelihood by language, after those at hand, and number of trigrams of each text."""
     for whole in batches:
         for batch in slices(whole, size=2_000_000):
             buckets, n = trigrams(texts_of(batch))
@@ -93,7 +105,8 @@ def _likelihood(batches: Iterator[pa.RecordBatch], model: np.ndarray, columns: l
                 starts = (np.cumsum(n) - n)[some]
                 for j in range(model.shape[1]):
                     means[some, j] = np.add.reduceat(model[buckets, j], starts, dtype=np.float64) / n[some]
-            yield {c: batch.column(c) for c in columns} | {"n": n, "means": list(means)}
+            before = np.array(batch.column("means").to_pylist(), float).reshape(len(n), -1)
+            yield {c: batch.column(c) for c in columns} | {"n": n, "means": list(np.hstack([before, means]))}
 
 
 def host_of(url: Column) -> Column:
@@ -129,10 +142,15 @@ def identify(rows: DataFrame) -> DataFrame:
     keys = rows.select("key.*").schema
     if not names:
         return rows.select("key", F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNDETERMINED).alias("text_language"), "declared", F.lit(False).alias("accepted"))
-    model = train(rows, names)
     columns = [*keys.names, "declared", "suffix", "host", "parent"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "declared string, suffix string, host string, parent string, n bigint, means array<double>"])
-    evidence = map_batches(rows.select("key.*", "text", "declared", "suffix", "host", "parent"), _likelihood, schema, model, columns)
+    evidence = rows.select("key.*", "text", "declared", "suffix", "host", "parent", F.array().cast("array<double>").alias("means"))
+    for at in range(0, len(names), MOST_LANGUAGES):
+        model = train(rows, names[at : at + MOST_LANGUAGES])
+        if at + MOST_LANGUAGES < len(names):
+            evidence = written(map_batches(evidence, _likelihood, f"{schema}, text string", model, [*columns, "text"]), "language-block")
+        else:
+            evidence = map_batches(evidence, _likelihood, schema, model, columns)
     evidence = written(evidence.select(F.struct(*keys.names).alias("key"), "declared", "suffix", "host", "parent", "n", "means"), "language-evidence")
 
     text = F.transform("means", lambda m: m * F.least(F.col("n"), F.lit(EVIDENCE)))

@@ -49,3 +49,33 @@ def test_trigrams():
     assert n.tolist() == [2, 0, 3, 2]
     assert (buckets[:2] == buckets[-2:]).all() and buckets.max() < language.BUCKETS
     assert language.trigrams([])[1].tolist() == [] and np.all(language.trigrams([""])[1] == 0)
+
+
+def many(spark, n):
+    """n rows of one language and five of another."""
+    common = spark.range(n).selectExpr("id AS doc_id", "concat('lorem ipsum dolor amet ', id % 7) AS text", "'aa' AS lang", "'s' AS source")
+    return common.unionAll(spark.createDataFrame([(n + i, "zwart kwik bijl wijk kwik", "bb", "s") for i in range(5)], common.schema))
+
+
+def test_rare_languages_of_large_tables_are_trained(spark):
+    df = many(spark, 150_000)
+    rare = language.documents_languages(df.where("lang = 'bb' OR doc_id < 100")).where("declared = 'bb'").collect()
+    got = language.documents_languages(df).where("declared = 'bb'").collect()
+    assert {(r["language"], r["text_language"], r["accepted"]) for r in rare} == {(r["language"], r["text_language"], r["accepted"]) for r in got} == {("bb", "bb", True)} and len(got) == 5
+
+
+def test_sample_by_language(spark):
+    rows = language.from_documents(many(spark, 20_000).unionAll(spark.range(3000).selectExpr("id", "'12 ?'", "'cc'", "'s'")).unionAll(spark.createDataFrame([(9, "čas", "cc", "s")], "doc_id long, text string, lang string, source string")).unionAll(spark.range(500).selectExpr("1", "'one text'", "'dd'", "'s'")))
+    n = {r["declared"]: r["count"] for r in language.sample(rows, ["aa", "bb", "cc", "dd"], 100).groupBy("declared").count().collect()}
+    assert 50 < n["aa"] < 200 and n["bb"] == 5 and n["cc"] == 1 and n["dd"] > 0
+
+
+def test_blocks_of_languages(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, text(rng, name, 20), name, "s") for i, name in enumerate(list(WORDS) * 30)] + [(1000, None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    want = sorted(language.documents_languages(df).collect())
+    for most in (1, 2):
+        monkeypatch.setattr(language, "MOST_LANGUAGES", most)
+        assert sorted(language.documents_languages(df).collect()) == want
+    assert {r["language"] for r in want} == {*WORDS, "und"}
