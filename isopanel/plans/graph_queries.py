@@ -17,6 +17,8 @@ from . import tables as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 TAU, K = 7.8, 5
+#: Of box counting, as in the surveyed engine: boxes of sizes 3, 5, ... 21 (2 * radius + 1), covered anew by each order.
+BOX_RADII, BOX_TRIALS = range(1, 11), 100
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
@@ -273,13 +275,13 @@ def geodesic_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def box_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of all radii by three orders of priority, and the dimension they give."""
+    """Boxes of BOX_RADII by BOX_TRIALS orders of priority, each a hash of the nodes; the least of a radius counts."""
     nodes = T.vectors(spark, sf_dir)
     edges = settled(G.knn_graph(nodes, K), "knn")
-    order = lambda t: F.sort_array(F.collect_list(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), "node"))).alias("p")
-    kept = A.largest_component(_nodes(spark, sf_dir), edges)
-    orders = [kept.agg(order(t)).select(F.lit(t).cast("bigint").alias("trial"), F.col("p.node").alias("priority")) for t in range(3)]
-    trials = orders[0].unionAll(orders[1]).unionAll(orders[2]).withColumn("radius", F.explode(F.array(*(F.lit(r).cast("bigint") for r in (0, 1, 2, 3)))))
+    kept = settled(A.largest_component(_nodes(spark, sf_dir), edges), "largest")
+    order = F.sort_array(F.collect_list(F.struct(F.xxhash64("node", "trial").alias("h"), "node"))).alias("p")
+    orders = kept.crossJoin(spark.range(BOX_TRIALS).withColumnRenamed("id", "trial")).groupBy("trial").agg(order)
+    trials = orders.select("trial", F.col("p.node").alias("priority"), F.explode(F.array(*(F.lit(r).cast("bigint") for r in BOX_RADII))).alias("radius"))
     return A.box_cover(G.induced(edges, kept), trials)
 
 
@@ -306,7 +308,7 @@ def local_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def zero_skew_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 of the farthest-first order."""
+    """The farthest-first order of all nodes; the last row has the whole bound."""
     nodes = T.vectors(spark, sf_dir)
-    found = A.skew_bound(A.farthest_first(nodes, settled(D.pairwise(nodes), "pairs"), 20))
+    found = A.skew_bound(A.farthest_first(nodes, settled(D.pairwise(nodes), "pairs")))
     return found.select("rank", "node", F.round("distance", 4).alias("distance"), F.round("bound", 4).alias("bound"))
