@@ -5,12 +5,14 @@ seeds of test items are joined with those of every position of every document, a
 diagonal (word i of the item beside word i + d of the document) the best run, a match for +1 and a mismatch for -2,
 gives matched words; runs on diagonals at most SLIP apart count together, which bridges inserted and deleted words.
 
-The test side goes to each task as a sorted table of at most ITEM_SEEDS seeds. A larger benchmark goes in blocks, one
-pass over the documents for each, so that memory is bounded by a constant.
+The test side goes to each task as a sorted table of about ITEM_SEEDS seeds. A larger benchmark goes in blocks, one pass
+over the documents for each, and one block at a time is in memory: rows are numbered and written once, each pass writes
+what it finds by these numbers, and a join brings it back to the rows. Results are the same in one block and in many.
 
 Defined cases: null and empty texts are clean; items without words match nothing; an item of fewer words than the
 shortest mask must appear whole; repeated documents are each reported; a null doc_id stays null; repeated items count
-once each; further columns go along in clean() and are not read in report().
+once each; an item_id may be null; of equal overlaps the smallest item_id is reported, null last; further columns go
+along in clean() and are not read in report().
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, texts_of
+from .common import map_batches, slices, texts_of, written
 from .words import gram_hashes, hashes, plain_words
 
 MASKS = ("111111", "1101011", "11001101", "101100101", "1110010101")
@@ -40,10 +43,18 @@ class Seeds(NamedTuple):
     item: np.ndarray
     place: np.ndarray
     words: list[np.ndarray]
-    names: list[int]
+    names: list[int | None]
 
 
-def seeds_of(items: list[tuple[int, str | None]]) -> Seeds:
+Items = list[tuple[int | None, str | None]]
+
+
+def seed_hashes(words: np.ndarray, mask: list[int]) -> np.ndarray:
+    """Other masks give other numbers for the same words, so that no item's hits depend on the masks of others."""
+    return gram_hashes(words, mask) ^ np.uint64(xxhash.xxh3_64_intdigest(bytes(mask)))
+
+
+def seeds_of(items: Items) -> Seeds:
     words = [hashes().of(plain_words(text)) for _, text in items]
     shortest = min(map(len, MASKS))
     masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
@@ -52,7 +63,7 @@ def seeds_of(items: list[tuple[int, str | None]]) -> Seeds:
     for number, mask in enumerate(masks):
         for i, w in enumerate(words):
             if number < len(MASKS) or len(w) == len(mask):
-                h = gram_hashes(w, mask)
+                h = seed_hashes(w, mask)
                 parts.append((h, np.full(len(h), i), np.arange(len(h))))
     keys, item, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
     order = np.argsort(keys, kind="stable")
@@ -63,7 +74,7 @@ def hits(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> set[tuple[int,
     """(item, diagonal) of all seed hits; filled: which low bits of a hash some seed has."""
     found: set[tuple[int, int]] = set()
     for mask in seeds.masks:
-        h = gram_hashes(words, mask)
+        h = seed_hashes(words, mask)
         at = np.flatnonzero(filled[h & np.uint64(len(filled) - 1)])
         if len(at):
             low, high = np.searchsorted(seeds.keys, h[at], "left"), np.searchsorted(seeds.keys, h[at], "right")
@@ -83,7 +94,7 @@ def best_run(item: np.ndarray, words: np.ndarray, diagonal: int) -> np.ndarray:
     return a + start + np.flatnonzero(same[start:end])
 
 
-def overlaps(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> list[tuple[int, int, float]]:
+def overlaps(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> list[tuple[int | None, int, float]]:
     """(item_id, matched words, share of the item) of each item that overlaps by LEAST_RUN words at least."""
     runs: dict[int, list[tuple[int, np.ndarray]]] = {}
     for item, diagonal in sorted(hits(words, seeds, filled)):
@@ -114,29 +125,50 @@ def is_leak(matched: int, share: float) -> bool:
     return matched >= MATCHED or share >= SHARE
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """Test items in blocks of bounded seeds; how many blocks comes from their words."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    n = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """Test items in blocks of about ITEM_SEEDS seeds, none read yet; how many blocks comes from their words."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    words = F.size(F.split("text", r"[^0-9a-zA-Z\x{80}-\x{10FFFF}]+"))
+    n = items.agg(F.sum(words).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(n) * len(MASKS) // ITEM_SEEDS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[tuple(r) for r in items.where(part == b).orderBy("item_id", "text").collect()] for b in range(blocks)]
+    return [items.where(part == b).orderBy("item_id", "text") for b in range(blocks)]
+
+
+def _read(block: DataFrame) -> Items:
+    return [tuple(r) for r in block.collect()]
+
+
+SCHEMA = "doc_id bigint, contaminated boolean, n_items bigint, item_id bigint, n_matched bigint, share double"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _found(rows: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """What SCHEMA has after doc_id, by _row, of the numbered rows that overlap with some item."""
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    passes = [written(map_batches(keyed, _report, SCHEMA, _read(b)).where("n_matched > 0"), "decontaminate-block") for b in blocks]
+    # as in _report: a leak before none, then the larger overlap, then the smaller item_id, null last
+    best = F.max(F.struct("contaminated", "n_matched", "share", F.bitwise_not("item_id").alias("not_id"))).alias("best")
+    every = reduce(DataFrame.unionAll, passes).groupBy(F.col("doc_id").alias("_row")).agg(F.sum("n_items").alias("n_items"), best)
+    return every.select("_row", "best.contaminated", "n_items", F.bitwise_not("best.not_id").alias("item_id"), "best.n_matched", "best.share")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: doc_id, contaminated, n_items, item_id, n_matched, share (of its largest overlap)."""
     keyed = docs.select("doc_id", "text")
-    schema = "doc_id bigint, contaminated boolean, n_items bigint, item_id bigint, n_matched bigint, share double"
-    blocks = [map_batches(keyed, _report, schema, items) for items in _blocks(benchmark)]
+    blocks = _blocks(benchmark)
     if len(blocks) == 1:
-        return blocks[0]
-    every = reduce(DataFrame.unionAll, blocks)
-    best = F.max_by(F.struct("item_id", "n_matched", "share"), F.struct("contaminated", "n_matched", "share")).alias("best")
-    # repeated documents of one id have one row together where a benchmark needs several passes
-    return every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), best).select("doc_id", "contaminated", "n_items", "best.*")
+        return map_batches(keyed, _report, SCHEMA, _read(blocks[0]))
+    rows = _numbered(keyed)
+    none = {"contaminated": F.lit(False), "n_items": F.lit(0), "n_matched": F.lit(0), "share": F.lit(0.0)}
+    joined = rows.select("_row", "doc_id").join(_found(rows, blocks), "_row", "left")
+    return joined.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in ("contaminated", "n_items", "item_id", "n_matched", "share")))
 
 
-def _report(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str | None]]) -> Iterator[dict[str, Any]]:
+def _report(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[dict[str, Any]]:
     seeds = seeds_of(items)
     filled = bitmap(seeds)
     for whole in batches:
@@ -145,22 +177,25 @@ def _report(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str | None
             for text in texts_of(batch):
                 found = overlaps(hashes().of(plain_words(text)), seeds, filled)
                 leaks = [f for f in found if is_leak(*f[1:])]
-                item, matched, share = max(leaks or found, key=lambda f: (f[1], f[2], -f[0]), default=(None, 0, 0.0))
+                item, matched, share = max(leaks or found, key=lambda f: (f[1], f[2], f[0] is not None, -(f[0] or 0)), default=(None, 0, 0.0))
                 out.append((bool(leaks), len(leaks), item, matched, share))
             yield {"doc_id": batch.column("doc_id")} | dict(zip(("contaminated", "n_items", "item_id", "n_matched", "share"), zip(*out, strict=True), strict=True))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated ones; all columns stay."""
-    for items in _blocks(benchmark):
-
-        def kept(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str | None]] = items) -> Iterator[pa.RecordBatch]:
-            seeds = seeds_of(items)
-            filled = bitmap(seeds)
-            for whole in batches:
-                for batch in slices(whole):
-                    stay = [not any(is_leak(*f[1:]) for f in overlaps(hashes().of(plain_words(t)), seeds, filled)) for t in texts_of(batch)]
-                    yield batch.filter(pa.array(stay))
-
-        docs = docs.mapInArrow(kept, docs.schema)
-    return docs
+    blocks = _blocks(benchmark)
+    if len(blocks) > 1:
+        rows = _numbered(docs)
+        return rows.join(_found(rows, blocks).where("contaminated").select("_row"), "_row", "left_anti").drop("_row")
+    items = _read(blocks[0])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = seeds_of(items)
+        filled = bitmap(seeds)
+        for whole in batches:
+            for batch in slices(whole):
+                stay = [not any(is_leak(*f[1:]) for f in overlaps(hashes().of(plain_words(t)), seeds, filled)) for t in texts_of(batch)]
+                yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(kept, docs.schema)

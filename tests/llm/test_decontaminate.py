@@ -69,3 +69,24 @@ def test_hits_equal_brute_force():
             if 0 < len(item) < 6:
                 want |= {(i, p) for p in range(len(words) - len(item) + 1) if (words[p : p + len(item)] == item).all()}
         assert dc.hits(words, seeds, filled) == want
+
+
+def test_blocks_give_the_same_rows(spark, monkeypatch):
+    items, docs, _ = fixture()
+    rng = random.Random(3)
+    lost = " ".join(rng.choices(WORDS, k=30))
+    items = [*items, (None, lost), (77, items[1][1]), (78, lost)]
+    docs = [*docs, (None, items[1][1], 2, "y"), (None, None, 3, None), (None, "clean too", 4, None), (950, f"a {lost} b", 5, "z"), (950, f"a {lost} b", 6, "z"), (950, "clean", 7, None)]
+    only_null = spark.createDataFrame([(None, lost)], "item_id long, text string")
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, SCHEMA)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    want, stay = rows(dc.report(df, bench)), rows(dc.clean(df, bench))
+    assert len(want) == len(docs) and [r[1:4] for r in want if r[0] == 950] == [(False, 0, None), (True, 2, 78), (True, 2, 78)]
+    assert sorted(r[1] for r in want if r[0] is None) == [False, False, False, True]
+    assert [r[:5] for r in rows(dc.report(df, only_null)) if r[1]] == [(950, True, 1, None, 30)] * 2
+    assert dc.clean(df, only_null).count() == len(docs) - 2
+    monkeypatch.setattr(dc, "ITEM_SEEDS", 1000)
+    blocks = dc._blocks(bench)
+    assert len(blocks) > 2 and sum(b.count() for b in blocks) == len([x for x in items if x[1] is not None])
+    again = dc.clean(df, bench)
+    assert rows(dc.report(df, bench)) == want and rows(again) == stay and again.columns == df.columns
