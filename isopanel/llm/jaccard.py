@@ -5,7 +5,7 @@ whole sequence). Texts with one set are one class, known by a digest of the set;
 
 1. A class that links to another shares 75 % of its own shingles with other classes at least. Shingles travel as packed
    arrays, dealt by hash; who has fewer shared ones takes no further part. Shingles of 24 bits a bucket may make some
-   seem shared that are not, never the other way round.
+   seem shared that are not, never the other way round: own shingles that are alike in these bits count as shared.
 2. Among the rest, a class's shingles are ordered by how many classes have them, rarest first. Linked classes have one
    in common among the first |A| - ceil(0.75 |A|) + 1 (prefix filter), so all links lie in groups by such a shingle.
 3. A first round compares classes that share one of their LEADS least hashed shingles, on whole sets, which joins most
@@ -88,9 +88,13 @@ def _deal_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict
 
 
 def _shared(rows: pa.Table, parts: int) -> pa.Table:
-    """How many shingles each class shares with others in this bucket; a row for each part of the classes."""
-    _, at, counts, classes = gathered(rows, 3)
+    """How many shingles each class shares with others in this bucket, at most; a row for each part of the classes.
+
+    Shingles of one class with the same bits are one entry; all that this hides counts as shared.
+    """
+    _, at, counts, classes, entries = gathered(rows, 3)
     n = np.bincount(at[counts > 1].astype(np.int64), minlength=len(classes))
+    n += np.where(n > 0, entries - np.bincount(at.astype(np.int64), minlength=len(classes)), 0)
     some = np.flatnonzero(n)
     return in_parts(classes[some], {"shared": (np.ones(len(some), np.int64), n[some].astype("<u4"))}, parts)
 
@@ -104,7 +108,7 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 def _frequencies(rows: pa.Table, parts: int) -> pa.Table:
     """Each class's shared shingles in this bucket and how many classes have them (255: or more); a row for each part."""
-    h, at, counts, classes = gathered(rows, 8)
+    h, at, counts, classes, _ = gathered(rows, 8)
     some = counts > 1
     h, at, counts = h[some], at[some].astype(np.int64), np.minimum(counts[some], 255)
     order = np.argsort(at, kind="stable")

@@ -49,8 +49,9 @@ def dealt(found: Iterator[Pack], buckets: int, width: int) -> Iterator[dict[str,
             yield {"bucket": [int(bucket[a])], "shingles": [planes.tobytes()], "owners": [at.astype("<u2").tobytes()], "classes": [table[present].tobytes()]}
 
 
-def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: distinct (hash, name) in order, each hash's number of names, and the names.
+def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: distinct (hash, name) in order, each hash's number of names, the names, and how many hashes each
+    name's set has here, those that are alike in their low `width` bytes included (each row has a name's whole set).
 
     Where a hash and a name's number fit in 64 bits, one array of these is sorted in place.
     """
@@ -59,6 +60,7 @@ def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     same = same.astype(np.uint64)
     free = np.uint64(64 - 8 * width)
     narrow = len(names) < 1 << int(free)
+    entries = np.zeros(len(names), np.int64)
     parts, others, n = [], [], 0
     for data, owners, table in zip(rows.column("shingles"), rows.column("owners"), tables, strict=True):
         planes = np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1)
@@ -66,7 +68,9 @@ def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         for plane in planes[::-1]:
             h <<= np.uint64(8)
             h |= plane
-        at = same[n + np.frombuffer(owners.as_buffer(), "<u2").astype(np.int64)]
+        owner = np.frombuffer(owners.as_buffer(), "<u2").astype(np.int64)
+        at, own = same[n + owner], same[n : n + len(table)]
+        entries[own] = np.maximum(entries[own], np.bincount(owner, minlength=len(table)))
         n += len(table)
         if narrow:
             h <<= free
@@ -89,7 +93,7 @@ def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         h, at = h[first], at[first]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     counts = np.diff(np.append(starts, len(h)))
-    return h, at, np.repeat(counts, counts), names
+    return h, at, np.repeat(counts, counts), names, entries
 
 
 Lists = dict[str, tuple[np.ndarray, np.ndarray]]

@@ -136,7 +136,7 @@ def _flags(rows: pa.Table, most: int, parts: int) -> pa.Table:
     A row for each part of the texts.
     """
     bucket = rows.column("bucket")[0].as_py()
-    h, at, counts, classes = gathered(rows, 4)
+    h, at, counts, classes, _ = gathered(rows, 4)
     some = counts > 1
     key, at, hot = h[some] | np.uint64(bucket) << np.uint64(32), at[some], counts[some] > most
     order = np.argsort(at, kind="stable")

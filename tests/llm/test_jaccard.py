@@ -123,3 +123,13 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_long_texts_whose_own_shingles_collide(spark):
+    words = [f"w{i}" for i in range(100_004)]
+    rows = [(1, " ".join(words), None, None), (2, " ".join(words[:75_054]), None, None), (3, " ".join(words[:75_002]), None, None)]
+    # 75,050 of 100,000 link; 74,998 of 100,000 don't
+    for other, linked in ((2, True), (3, False)):
+        df = spark.createDataFrame([r for r in rows if r[0] in (1, other)], SCHEMA)
+        got = sorted(tuple(r)[:3] for r in jaccard.join(df).collect())
+        assert got == [(1, 100_000, 1), (other, 75_050 if linked else 74_998, 1 if linked else 3)]
