@@ -5,16 +5,19 @@ whole sequence). Texts with one set are one class, known by a digest of the set;
 
 1. A class that links to another shares 75 % of its own shingles with other classes at least. Shingles travel as packed
    arrays, dealt by hash; who has fewer shared ones takes no further part. Shingles of 24 bits a bucket may make some
-   seem shared that are not, never the other way round: own shingles that are alike in these bits count as shared.
+   seem shared that are not, never the other way round: own shingles that are alike in these bits count as shared, and
+   so do those of equal texts in different packs.
 2. Among the rest, a class's shingles are ordered by how many classes have them, rarest first. Linked classes have one
    in common among the first |A| - ceil(0.75 |A|) + 1 (prefix filter), so all links lie in groups by such a shingle.
 3. A first round compares classes that share one of their LEADS least hashed shingles, on whole sets, which joins most
    copies. Then groups whose classes are all in one component are done, and groups of the same classes are one group.
 4. In a group a signature tree holds token bitmaps combined by OR and by AND, and size ranges. Pairs of nodes are
    traversed together and pruned when their largest possible overlap is too small, their sizes are too far apart, or
-   all below is in one component already. In the first round what is left is verified at once and joins as it goes;
-   in the second, bitmaps alone travel, and distinct pairs that are left are verified on their sets. Large groups are
-   cut into chunks, and in the second round all pairs of chunks are compared, in different tasks.
+   all below is in one component already. With sets at hand, what is left is verified and joins as it goes, so a group
+   gives a forest of links and not its pairs.
+5. In the second round bitmaps alone travel to the groups, cut into chunks of which all pairs are compared in different
+   tasks. Classes that may link to one of another component form clusters, a forest from each task again, and clusters
+   are compared by trees on whole sets, each set once for each pair of chunks of its cluster.
 
 Every link is a link of the result's components; links inside a component that is joined already need no check.
 Shingles are compared as 64-bit hashes.
@@ -32,13 +35,14 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, slices, written
+from .common import forget, map_batches, slices, written
 from .graph import components
-from .packs import dealt, gathered, in_parts, joined_parts, packs, parts_schema, pieces
-from .words import gram_hashes, hashes, mix, raw_words
+from .packs import NUMBERED, dealt_by_number, gathered_by_number, packs, pieces
+from .words import gram_hashes, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Shingles that a bucket of packed arrays should hold, and bytes of text that are packed together.
@@ -47,79 +51,103 @@ BUCKET_SHINGLES, PACKED_TEXT = 2_000_000, 8_000_000
 CHUNK_SHINGLES = 1_000_000
 #: Classes in one chunk of a group that is compared by bitmaps.
 CHUNK_CLASSES = 4_000
-LEADS, LEAF, BITS = 2, 8, 2048
+#: Bits of a bitmap: a power of two above 1.5 for each shingle, between these.
+LEADS, LEAF, LEAST_BITS, MOST_BITS = 2, 8, 2_048, 32_768
 #: Ids of classes that go to every task, 16 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Ids of copies that go to every task, 8 bytes each; with more, copies count as other texts in the first filter.
+BROADCAST_COPIES = 2_000_000
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingles of a whole text."""
-    w = hashes().of(raw_words(text))
-    if 0 < len(w) < words:
-        return gram_hashes(w, list(range(len(w))))
-    return np.unique(gram_hashes(w, list(range(words))))
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingles of whole texts."""
+    return [gram_hashes(w, list(range(len(w)))) if 0 < len(w) < words else np.unique(gram_hashes(w, list(range(words)))) for w in word_hashes(texts)]
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[dict[str, Any]]:
+def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for batch in slices(whole):
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": [digest(s) if len(s) else None for s in sets]}
+            yield batch, shingle_sets(batch.column("text").to_pylist(), words)
 
 
-def _deal_texts(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterator[dict[str, Any]]:
-    def sets() -> Iterator[tuple[bytes, np.ndarray]]:
-        for whole in batches:
-            for batch in slices(whole):
-                for text in batch.column("text").to_pylist():
-                    if len(s := shingle_set(text, words)):
-                        yield digest(s), s
+def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[dict[str, Any]]:
+    for batch, sets in _sets_of(batches, words):
+        yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": [digest(s) if len(s) else None for s in sets]}
 
-    return dealt(packs(sets(), PACKED_TEXT // 6), buckets, 3)
+
+def _deal_texts(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterator[dict[str, Any]]:
+    sets = ((digest(s), s) for _, found in _sets_of(batches, words) for s in found if len(s))
+    return dealt_by_number(packs(sets, PACKED_TEXT // 6), buckets, 3)
 
 
 def _deal_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[dict[str, Any]]:
     sets = ((c, np.frombuffer(s, "<u8")) for b in batches for c, s in zip(b.column("class").to_pylist(), b.column("shingles").to_pylist(), strict=True))
-    return dealt(packs(sets, PACKED_TEXT // 6), buckets, 8)
+    return dealt_by_number(packs(sets, PACKED_TEXT // 6), buckets, 8)
+
+
+def _answers(rows: pa.Table, packs_: list[int], owners: np.ndarray, **values: np.ndarray) -> pa.Table:
+    """What a bucket found for names, in order of owners: a row for each pack; rows of names go along."""
+    at = np.searchsorted(owners >> np.uint64(16), np.arange(len(packs_) + 1, dtype=np.uint64))
+    of = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if a < b]
+    out = {"pack": pa.array([packs_[i] for i, _, _ in of], pa.int64()), "names": pa.nulls(len(of), pa.binary())}
+    for column, x in {"owners": (owners & np.uint64(0xFFFF)).astype("<u2"), **values}.items():
+        out[column] = pa.array([x[a:b].tobytes() for _, a, b in of], pa.binary())
+    named = rows.filter(pa.compute.is_valid(rows.column("names")))
+    same = pa.table({k: named.column(k) if k in ("pack", "names") else pa.nulls(len(named), pa.binary()) for k in out})
+    return pa.concat_tables([pa.table(out), same])
+
+
+def _named(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """The names of a pack, and the rows with answers for them."""
+    given = pa.compute.is_valid(rows.column("names"))
+    names = np.frombuffer(rows.filter(given).column("names")[0].as_buffer(), "V16")
+    return names, rows.filter(pa.compute.invert(given))
 
 
-def _shared(rows: pa.Table, parts: int) -> pa.Table:
-    """How many shingles each class shares with others in this bucket, at most; a row for each part of the classes.
+def _shared(rows: pa.Table) -> pa.Table:
+    """How many shingles each class shares with others in this bucket, at most.
 
     Shingles of one class with the same bits are one entry; all that this hides counts as shared.
     """
-    _, at, counts, classes, entries = gathered(rows, 3)
-    n = np.bincount(at[counts > 1].astype(np.int64), minlength=len(classes))
-    n += np.where(n > 0, entries - np.bincount(at.astype(np.int64), minlength=len(classes)), 0)
-    some = np.flatnonzero(n)
-    return in_parts(classes[some], {"shared": (np.ones(len(some), np.int64), n[some].astype("<u4"))}, parts)
+    found = gathered_by_number(rows, 3)
+    owners, n = np.unique(found.names[found.counts > 1], return_counts=True)
+    again, more = np.unique(found.again, return_counts=True)
+    at = np.searchsorted(owners, again)
+    there = np.flatnonzero(np.append(owners, 0)[at] == again) if len(owners) else at[:0]
+    n[at[there]] += more[there]
+    return _answers(rows, found.packs, owners, shared=n.astype("<u4"))
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    names, lists = joined_parts(rows, {"shared": "<u4"})
-    lengths, values = lists["shared"]
-    totals = np.add.reduceat(values.astype(np.int64), np.cumsum(lengths) - lengths)
-    return pa.table({"class": pa.array([n.tobytes() for n in names], pa.binary()), "shared": pa.array(totals, pa.int64())})
+    names, answers = _named(rows)
+    totals = np.zeros(len(names), np.int64)
+    for owners, shared in zip(answers.column("owners").to_pylist(), answers.column("shared").to_pylist(), strict=True):
+        totals[np.frombuffer(owners, "<u2")] += np.frombuffer(shared, "<u4")
+    some = np.flatnonzero(totals)
+    return pa.table({"class": pa.array([x.tobytes() for x in names[some]], pa.binary()), "shared": pa.array(totals[some], pa.int64())})
 
 
-def _frequencies(rows: pa.Table, parts: int) -> pa.Table:
-    """Each class's shared shingles in this bucket and how many classes have them (255: or more); a row for each part."""
-    h, at, counts, classes, _ = gathered(rows, 8)
-    some = counts > 1
-    h, at, counts = h[some], at[some].astype(np.int64), np.minimum(counts[some], 255)
-    order = np.argsort(at, kind="stable")
-    lengths = np.bincount(at, minlength=len(classes))
-    there = np.flatnonzero(lengths)
-    return in_parts(classes[there], {"hashes": (lengths[there], h[order].astype("<u8")), "counts": (lengths[there], counts[order].astype(np.uint8))}, parts)
+def _frequencies(rows: pa.Table) -> pa.Table:
+    """Each class's shared shingles in this bucket and how many classes have them (255: or more)."""
+    found = gathered_by_number(rows, 8)
+    some = found.counts > 1
+    order = np.argsort(found.names[some], kind="stable")
+    counts = np.minimum(found.counts[some][order], 255)
+    return _answers(rows, found.packs, found.names[some][order], hashes=found.hashes[some][order].astype("<u8"), counts=counts.astype(np.uint8))
 
 
 def _by_class(rows: pa.Table) -> pa.Table:
-    names, lists = joined_parts(rows, {"hashes": "<u8", "counts": "u1"})
-    return pa.table({"class": pa.array([n.tobytes() for n in names], pa.binary()), "hashes": pa.array(pieces(lists["hashes"]), pa.binary()), "counts": pa.array(pieces(lists["counts"]), pa.binary())})
+    names, answers = _named(rows)
+    owners, h, counts = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())]) for c, kind in (("owners", "<u2"), ("hashes", "<u8"), ("counts", "u1")))
+    order = np.argsort(owners, kind="stable")
+    lengths = np.bincount(owners, minlength=len(names))
+    some = np.flatnonzero(lengths)
+    lists = (pieces((lengths[some], x[order])) for x in (h, counts))
+    return pa.table({"class": pa.array([x.tobytes() for x in names[some]], pa.binary())} | {k: pa.array(x, pa.binary()) for k, x in zip(("hashes", "counts"), lists, strict=True)})
 
 
 def least_overlap(n: int) -> int:
@@ -159,6 +187,16 @@ class Forest:
             i = self.up[i]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        r, s = self.root(i), self.root(j)
+        self.up[max(r, s)] = min(r, s)
+        return r != s
+
+    def all_one(self, members: list[int]) -> bool:
+        root = self.root(members[0])
+        return all(self.root(m) == root for m in members)
+
 
 class Node:
     __slots__ = ("any", "every", "high", "kids", "low", "members")
@@ -168,29 +206,43 @@ class Node:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Bitmap of BITS bits."""
-    bits = np.zeros(BITS, bool)
-    bits[mix(shingles) & np.uint64(BITS - 1)] = True
+    """A bitmap wide enough for the set that it isn't full; a wider one folds to a narrower one by OR of its halves."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (3 * len(shingles) // 2).bit_length()))
+    bits = np.zeros(width, bool)
+    bits[mix(shingles) & np.uint64(width - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def _fold(signs: np.ndarray, width: int) -> np.ndarray:
+    while signs.shape[-1] > width:
+        signs = signs[..., : signs.shape[-1] // 2] | signs[..., signs.shape[-1] // 2 :]
+    return signs
+
+
 class SignatureTree:
-    """Over the members of a group: their sizes, bitmaps and components, and their sorted sets if these are at hand."""
+    """Over the members of a group: their sizes, bitmaps and components, and their sorted sets if these are at hand.
+
+    Members with bitmaps of one width have one root. Without sets, `near` joins members that may link, and `involved`
+    are those that may link to a member of another component.
+    """
 
     def __init__(self, sizes: list[int], signs: list[bytes], labels: list[Any], sets: list[np.ndarray] | None = None):
         number: dict[Any, int] = {}
         self.sets, self.forest = sets, Forest([number.setdefault(x, len(number)) for x in labels])
+        self.near, self.involved = Forest(list(range(len(sizes)))), np.zeros(len(sizes), bool)
         self.sizes = np.array(sizes, np.int64)
-        self.signs = np.frombuffer(b"".join(signs), np.uint64).reshape(len(sizes), BITS // 64)
-        # members of one component, of like size, and with like bitmaps stand together
-        order = sorted(range(len(sizes)), key=lambda i: (self.forest.root(i), int(np.log(max(1, sizes[i])) / 0.25), signs[i]))
-        self.root = self._build(order)
+        self.signs = [np.frombuffer(s, np.uint64) for s in signs]
+        self.roots = []
+        for width in sorted({len(s) for s in signs}):
+            # members of one component, of like size, and with like bitmaps stand together
+            order = sorted((i for i, s in enumerate(signs) if len(s) == width), key=lambda i: (self.forest.root(i), int(np.log(max(1, sizes[i])) / 0.25), signs[i]))
+            self.roots.append(self._build(order))
 
     def _build(self, order: list[int]) -> Node:
         level = []
         for a in range(0, len(order), LEAF):
             members = order[a : a + LEAF]
-            signs, sizes = self.signs[members], self.sizes[members]
+            signs, sizes = [self.signs[m] for m in members], self.sizes[members]
             level.append(Node(members, [], np.bitwise_or.reduce(signs), np.bitwise_and.reduce(signs), int(sizes.min()), int(sizes.max())))
         while len(level) > 1:
             level = [
@@ -203,20 +255,21 @@ class SignatureTree:
         """No set below a can link to one below b: tokens on bits that no set of the other has can't be shared."""
         if 100 * a.high < PERCENT * b.low or 100 * b.high < PERCENT * a.low:
             return True
-        most = min(a.high - int(np.bitwise_count(a.every & ~b.any).sum()), b.high - int(np.bitwise_count(b.every & ~a.any).sum()))
+        width = min(len(a.any), len(b.any))
+        most = min(x.high - int(np.bitwise_count(_fold(x.every, width) & ~_fold(y.any, width)).sum()) for x, y in ((a, b), (b, a)))
         return (100 + PERCENT) * most < PERCENT * (a.low + b.low)
 
-    def _joined(self, a: Node, b: Node) -> bool:
-        root = self.forest.root(a.members[0])
-        return all(self.forest.root(m) == root for node in (a, b) for m in node.members)
+    def _done(self, a: Node, b: Node) -> bool:
+        members = a.members + b.members
+        return self.forest.all_one(members) or (self.sets is None and bool(self.involved[members].all()) and self.near.all_one(members))
 
     def links(self) -> list[tuple[int, int]]:
-        """Pairs in different components that link; without sets, pairs that may."""
+        """A forest of links between components; without sets, of pairs that may link, over all that are involved."""
         found: list[tuple[int, int]] = []
-        todo = [(self.root, self.root)]
+        todo = [(a, b) for i, a in enumerate(self.roots) for b in self.roots[i:]]
         while todo:
             a, b = todo.pop()
-            if (a is not b and self._apart(a, b)) or self._joined(a, b):
+            if (a is not b and self._apart(a, b)) or self._done(a, b):
                 continue
             if not a.kids and not b.kids:
                 self._leaves(a, b, found)
@@ -230,17 +283,21 @@ class SignatureTree:
 
     def _leaves(self, a: Node, b: Node, found: list[tuple[int, int]]) -> None:
         left, right = np.array(a.members), np.array(b.members)
-        x, y = self.signs[left][:, None], self.signs[right][None]
+        width = min(len(a.any), len(b.any))
+        x, y = (_fold(np.stack([self.signs[m] for m in node.members]), width) for node in (a, b))
+        x, y = x[:, None], y[None]
         sizes = self.sizes[left][:, None], self.sizes[right][None]
         most = np.minimum(sizes[0] - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), sizes[1] - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
         for i, j in np.argwhere((100 + PERCENT) * most >= PERCENT * (sizes[0] + sizes[1])):
             p, q = int(left[i]), int(right[j])
-            if (a is b and i >= j) or (r := self.forest.root(p)) == (s := self.forest.root(q)):
+            if (a is b and i >= j) or self.forest.root(p) == self.forest.root(q):
                 continue
             if self.sets is None:
-                found.append((p, q))
+                self.involved[[p, q]] = True
+                if self.near.join(p, q):
+                    found.append((p, q))
             elif linked(self.sets[p], self.sets[q]):
-                self.forest.up[max(r, s)] = min(r, s)
+                self.forest.join(p, q)
                 found.append((p, q))
 
 
@@ -250,7 +307,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Links among a group's classes; without their sets, pairs that may link."""
+    """A forest of links among a group's classes; without their sets, of pairs that may link."""
     names = rows.column("class").to_pylist()
     where = {c: i for i, c in enumerate(names)}  # a pair of chunks may hold a class twice
     at = list(where.values())
@@ -262,10 +319,17 @@ def _compare(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
-        yield batch.filter(pa.array([linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in both], pa.bool_())).select(["a", "b"])
+def _by_chunks(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """members (token, class, component) of groups of several chunks at each pair (p, q) with their own chunk."""
+    placed = members.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("p"), F.greatest(c, F.col("chunk")).alias("q")))
+    return placed.select("token", "class", "component", F.explode(pairs).alias("pair")).select("token", "pair.p", "pair.q", "class", "component")
+
+
+def _only(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets of members; few enough names go to every task, so that other sets don't move."""
+    wanted = members.select("class").distinct()
+    return sets.join(F.broadcast(wanted), "class", "left_semi") if wanted.count() <= BROADCAST_IDS else sets
 
 
 def _first_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -274,19 +338,21 @@ def _first_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     # a table of its own, so that the join with a hot token's members can be split
     chunks = written(sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks")), "jaccard-chunks")
     placed = sized.join(chunks, "token").select("token", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"), "class", "component")
-    return placed.join(sets, "class").groupBy("token", "chunk").applyInArrow(_compare, "a binary, b binary")
+    return placed.join(_only(sets, members), "class").groupBy("token", "chunk").applyInArrow(_compare, "a binary, b binary")
 
 
-def _other_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links (a, b) between members (token, class, component) of one token that are not in one component."""
+def _clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, class, component): classes that may link to one of another component; a cluster's name is its token."""
     chunks = written(members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK_CLASSES).alias("chunks")), "jaccard-chunks")
-    placed = members.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("p"), F.greatest(c, F.col("chunk")).alias("q")))
-    placed = placed.select("token", "class", "component", F.explode(pairs).alias("pair")).select("token", "pair.p", "pair.q", "class", "component")
-    small = placed.join(sets.select("class", "n_shingles", "signature"), "class")
-    pairs = written(small.groupBy("token", "p", "q").applyInArrow(_compare, "a binary, b binary").distinct(), "jaccard-pairs")
-    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "left"), ("b", "right")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary")
+    small = _by_chunks(members, chunks).join(sets.select("class", "n_shingles", "signature"), "class")
+    near = components(small.groupBy("token", "p", "q").applyInArrow(_compare, "a binary, b binary"), "jaccard-near")
+    return near.select(F.col("component").alias("token"), F.col("node").alias("class")).join(members.select("class", "component").distinct(), "class")
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    sized = clusters.join(sets.select("class", "n_shingles"), "class")
+    chunks = written(sized.groupBy("token").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks")), "jaccard-chunks")
+    return _by_chunks(clusters, chunks).join(_only(sets, clusters), "class").groupBy("token", "p", "q").applyInArrow(_compare, "a binary, b binary")
 
 
 def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -296,48 +362,63 @@ def classes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, with its class."""
+    return _joined(docs, words).select("doc_id", "n_shingles", "component_id", F.hex("class").alias("class"))
+
+
+def _joined(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, class, component (its least class), component_id."""
     members = written(classes_of(docs, words), "jaccard-classes")
     classes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
     total = members.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    links = _class_links(docs, classes, int(total), words)
-    named = components(links, "jaccard-components")
+    links = _class_links(docs, _copies(members, classes), classes, int(total), words)
+    named = written(components(links, "jaccard-components"), "jaccard-named")
+    forget(links)
     joined = named.withColumnRenamed("node", "class").join(classes, "class")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    larger = joined.join(least, "component").select("class", "component_id")
-    found = classes.select("class", "least").join(larger, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    return members.join(found, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("class").alias("class"))
+    larger = joined.join(least, "component").select("class", "component", "component_id")
+    found = classes.select("class", "least").join(larger, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    return members.join(found, "class", "left").select("doc_id", "n_shingles", "class", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _copies(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ids whose every text another id's text stands for."""
+    own = members.where("doc_id IS NOT NULL").join(classes.select("class", "least"), "class", "left")
+    found = own.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") > F.col("least")).alias("copy"))
+    return written(found.where("copy").select(F.col("doc_id").alias("_copy")), "jaccard-copies")
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, total: int, words: int) -> DataFrame:
-    packed = "bucket int, shingles binary, owners binary, classes binary"
+def _class_links(docs: DataFrame, copies: DataFrame, classes: DataFrame, total: int, words: int) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_SHINGLES))
-    dealt = map_batches(docs.select("text"), _deal_texts, packed, words, buckets)
-    shared = dealt.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), parts_schema("shared"))
-    shared = shared.groupBy("part").applyInArrow(_summed, "class binary, shared bigint")
+    single = docs.join(F.broadcast(copies), docs["doc_id"] == copies["_copy"], "left_anti") if copies.count() <= BROADCAST_COPIES else docs
+    dealt = map_batches(single.select("text"), _deal_texts, NUMBERED, words, buckets)
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "pack bigint, names binary, owners binary, shared binary")
+    shared = shared.groupBy("pack").applyInArrow(_summed, "class binary, shared bigint").groupBy("class").agg(F.max("shared").alias("shared"))
     enough = F.col("shared") >= F.ceil(F.col("n_shingles") * F.lit(PERCENT) / 100)
     close = written(classes.join(shared, "class").where(enough).select("class", "least", "n_shingles"), "jaccard-close")
 
-    n = close.count()
+    n, kept = close.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     wanted = F.broadcast(close) if n <= BROADCAST_IDS else close
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = map_batches(texts, _sets, "class binary, n_shingles bigint, signature binary, shingles binary", words).dropDuplicates(["class"])
-    sets = written(sets.join(wanted.select("class"), "class", "left_semi"), "jaccard-sets")
+    sets = map_batches(texts, _sets, "class binary, n_shingles bigint, signature binary, shingles binary", words).join(wanted.select("class"), "class", "left_semi")
+    sets = written(sets.dropDuplicates(["class"]), "jaccard-sets")
 
-    kept = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     few = max(1, -(-int(kept) // BUCKET_SHINGLES))
-    dealt = map_batches(sets.select("class", "shingles"), _deal_sets, packed, few)
-    counted = dealt.groupBy("bucket").applyInArrow(lambda t: _frequencies(t, few), parts_schema("hashes", "counts"))
-    counted = counted.groupBy("part").applyInArrow(_by_class, "class binary, hashes binary, counts binary")
-    parts = counted.join(sets.select("class", "n_shingles"), "class")
+    dealt = map_batches(sets.select("class", "shingles"), _deal_sets, NUMBERED, few)
+    counted = dealt.groupBy("bucket").applyInArrow(_frequencies, "pack bigint, names binary, owners binary, hashes binary, counts binary")
+    counted = counted.groupBy("pack").applyInArrow(_by_class, "class binary, hashes binary, counts binary")
+    parts = counted.join(wanted.select("class", "n_shingles"), "class")
     prefixes = written(map_batches(parts.select("class", "n_shingles", "hashes", "counts"), _prefixes, "class binary, n_shingles bigint, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
 
     leads = prefixes.select(F.explode(F.array_distinct("leads")).alias("token"), "class", F.col("class").alias("component"))
-    first = written(_first_links(_several(leads), sets), "jaccard-first")
-    named = components(first, "jaccard-first-components").withColumnRenamed("node", "class")
+    leads = written(_several(leads), "jaccard-leads")
+    named = components(_first_links(leads, sets), "jaccard-first").withColumnRenamed("node", "class")
     tokens = prefixes.select("class", F.explode("tokens").alias("token")).join(named, "class", "left")
-    tokens = tokens.select("token", "class", F.coalesce("component", "class").alias("component"))
-    rest = written(_other_links(_several(tokens), sets), "jaccard-rest")
-    return rest.unionAll(named.where("class <> component").select(F.col("class").alias("a"), F.col("component").alias("b")))
+    tokens = written(_several(tokens.select("token", "class", F.coalesce("component", "class").alias("component"))), "jaccard-tokens")
+    clusters = written(_clusters(tokens, sets), "jaccard-clusters")
+    rest = _cluster_links(clusters, sets)
+    links = written(rest.unionAll(named.where("class <> component").select(F.col("class").alias("a"), F.col("component").alias("b"))), "jaccard-links")
+    forget(copies, close, sets, prefixes, leads, tokens, clusters)
+    return links
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -349,15 +430,32 @@ def _several(members: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[dict[str, Any]]:
-    for whole in batches:
-        for batch in slices(whole):
-            sets = [s for t in batch.column("text").to_pylist() if len(s := shingle_set(t, words))]
-            if sets:
-                yield {"class": [digest(s) for s in sets], "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
+    for _, found in _sets_of(batches, words):
+        if sets := [s for s in found if len(s)]:
+            yield {"class": [digest(s) for s in sets], "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with the least doc_id of each component alone (and without an id: all); all columns stay, one row for each id."""
-    found = written(join(docs, words), "jaccard-joined")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    """docs with one row of each component, that with the least doc_id, and all without words; all columns stay.
+
+    Of rows with that id in one component, or without ids in a component that has none, any one stays.
+    """
+    found = written(_joined(docs, words), "jaccard-joined").withColumnRenamed("doc_id", "_id")
+    worded = found.where("class IS NOT NULL")
+    several = written(worded.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 OR _id IS NULL").select("_id"), "jaccard-several")
+    apart = found.where("_id <> component_id").select("_id").distinct().unionAll(several)
+    known = docs.join(apart, docs["doc_id"].eqNullSafe(apart["_id"]), "left_anti")
+    if several.isEmpty():
+        return known
+    rows = docs.join(several, docs["doc_id"].eqNullSafe(several["_id"]), "left_semi").select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = rows.mapInArrow(lambda batches: _with_class(batches, words), T.StructType([*rows.schema.fields, T.StructField("class", T.BinaryType())]))
+    of = worded.select("_id", F.col("class").alias("_of"), "component", "component_id").dropDuplicates(["_id", "_of"])
+    rows = rows.join(of, rows["doc_id"].eqNullSafe(of["_id"]) & (rows["class"] == of["_of"]), "left")
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last()))
+    own = F.col("class").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("first") == 1))
+    return known.unionAll(rows.withColumn("first", first).where(own).select("row.*"))
+
+
+def _with_class(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch, sets in _sets_of(batches, words):
+        yield batch.append_column("class", pa.array([digest(s) if len(s) else None for s in sets], pa.binary()))

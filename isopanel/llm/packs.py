@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 Pack = tuple[list[bytes], np.ndarray, np.ndarray]
 
@@ -49,6 +50,80 @@ def dealt(found: Iterator[Pack], buckets: int, width: int) -> Iterator[dict[str,
             yield {"bucket": [int(bucket[a])], "shingles": [planes.tobytes()], "owners": [at.astype("<u2").tobytes()], "classes": [table[present].tobytes()]}
 
 
+NUMBERED = "bucket int, pack bigint, hashes binary, owners binary, names binary"
+
+
+def dealt_by_number(found: Iterator[Pack], buckets: int, width: int) -> Iterator[dict[str, Any]]:
+    """A row for each bucket of a pack, as in dealt(); in it a name is its number in the pack, two bytes.
+
+    The names themselves go once, in a row of one bucket. A pack is known by a hash of its names.
+    """
+    mask = np.uint64((1 << 8 * width) - 1)
+    for names, h, owner in found:
+        table = b"".join(names)
+        pack = int(np.uint64(xxhash.xxh3_64_intdigest(table)).astype(np.int64))
+        yield {"bucket": [pack % buckets], "pack": [pack], "hashes": [None], "owners": [None], "names": [table]}
+        owner = owner.astype("<u2")
+        bucket = bucket_of(h, buckets)
+        if width <= 3 and buckets <= 1 << 24:  # bucket, hash and owner fit in one number
+            key = bucket << np.uint64(40) | (h & mask) << np.uint64(16) | owner
+            key.sort()
+            bucket, h, owner = key >> np.uint64(40), key >> np.uint64(16), key.astype("<u2")
+        else:
+            order = np.lexsort((h & mask, bucket))
+            h, owner, bucket = h[order], owner[order], bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+            planes = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+            yield {"bucket": [int(bucket[a])], "pack": [pack], "hashes": [planes.tobytes()], "owners": [owner[a:b].tobytes()], "names": [None]}
+
+
+class Gathered(NamedTuple):
+    hashes: np.ndarray  # of distinct (hash, name), in order
+    names: np.ndarray  # which of a bucket's packs << 16, and the number in it
+    counts: np.ndarray  # of names that have the hash
+    again: np.ndarray  # names once more for each hash that is no other than one they have
+    packs: list[int]
+
+
+def gathered_by_number(rows: pa.Table, width: int) -> Gathered:
+    """A bucket's hashes from all packs; with at most three bytes each, one array is sorted in place."""
+    packs: dict[int, int] = {}
+    parts, owners = [], []
+    for pack, data, owner in zip(rows.column("pack").to_pylist(), rows.column("hashes"), rows.column("owners"), strict=True):
+        if not data.is_valid:
+            continue
+        planes = np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1)
+        h = np.zeros(planes.shape[1], np.uint64)
+        for plane in planes[::-1]:
+            h <<= np.uint64(8)
+            h |= plane
+        at = np.frombuffer(owner.as_buffer(), "<u2").astype(np.uint64) | np.uint64(packs.setdefault(pack, len(packs)) << 16)
+        if width <= 3:
+            h <<= np.uint64(40)
+            h |= at
+        else:
+            owners.append(at)
+        parts.append(h)
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    if width <= 3:
+        h.sort()
+        first = np.append(True, h[1:] != h[:-1])[: len(h)]
+        at = h & np.uint64((1 << 40) - 1)
+        h >>= np.uint64(40)
+    else:
+        at = np.concatenate(owners) if owners else np.zeros(0, np.uint64)
+        order = np.lexsort((at, h))
+        h, at = h[order], at[order]
+        first = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))[: len(h)]
+    again = at[~first]
+    h, at = h[first], at[first]
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    counts = np.diff(np.append(starts, len(h)))
+    return Gathered(h, at, np.repeat(counts, counts), again, list(packs))
+
+
 def gathered(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket: distinct (hash, name) in order, each hash's number of names, the names, and how many hashes each
     name's set has here, those that are alike in their low `width` bytes included (each row has a name's whole set).
