@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, texts_of, written
-from .words import gram_hashes, hashes, plain_words
+from .common import map_batches, slices, written
+from .words import PLAIN, gram_hashes, word_hashes
 
 MASKS = ("111111", "1101011", "11001101", "101100101", "1110010101")
 #: Matched words that make a document contaminated, or this share of a shorter item.
 MATCHED, SHARE = 10, 0.8
 LEAST_RUN, SLIP = 5, 4
 ITEM_SEEDS = 2_000_000
+#: Hits of one seed beyond which its diagonals are marked instead of listed; hits listed, and cells compared, at once.
+MANY_HITS, HITS_AT_ONCE, CELLS = 1 << 14, 1 << 20, 1 << 20
 
 
 class Seeds(NamedTuple):
@@ -55,7 +57,7 @@ def seed_hashes(words: np.ndarray, mask: list[int]) -> np.ndarray:
 
 
 def seeds_of(items: Items) -> Seeds:
-    words = [hashes().of(plain_words(text)) for _, text in items]
+    words = word_hashes([text for _, text in items], PLAIN)
     shortest = min(map(len, MASKS))
     masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
     masks += [list(range(n)) for n in sorted({len(w) for w in words if 0 < len(w) < shortest})]
@@ -70,48 +72,86 @@ def seeds_of(items: Items) -> Seeds:
     return Seeds(masks, keys[order], item[order], place[order], words, [n for n, _ in items])
 
 
-def hits(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> set[tuple[int, int]]:
-    """(item, diagonal) of all seed hits; filled: which low bits of a hash some seed has."""
-    found: set[tuple[int, int]] = set()
+def hits(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (item, diagonal) of all seed hits, in order; filled: which low bits of a hash some seed has."""
+    found = [np.zeros(0, np.int64)]
     for mask in seeds.masks:
         h = seed_hashes(words, mask)
         at = np.flatnonzero(filled[h & np.uint64(len(filled) - 1)])
-        if len(at):
-            low, high = np.searchsorted(seeds.keys, h[at], "left"), np.searchsorted(seeds.keys, h[at], "right")
-            for p, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-                found.update(zip(seeds.item[a:b].tolist(), (p - seeds.place[a:b]).tolist(), strict=True))
-    return found
+        if not len(at):
+            continue
+        low, high = np.searchsorted(seeds.keys, h[at], "left"), np.searchsorted(seeds.keys, h[at], "right")
+        at, low, high = at[high > low], low[high > low], high[high > low]
+        _, same, times = np.unique(low, return_inverse=True, return_counts=True)
+        many = times[same] * (high - low) > MANY_HITS
+        for key in np.unique(low[many]):
+            found += _spread(at[many & (low == key)], seeds, key, high[low == key][0])
+        at, low, n = at[~many], low[~many], (high - low)[~many]
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1
+        for p, first, k in zip(*(np.split(x, cuts) for x in (at, low, n)), strict=True):
+            seed = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            found.append(np.unique(_code(seeds.item[seed], np.repeat(p, k) - seeds.place[seed])))
+    codes = np.unique(np.concatenate(found))
+    return codes >> 40, (codes & ((1 << 40) - 1)) - (1 << 39)
+
+
+def _code(item: np.ndarray | int, diagonal: np.ndarray) -> np.ndarray:
+    return (item << 40) + diagonal + (1 << 39)
+
+
+def _spread(places: np.ndarray, seeds: Seeds, low: int, high: int) -> list[np.ndarray]:
+    """The hits of one repeated seed, marked by diagonal: no more come out than places in the document and the item."""
+    items, cuts = np.unique(seeds.item[low:high], return_index=True)
+    out = []
+    for item, own in zip(items.tolist(), np.split(seeds.place[low:high], cuts[1:]), strict=True):
+        least = places[0] - own[-1]
+        marked = np.zeros(places[-1] - own[0] - least + 1, bool)
+        for place in own:
+            marked[places - (place + least)] = True
+        out.append(_code(item, np.flatnonzero(marked) + least))
+    return out
 
 
-def best_run(item: np.ndarray, words: np.ndarray, diagonal: int) -> np.ndarray:
-    """Places in the item that match, in the best run along the diagonal."""
-    a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
-    same = item[a:b] == words[a + diagonal : b + diagonal]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return a + start + np.flatnonzero(same[start:end])
+def best_runs(item: np.ndarray, words: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """For each diagonal a row of the item's places: which match, in the best run along it."""
+    at = diagonals[:, None] + np.arange(len(item))
+    same = (words[np.clip(at, 0, len(words) - 1)] == item) & (at >= 0) & (at < len(words))
+    total = np.zeros((len(diagonals), len(item) + 1), np.int32)
+    np.cumsum(np.where(same, 1, -2), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    end = np.argmax(total - low, axis=1)[:, None]
+    places = np.arange(len(item) + 1)
+    lowest = (total == np.take_along_axis(low, end, 1)) & (places <= end)
+    start = len(item) - np.argmax(lowest[:, ::-1], axis=1)[:, None]
+    return same & (places[:-1] >= start) & (places[:-1] < end)
 
 
 def overlaps(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> list[tuple[int | None, int, float]]:
     """(item_id, matched words, share of the item) of each item that overlaps by LEAST_RUN words at least."""
-    runs: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for item, diagonal in sorted(hits(words, seeds, filled)):
-        run = best_run(seeds.words[item], words, diagonal)
-        if len(run) >= min(LEAST_RUN, len(seeds.words[item])):
-            runs.setdefault(item, []).append((diagonal, run))
+    items, diagonals = hits(words, seeds, filled)
+    if not len(items):
+        return []
+    numbers, cuts = np.unique(items, return_index=True)
     out = []
-    for item, found in runs.items():
-        groups: list[list[np.ndarray]] = []
-        last = None
-        for diagonal, run in found:
-            if last is None or diagonal - last > SLIP:
-                groups.append([])
-            groups[-1].append(run)
-            last = diagonal
-        matched = max(len(np.unique(np.concatenate(g))) for g in groups)
-        out.append((seeds.names[item], matched, matched / len(seeds.words[item])))
+    for number, own in zip(numbers.tolist(), np.split(diagonals, cuts[1:]), strict=True):
+        item = seeds.words[number]
+        matched, group, last = 0, None, None
+        step = max(1, CELLS // len(item))
+        for part in (own[i : i + step] for i in range(0, len(own), step)):
+            runs = best_runs(item, words, part)
+            long = runs.sum(1) >= min(LEAST_RUN, len(item))
+            runs, part = runs[long], part[long]
+            if not len(part):
+                continue
+            # runs on diagonals at most SLIP apart count together
+            new = np.flatnonzero(np.diff(part, prepend=part[0] if last is None else last) > SLIP)
+            firsts = np.union1d([0], new)
+            groups = np.logical_or.reduceat(runs, firsts, axis=0)
+            if group is not None and not (len(new) and new[0] == 0):
+                groups[0] |= group
+            matched, group, last = max(matched, int(groups.sum(1).max())), groups[-1], part[-1]
+        if matched:
+            out.append((seeds.names[number], matched, matched / len(item)))
     return out
 
 
@@ -174,8 +214,8 @@ def _report(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[dict[st
     for whole in batches:
         for batch in slices(whole):
             out = []
-            for text in texts_of(batch):
-                found = overlaps(hashes().of(plain_words(text)), seeds, filled)
+            for words in word_hashes(batch.column("text").to_pylist(), PLAIN):
+                found = overlaps(words, seeds, filled)
                 leaks = [f for f in found if is_leak(*f[1:])]
                 item, matched, share = max(leaks or found, key=lambda f: (f[1], f[2], f[0] is not None, -(f[0] or 0)), default=(None, 0, 0.0))
                 out.append((bool(leaks), len(leaks), item, matched, share))
@@ -195,7 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         filled = bitmap(seeds)
         for whole in batches:
             for batch in slices(whole):
-                stay = [not any(is_leak(*f[1:]) for f in overlaps(hashes().of(plain_words(t)), seeds, filled)) for t in texts_of(batch)]
+                stay = [not any(is_leak(*f[1:]) for f in overlaps(words, seeds, filled)) for words in word_hashes(batch.column("text").to_pylist(), PLAIN)]
                 yield batch.filter(pa.array(stay))
 
     return docs.mapInArrow(kept, docs.schema)

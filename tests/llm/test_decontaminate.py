@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from isopanel.llm import decontaminate as dc
-from isopanel.llm.words import hashes, plain_words
+from isopanel.llm.words import PLAIN, word_hashes
 
 WORDS = [f"w{i}" for i in range(3000)] + ["the", "of"] * 300
 SCHEMA = "doc_id long, text string, item_id long, contaminated string"
@@ -55,7 +55,7 @@ def test_hits_equal_brute_force():
     seeds = dc.seeds_of([x for x in items if x[1]])
     filled = dc.bitmap(seeds)
     for _, text, *_ in docs[:10]:
-        words = hashes().of(plain_words(text))
+        words = word_hashes([text], PLAIN)[0]
         want = set()
         for i, item in enumerate(seeds.words):
             for mask in dc.MASKS:
@@ -68,7 +68,55 @@ def test_hits_equal_brute_force():
                         want |= {(i, p - int(q)) for q in np.flatnonzero(same)}
             if 0 < len(item) < 6:
                 want |= {(i, p) for p in range(len(words) - len(item) + 1) if (words[p : p + len(item)] == item).all()}
-        assert dc.hits(words, seeds, filled) == want
+        assert set(zip(*(x.tolist() for x in dc.hits(words, seeds, filled)))) == want
+
+
+def one_run(item, words, diagonal):
+    """Places of the item that match in the best run along a diagonal, by trying all."""
+    same = [0 <= i + diagonal < len(words) and item[i] == words[i + diagonal] for i in range(len(item))]
+    total = [0]
+    for x in same:
+        total.append(total[-1] + (1 if x else -2))
+    best = max((total[e] - total[b], -e, b) for e in range(len(total)) for b in range(e + 1))
+    return {i for i in range(best[2], -best[1]) if same[i]}
+
+
+def test_overlaps_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(dc, "MANY_HITS", 40)
+    monkeypatch.setattr(dc, "HITS_AT_ONCE", 50)
+    monkeypatch.setattr(dc, "CELLS", 100)
+    rng = random.Random(11)
+    for _ in range(25):
+        few = [f"x{i}" for i in range(rng.choice([1, 2, 5, 60]))]
+        items = [(i, " ".join(rng.choices(few, k=rng.choice([3, 9, 30])))) for i in range(4)]
+        doc = rng.choices(few, k=60) + items[0][1].split()[:12] + ["new"] + items[0][1].split()[12:]
+        seeds = dc.seeds_of(items)
+        words = word_hashes([" ".join(doc)], PLAIN)[0]
+        want = []
+        found = list(zip(*(x.tolist() for x in dc.hits(words, seeds, dc.bitmap(seeds)))))
+        for i, item in enumerate(seeds.words):
+            groups, last = [], None
+            for diagonal in sorted(d for j, d in found if j == i):
+                run = one_run(item.tolist(), words.tolist(), diagonal)
+                if len(run) >= min(dc.LEAST_RUN, len(item)):
+                    if last is None or diagonal - last > dc.SLIP:
+                        groups.append(set())
+                    groups[-1] |= run
+                    last = diagonal
+            if groups:
+                n = max(map(len, groups))
+                want.append((i, n, n / len(item)))
+        assert sorted(dc.overlaps(words, seeds, dc.bitmap(seeds))) == want
+
+
+def test_repeated_words_take_no_square_of_time():
+    import time
+
+    seeds = dc.seeds_of([(1, "again " * 400), (2, "to be or not " * 100)])
+    words = word_hashes(["again " * 20_000, "or not to be " * 5_000], PLAIN)
+    began = time.time()
+    assert [dc.overlaps(w, seeds, dc.bitmap(seeds)) for w in words] == [[(1, 400, 1.0)], [(2, 400, 1.0)]]
+    assert time.time() - began < 10
 
 
 def test_blocks_give_the_same_rows(spark, monkeypatch):
