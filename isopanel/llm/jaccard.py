@@ -46,7 +46,7 @@ from .words import gram_hashes, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Shingles that a bucket of packed arrays should hold, and bytes of text that are packed together.
-BUCKET_SHINGLES, PACKED_TEXT = 2_000_000, 8_000_000
+BUCKET_SHINGLES, PACKED_TEXT = 1_000_000, 8_000_000
 #: Shingles in one chunk of a group, about.
 CHUNK_SHINGLES = 1_000_000
 #: Classes in one chunk of a group that is compared by bitmaps.

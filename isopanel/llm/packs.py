@@ -18,7 +18,7 @@ def packs(rows: Iterator[tuple[bytes, np.ndarray]], size: int) -> Iterator[Pack]
     n = 0
 
     def give() -> Pack:
-        return list(held), np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), [len(s) for s in held.values()])
+        return list(held), np.concatenate(list(held.values())), np.repeat(np.arange(len(held), dtype="<u2"), [len(s) for s in held.values()])
 
     for name, hashes in rows:
         if name not in held:
@@ -63,19 +63,25 @@ def dealt_by_number(found: Iterator[Pack], buckets: int, width: int) -> Iterator
         table = b"".join(names)
         pack = int(np.uint64(xxhash.xxh3_64_intdigest(table)).astype(np.int64))
         yield {"bucket": [pack % buckets], "pack": [pack], "hashes": [None], "owners": [None], "names": [table]}
-        owner = owner.astype("<u2")
-        bucket = bucket_of(h, buckets)
-        if width <= 3 and buckets <= 1 << 24:  # bucket, hash and owner fit in one number
-            key = bucket << np.uint64(40) | (h & mask) << np.uint64(16) | owner
+        fits = width <= 3 and buckets <= 1 << 24
+        if fits:  # bucket, hash and owner are one number
+            key = bucket_of(h, buckets)
+            key <<= np.uint64(24)
+            key |= h & mask
+            key <<= np.uint64(16)
+            key |= owner
+            del h
             key.sort()
-            bucket, h, owner = key >> np.uint64(40), key >> np.uint64(16), key.astype("<u2")
-        else:
-            order = np.lexsort((h & mask, bucket))
-            h, owner, bucket = h[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-            planes = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-            yield {"bucket": [int(bucket[a])], "pack": [pack], "hashes": [planes.tobytes()], "owners": [owner[a:b].tobytes()], "names": [None]}
+            starts = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+        else:  # buckets are in the order of hashes
+            order = np.argsort(h)
+            h, owner = h[order], owner[order]
+            starts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        for bucket in np.flatnonzero(np.diff(starts)).tolist():
+            a, b = starts[bucket], starts[bucket + 1]
+            part, own = (key[a:b] >> np.uint64(16), key[a:b].astype("<u2")) if fits else (h[a:b], owner[a:b])
+            planes = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+            yield {"bucket": [bucket], "pack": [pack], "hashes": [planes.tobytes()], "owners": [own.tobytes()], "names": [None]}
 
 
 class Gathered(NamedTuple):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes whose words are hashed together, so that memory is bounded on texts of any length.
-STEP = 1 << 20
+STEP = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
