@@ -1,9 +1,10 @@
 """Exact top-k by integer inner product with MaxScore.
 
 A query's terms are its components and a shard's postings are its columns. In a shard each term's contribution lies
-between two bounds; taken from the lower one it is never negative. With a threshold that k rows are known to reach,
-the terms whose widths together can't reach it are non-essential: every row gets its essential part, and the other
-terms are probed, widest first, for rows that can still compete. Shards give their best k and these are merged.
+between two bounds; taken from the lower one it is never negative. The k rows that the widest terms favour are scored in
+full and give a threshold; terms whose widths together can't reach it are non-essential. Every row gets its essential
+part, and the other terms are probed, widest first, for rows that can still compete; the threshold rises with what k
+rows have already. Shards give their best k and these are merged.
 
 Queries and candidates travel as blocks: each block of queries goes to every shard, so neither side needs to fit
 anywhere whole. Ties go to the smaller id.
@@ -28,10 +29,8 @@ from .common import map_batches
 
 SCALE = 1024.0
 QUERY_BLOCK, SHARD_ROWS = 256, 32_768
-#: Rows scored in full to have a first threshold.
-SEED_ROWS = 256
-#: Terms probed before rows are given up again.
-PROBES = 4
+#: Terms traversed before there is a threshold; terms probed before rows are given up again.
+LEAD_TERMS, PROBES = 8, 4
 
 
 def usable(vector: Column) -> Column:
@@ -104,10 +103,15 @@ class Shard:
         self.ids, self.postings = ids[order], np.ascontiguousarray(rows[order].T)
         self.low, self.high = rows.min(0, initial=2**62), rows.max(0, initial=-(2**62))
         self.largest = float(np.abs(rows.astype(np.float64)).max(initial=0))
+        #: Whole numbers below 2^53 add up exactly in floating point, and faster.
+        self.exact = self.postings.astype(np.float64) if self.largest < 2.0**52 else self.postings
+        #: Non-essential terms of the last query.
+        self.probed = 0
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the shard's k best rows, those with the query's own id left out."""
-        if np.abs(query.astype(np.float64)).sum() * max(self.largest, 1) >= 2.0**61:
+        most = np.abs(query.astype(np.float64)).sum() * max(self.largest, 1)
+        if most >= 2.0**61:
             return self._large(query, own, k)
         ends = np.stack([query * self.low, query * self.high])
         least, width = ends.min(0), np.abs(ends[1] - ends[0])
@@ -116,24 +120,31 @@ class Shard:
         base = int(least.sum())
         #: What the terms from a position on can add at most.
         rest = np.append(np.cumsum(width[terms][::-1])[::-1], 0)
+        postings = self.exact if most < 2.0**52 else self.postings
+        query = query.astype(postings.dtype)
+        alive = np.flatnonzero(self.ids != own)
+        # the widest terms are essential whatever the threshold; the rows they favour give the first one
+        first = min(LEAD_TERMS, len(terms))
+        scores = self._sum(postings, query, least, terms[:first])[alive]
         threshold = -1
-        if len(self.ids) > 2 * (SEED_ROWS + k):
-            seeds = query @ self.postings[:, :SEED_ROWS] - base
-            seeds = seeds[self.ids[:SEED_ROWS] != own]
-            if len(seeds) >= k:
-                threshold = int(np.partition(seeds, len(seeds) - k)[-k])
-        essential = int(np.searchsorted(-rest, -threshold, "right")) if threshold >= 0 else len(terms)
-        essential = min(essential, len(terms))
-        first = terms[:essential]
-        scores = query[first] @ self.postings[first] - int(least[first].sum()) if len(first) else np.zeros(len(self.ids), np.int64)
-        alive = np.flatnonzero((scores + rest[essential] >= threshold) & (self.ids != own))
-        scores = scores[alive]
-        for at in range(essential, len(terms), PROBES):
-            for t in terms[at : at + PROBES]:
-                scores = scores + (query[t] * self.postings[t, alive] - least[t])
-            stay = scores + rest[min(at + PROBES, len(terms))] >= threshold
+        if len(alive) > k:
+            lead = alive[np.argpartition(scores, len(scores) - k)[-k:]]
+            threshold = int((query[terms] @ postings[np.ix_(terms, lead)]).min()) - int(least[terms].sum())
+        essential = max(first, min(int(np.searchsorted(-rest, -threshold, "right")), len(terms)) if threshold >= 0 else len(terms))
+        self.probed = len(terms) - essential
+        if essential > first:
+            scores += self._sum(postings, query, least, terms[first:essential])[alive]
+        for at in range(essential, len(terms) + PROBES, PROBES):
+            if len(alive) > k:  # what rows have already, they keep
+                threshold = max(threshold, int(np.partition(scores, len(scores) - k)[-k]))
+            stay = scores + rest[min(at, len(terms))] >= threshold
             alive, scores = alive[stay], scores[stay]
-        return self._cut(alive, scores + base, k)
+            for t in terms[at : at + PROBES]:
+                scores = scores + (query[t] * postings[t, alive] - least[t])
+        return self._cut(alive, scores.astype(np.int64) + base, k)
+
+    def _sum(self, postings: np.ndarray, query: np.ndarray, least: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        return query[terms] @ postings[terms] - int(least[terms].sum()) if len(terms) else np.zeros(len(self.ids), postings.dtype)
 
     def _cut(self, alive: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[alive], -scores))[:k]

@@ -41,3 +41,20 @@ def test_few_and_large(spark):
     got = maxscore.top_k(df, df.where(F.col("vec_id") % 100 == 0))
     assert [tuple(r)[:3] for r in sorted(got.collect())] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 1), (100, 2, 2), (100, 3, 0)] or got.count() == 6
     assert maxscore.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_shards_of_any_size_leave_terms_to_probe():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 11, 12, 40, 300, 5_000):
+        probed = 0
+        rows = np.floor(1024 * rng.normal(size=(n, 64)) * rng.gamma(1, 1, 64)).astype(np.int64)
+        rows[n // 2 :] //= 7
+        ids = rng.permutation(n).astype(np.int64)
+        shard = maxscore.Shard(ids, rows)
+        for at in range(min(n, 12)):
+            query = rows[at]
+            found, scores = shard.best(query, int(ids[at]), 10)
+            want = sorted((-int(s), int(i)) for s, i in zip(rows @ query, ids) if i != ids[at])[:10]
+            assert list(zip((-scores).tolist(), found.tolist())) == want
+            probed += shard.probed
+        assert probed > 0 or n <= 11
