@@ -1,12 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read left to right by transducers that are composed: the first rewrites words as symbols (insult, threat,
-target, negation, reported speech, other), the second is an automaton whose state says what the clause has opened
-(nothing, a negation still in force, reported speech, a target awaiting its predicate, a threat or insult awaiting its
-target), and each arc weighs the insult or threat it passes by that state. So "not stupid" or "he said 'trash'" weighs
-less than "you are trash", a threat counts only towards a target, which stands before it ("they will kill") or after it
-("I will kill you"), and a clause's weight is the sum along its path. Documents are scored from their
-clauses: the heaviest, their sum, how many, and their share.
+A clause is read by transducers in a cascade. The first rewrites words as symbols (insult, threat, target, negation,
+reported speech, other). The second reads from right to left and marks insults and threats that a target follows. The
+third is the composition of three small ones, each a table of states and arcs that weighs what it passes: negation and
+reported speech in force weaken insults and threats, a target in force (or marked as following) strengthens an insult
+and gives a threat its weight. So "not stupid" or "he said 'trash'" weighs less than "you are trash", a threat counts
+only towards a target, before it ("they will kill") or after it ("I will kill you"), and a clause's weight is the sum
+along its path. Documents are scored from their clauses: the heaviest, their sum, how many, and their share.
 
 What the grammar can't know is learned from labelled rows of the training folds, LABELLED_ROWS of them at most: which
 words are insults (their weights are smoothed log odds over documents) and the weights of the clause features. Labels,
@@ -34,7 +34,6 @@ from .common import map_batches, slices, texts_of, written
 
 FOLDS = 5
 LABELLED_ROWS = 20_000
-LEXICON = 1000
 #: A learned insult: documents it is in, and its log odds less this many standard errors is above LEAST_ODDS.
 LEAST_DOCUMENTS, ERRORS, LEAST_ODDS = 4, 2.0, 1.5
 #: Seed symbols; what is learned is added to the insults.
@@ -43,7 +42,7 @@ THREATS = "kill hurt destroy beat burn shoot attack crush stab punish".split()
 TARGETS = "you your yours they them their he him she her people everyone".split()
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't cannot can't hardly".split()
 REPORTS = "said says say wrote writes called reported quoted claims claimed alleged according told".split()
-#: How long a negation, reported speech and a target stay in force, in words; a threat or insult awaits a target as long.
+#: How long a negation, reported speech and a target stay in force, in words; a target that follows is as near.
 REACH = {"negation": 3, "report": 8, "target": 6}
 #: What an arc does to an insult's weight in each state.
 NEGATED, REPORTED, TARGETED = 0.3, 0.6, 1.3
@@ -54,6 +53,43 @@ _FOREIGN = re.compile(r"[^\x00-\x7fß-öø-ÿ]")
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "insult before a target", "threat before a target")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED_INSULT, AIMED_THREAT = range(len(SYMBOLS))
+AIMED = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}
+
+
+class Transducer(NamedTuple):
+    """By state and symbol: the next state, and the factor of the arc. State 0 is the first."""
+
+    step: np.ndarray
+    factor: np.ndarray
+
+
+def in_force(opens: int, reach: int, on: dict[int, float], off: dict[int, float]) -> Transducer:
+    """`opens` is in force for the next `reach` words; factors of symbols while it is, and while it isn't."""
+    states = np.arange(reach + 1)
+    step = np.repeat(np.maximum(states - 1, 0)[:, None], len(SYMBOLS), axis=1)
+    step[:, opens] = reach
+    factor = np.ones(step.shape)
+    for symbol in range(len(SYMBOLS)):
+        factor[1:, symbol], factor[0, symbol] = on.get(symbol, 1.0), off.get(symbol, 1.0)
+    return Transducer(step, factor)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both at once: states are pairs, and an arc's factor is the product."""
+    step = a.step[:, None, :] * len(b.step) + b.step[None, :, :]
+    return Transducer(step.reshape(-1, len(SYMBOLS)), (a.factor[:, None, :] * b.factor[None, :, :]).reshape(-1, len(SYMBOLS)))
+
+
+def grammar_transducer() -> Transducer:
+    weakened = lambda x: dict.fromkeys((INSULT, THREAT, AIMED_INSULT, AIMED_THREAT), x)
+    plain = dict.fromkeys((OTHER, TARGET, NEGATION, REPORT), 0.0)
+    aimed = plain | {AIMED_INSULT: TARGETED, AIMED_THREAT: THREAT_WEIGHT}
+    target = in_force(TARGET, REACH["target"], aimed | {INSULT: TARGETED, THREAT: THREAT_WEIGHT}, aimed | {INSULT: 1.0, THREAT: 0.0})
+    return compose(compose(in_force(NEGATION, REACH["negation"], weakened(NEGATED), {}), in_force(REPORT, REACH["report"], weakened(REPORTED), {})), target)
+
+
 class Clause(NamedTuple):
     start: int
     end: int
@@ -63,42 +99,36 @@ class Clause(NamedTuple):
 class Grammar:
     def __init__(self, insults: dict[str, float]):
         self.insults = insults
-        self.symbols = {w: s for s, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)) for w in words} | dict.fromkeys(insults, "insult")
+        self.symbols = {w: s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words} | dict.fromkeys(insults, INSULT)
         self.heads = frozenset((*insults, *THREATS))
-        self.head_bytes = frozenset(w.encode() for w in self.heads)
+        self.head_bytes = frozenset(w.removesuffix("'t").encode() for w in self.heads)
+        found = grammar_transducer()
+        self.step, self.factor = found.step.tolist(), found.factor.tolist()
 
     def _any(self, low: str) -> bool:
-        """Does some word weigh anything? Most texts end here, so those of plain letters are split as bytes."""
+        """Can some word weigh anything? Most texts end here, so those of plain letters are split as bytes, without 't."""
         if _FOREIGN.search(low):
             return not self.heads.isdisjoint(_WORD.findall(low))
         return not self.head_bytes.isdisjoint(low.encode().translate(_LETTERS).split())
 
+    def marked(self, words: list[str]) -> list[int]:
+        """Symbols, read from right to left: a target is in force for the words before it."""
+        symbols = [self.symbols.get(w, OTHER) for w in words]
+        left = 0
+        for at in range(len(symbols) - 1, -1, -1):
+            symbol = symbols[at]
+            if left:
+                symbols[at] = AIMED.get(symbol, symbol)
+            left = REACH["target"] if symbol == TARGET else max(0, left - 1)
+        return symbols
+
     def weigh(self, words: list[str]) -> float:
-        """The path's weight. A state is what is still in force, and for how many words.
-
-        pending: what each threat or insult without a target before it adds if one comes, and up to which word.
-        """
-        left = dict.fromkeys(REACH, 0)
-        pending: list[tuple[float, int]] = []
-        total = 0.0
-        for at, word in enumerate(words):
-            symbol = self.symbols.get(word)
-            factor = (NEGATED if left["negation"] else 1) * (REPORTED if left["report"] else 1)
-            if symbol == "target":
-                total += sum(weight for weight, last in pending if at <= last)
-                pending = []
-            elif symbol == "insult":
-                total += self.insults[word] * factor * (TARGETED if left["target"] else 1)
-                if not left["target"]:
-                    pending.append((self.insults[word] * factor * (TARGETED - 1), at + REACH["target"]))
-            elif symbol == "threat":
-                if left["target"]:
-                    total += THREAT_WEIGHT * factor
-                else:
-                    pending.append((THREAT_WEIGHT * factor, at + REACH["target"]))
-            left = {k: max(0, n - 1) for k, n in left.items()}
-            if symbol in left:
-                left[symbol] = REACH[symbol]
+        """The sum along the clause's path."""
+        state, total = 0, 0.0
+        for word, symbol in zip(words, self.marked(words), strict=True):
+            if factor := self.factor[state][symbol]:
+                total += factor * self.insults.get(word, 1.0)
+            state = self.step[state][symbol]
         return total
 
     def clauses(self, text: str) -> list[Clause]:
@@ -152,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> Mod
     odds = F.log((F.col("bad") + 0.5) / (F.lit(bad) - F.col("bad") + 0.5)) - F.log((F.col("n") - F.col("bad") + 0.5) / (F.lit(good) - F.col("n") + F.col("bad") + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5))
     picked = words.where(F.col("bad") >= LEAST_DOCUMENTS).select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") - ERRORS * F.col("error") > LEAST_ODDS)
-    learned = {r["word"]: float(r["odds"]) for r in picked.orderBy(F.desc(F.col("odds") - ERRORS * F.col("error")), "word").limit(LEXICON).collect()}
+    learned = {r["word"]: float(r["odds"]) for r in picked.collect()}
     known = {r["word"]: (r["bad"], r["n"]) for r in words.where(F.col("word").isin(INSULTS)).collect()}
     # a seed that labelled texts use often, and not for insults, loses its place
     seeds = {w: 2.0 for w in INSULTS if w not in learned and not (known.get(w, (0, 0))[1] >= 20)}

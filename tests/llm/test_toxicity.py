@@ -63,3 +63,36 @@ def test_threats_are_scored(spark):
     docs = spark.createDataFrame([(1, "I will kill you.", "", ""), (2, "Kill the lights.", "", ""), (3, "Fine words.", "", "")], SCHEMA)
     got = {r["doc_id"]: r for r in tox.score(docs, tox.Model({}, [1.5, 0.5, 0.5, 0.0, 0.0, -2.5])).collect()}
     assert got[1]["score"] > got[2]["score"] == got[3]["score"] and got[1]["heaviest"] == "I will kill you."
+
+
+def by_counters(words, insults):
+    """The grammar without tables: what is in force, counted word by word."""
+    total = 0.0
+    for at, word in enumerate(words):
+        def near(listed, reach, after=False):
+            part = words[at + 1 : at + 1 + reach] if after else words[max(0, at - reach) : at]
+            return any(w in listed for w in part)
+
+        factor = (tox.NEGATED if near(tox.NEGATIONS, 3) else 1) * (tox.REPORTED if near(tox.REPORTS, 8) else 1)
+        aimed = near(tox.TARGETS, 6) or near(tox.TARGETS, 6, True)
+        if word in insults:
+            total += insults[word] * factor * (tox.TARGETED if aimed else 1)
+        elif word in tox.THREATS:
+            total += tox.THREAT_WEIGHT * factor * aimed
+    return total
+
+
+def test_composed_tables_equal_counters():
+    rng = random.Random(12)
+    insults = {"trash": 2.0, "ain't": 3.0}
+    g = tox.Grammar(insults)
+    assert len(g.step) == 4 * 9 * 7
+    for _ in range(3000):
+        words = rng.choices(["trash", "ain't", "kill", "burn", "you", "not", "said", "a", "b", "c", "d"], [2, 1, 2, 1, 1, 1, 1, 3, 3, 3, 3], k=rng.randint(1, 25))
+        assert abs(g.weigh(words) - by_counters(words, insults)) < 1e-9
+
+
+def test_apostrophes_weigh_the_same_beside_any_letters():
+    g = tox.Grammar({"ain't": 3.0})
+    assert [c.weight for c in g.clauses("you ain't here")] == [c.weight for c in g.clauses("you ain't here Ж")] == [3.0 * tox.TARGETED]
+    assert g.clauses("you ain here") == []
