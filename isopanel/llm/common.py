@@ -30,8 +30,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and Python, about, where the session sets no other bound.
+BATCH_BYTES, BATCHES = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded: by Spark's own default, few long rows make batches of many megabytes."""
+    conf = df.sparkSession.conf
+    if BATCHES not in conf.getAll:
+        conf.set(BATCHES, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: work is done once and lost executors can't undo it."""
+    bounded(df)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,7 +72,7 @@ def map_batches(df: DataFrame, function: Callable[..., Iterator[dict[str, Any]]]
         for columns in function(batches, *args):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kinds)
+    return bounded(df).mapInArrow(run, kinds)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

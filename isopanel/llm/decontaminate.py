@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, written
+from .common import bounded, map_batches, slices, written
 from .words import PLAIN, gram_hashes, word_hashes
 
 MASKS = ("111111", "1101011", "11001101", "101100101", "1110010101")
@@ -238,4 +238,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 stay = [not any(is_leak(*f[1:]) for f in overlaps(words, seeds, filled)) for words in word_hashes(batch.column("text").to_pylist(), PLAIN)]
                 yield batch.filter(pa.array(stay))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return bounded(docs).mapInArrow(kept, docs.schema)

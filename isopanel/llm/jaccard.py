@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, map_batches, slices, written
+from .common import bounded, forget, map_batches, slices, written
 from .graph import components
-from .packs import NUMBERED, dealt_by_number, gathered_by_number, packs, pieces
+from .packs import NUMBERED, dealt_by_number, gathered_by_number, names_of, packs
 from .words import gram_hashes, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -101,11 +101,10 @@ def _answers(rows: pa.Table, packs_: list[int], owners: np.ndarray, **values: np
     return pa.concat_tables([pa.table(out), same])
 
 
-def _named(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
-    """The names of a pack, and the rows with answers for them."""
+def _named(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """The names of a pack, the sizes of their sets, and the rows with answers for them."""
     given = pa.compute.is_valid(rows.column("names"))
-    names = np.frombuffer(rows.filter(given).column("names")[0].as_buffer(), "V16")
-    return names, rows.filter(pa.compute.invert(given))
+    return *names_of(rows.filter(given).column("names")[0].as_py()), rows.filter(pa.compute.invert(given))
 
 
 def _shared(rows: pa.Table) -> pa.Table:
@@ -122,13 +121,13 @@ def _shared(rows: pa.Table) -> pa.Table:
     return _answers(rows, found.packs, owners, shared=n.astype("<u4"))
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    names, answers = _named(rows)
+def _close(rows: pa.Table) -> pa.Table:
+    """Classes of a pack that share enough in all buckets together."""
+    names, sizes, answers = _named(rows)
     totals = np.zeros(len(names), np.int64)
     for owners, shared in zip(answers.column("owners").to_pylist(), answers.column("shared").to_pylist(), strict=True):
         totals[np.frombuffer(owners, "<u2")] += np.frombuffer(shared, "<u4")
-    some = np.flatnonzero(totals)
-    return pa.table({"class": pa.array([x.tobytes() for x in names[some]], pa.binary()), "shared": pa.array(totals[some], pa.int64())})
+    return pa.table({"class": pa.array([x.tobytes() for x in names[totals >= least_overlap(sizes)]], pa.binary())})
 
 
 def _frequencies(rows: pa.Table) -> pa.Table:
@@ -140,36 +139,26 @@ def _frequencies(rows: pa.Table) -> pa.Table:
     return _answers(rows, found.packs, found.names[some][order], hashes=found.hashes[some][order].astype("<u8"), counts=counts.astype(np.uint8))
 
 
-def _by_class(rows: pa.Table) -> pa.Table:
-    names, answers = _named(rows)
-    owners, h, counts = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())]) for c, kind in (("owners", "<u2"), ("hashes", "<u8"), ("counts", "u1")))
-    order = np.argsort(owners, kind="stable")
-    lengths = np.bincount(owners, minlength=len(names))
-    some = np.flatnonzero(lengths)
-    lists = (pieces((lengths[some], x[order])) for x in (h, counts))
-    return pa.table({"class": pa.array([x.tobytes() for x in names[some]], pa.binary())} | {k: pa.array(x, pa.binary()) for k, x in zip(("hashes", "counts"), lists, strict=True)})
-
-
-def least_overlap(n: int) -> int:
+def least_overlap(n: Any) -> Any:
     """ceil(0.75 n): what a set of n shares with any set that it links to."""
     return -(-PERCENT * n // 100)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
-    """Shared shingles among a class's first ones, rarest first; leads: the least of all its shared ones, by hashes."""
-    for batch in batches:
-        out: dict[str, list[Any]] = defaultdict(list)
-        for name, n, found, often in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "hashes", "counts")), strict=True):
-            h, counts = np.frombuffer(found, "<u8"), np.frombuffer(often, np.uint8)
-            if len(h) < least_overlap(n):
-                continue  # those that only this class has come first, and are too many
-            order = np.lexsort((h, counts))[: len(h) - least_overlap(n) + 1]
-            out["class"].append(name)
-            out["n_shingles"].append(n)
-            out["leads"].append([h[np.argmin(mix(h + np.uint64(i)))].astype(np.int64) for i in range(LEADS)])
-            out["tokens"].append(h[order].astype(np.int64))
-        if out:
-            yield dict(out)
+def _prefixes(rows: pa.Table) -> pa.Table:
+    """Of each class in a pack, shared shingles among its first ones, rarest first; leads: the least of all, by hashes."""
+    names, sizes, answers = _named(rows)
+    owners, h, counts = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())]) for c, kind in (("owners", "<u2"), ("hashes", "<u8"), ("counts", "u1")))
+    order = np.lexsort((h, counts, owners))
+    h = h[order]
+    cuts = np.searchsorted(owners[order], np.arange(len(names) + 1))
+    out: dict[str, list[Any]] = {"class": [], "leads": [], "tokens": []}
+    for name, n, a, b in zip(names, sizes.tolist(), cuts[:-1], cuts[1:], strict=True):
+        if b - a < least_overlap(n):
+            continue  # those that only this class has come first, and are too many
+        out["class"].append(name.tobytes())
+        out["leads"].append([h[a:b][np.argmin(mix(h[a:b] + np.uint64(i)))].astype(np.int64) for i in range(LEADS)])
+        out["tokens"].append(h[a : b - least_overlap(n) + 1].astype(np.int64))
+    return pa.table({k: pa.array(v, pa.binary() if k == "class" else pa.list_(pa.int64())) for k, v in out.items()})
 
 
 class Forest:
@@ -392,9 +381,8 @@ def _class_links(docs: DataFrame, copies: DataFrame, classes: DataFrame, total:
     single = docs.join(F.broadcast(copies), docs["doc_id"] == copies["_copy"], "left_anti") if copies.count() <= BROADCAST_COPIES else docs
     dealt = map_batches(single.select("text"), _deal_texts, NUMBERED, words, buckets)
     shared = dealt.groupBy("bucket").applyInArrow(_shared, "pack bigint, names binary, owners binary, shared binary")
-    shared = shared.groupBy("pack").applyInArrow(_summed, "class binary, shared bigint").groupBy("class").agg(F.max("shared").alias("shared"))
-    enough = F.col("shared") >= F.ceil(F.col("n_shingles") * F.lit(PERCENT) / 100)
-    close = written(classes.join(shared, "class").where(enough).select("class", "least", "n_shingles"), "jaccard-close")
+    shared = shared.groupBy("pack").applyInArrow(_close, "class binary").distinct()
+    close = written(classes.join(shared, "class").select("class", "least", "n_shingles"), "jaccard-close")
 
     n, kept = close.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     wanted = F.broadcast(close) if n <= BROADCAST_IDS else close
@@ -405,9 +393,7 @@ def _class_links(docs: DataFrame, copies: DataFrame, classes: DataFrame, total:
     few = max(1, -(-int(kept) // BUCKET_SHINGLES))
     dealt = map_batches(sets.select("class", "shingles"), _deal_sets, NUMBERED, few)
     counted = dealt.groupBy("bucket").applyInArrow(_frequencies, "pack bigint, names binary, owners binary, hashes binary, counts binary")
-    counted = counted.groupBy("pack").applyInArrow(_by_class, "class binary, hashes binary, counts binary")
-    parts = counted.join(wanted.select("class", "n_shingles"), "class")
-    prefixes = written(map_batches(parts.select("class", "n_shingles", "hashes", "counts"), _prefixes, "class binary, n_shingles bigint, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
+    prefixes = written(counted.groupBy("pack").applyInArrow(_prefixes, "class binary, leads array<bigint>, tokens array<bigint>"), "jaccard-prefixes")
 
     leads = prefixes.select(F.explode(F.array_distinct("leads")).alias("token"), "class", F.col("class").alias("component"))
     leads = written(_several(leads), "jaccard-leads")
@@ -444,11 +430,13 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     worded = found.where("class IS NOT NULL")
     several = written(worded.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 OR _id IS NULL").select("_id"), "jaccard-several")
     apart = found.where("_id <> component_id").select("_id").distinct().unionAll(several)
-    known = docs.join(apart, docs["doc_id"].eqNullSafe(apart["_id"]), "left_anti")
+    apart = written(apart, "jaccard-apart")
+    ids = F.broadcast(apart) if apart.count() <= BROADCAST_COPIES else apart
+    known = docs.join(ids, docs["doc_id"].eqNullSafe(apart["_id"]), "left_anti")
     if several.isEmpty():
         return known
     rows = docs.join(several, docs["doc_id"].eqNullSafe(several["_id"]), "left_semi").select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    rows = rows.mapInArrow(lambda batches: _with_class(batches, words), T.StructType([*rows.schema.fields, T.StructField("class", T.BinaryType())]))
+    rows = bounded(rows).mapInArrow(lambda batches: _with_class(batches, words), T.StructType([*rows.schema.fields, T.StructField("class", T.BinaryType())]))
     of = worded.select("_id", F.col("class").alias("_of"), "component", "component_id").dropDuplicates(["_id", "_of"])
     rows = rows.join(of, rows["doc_id"].eqNullSafe(of["_id"]) & (rows["class"] == of["_of"]), "left")
     first = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last()))

@@ -56,13 +56,15 @@ NUMBERED = "bucket int, pack bigint, hashes binary, owners binary, names binary"
 def dealt_by_number(found: Iterator[Pack], buckets: int, width: int) -> Iterator[dict[str, Any]]:
     """A row for each bucket of a pack, as in dealt(); in it a name is its number in the pack, two bytes.
 
-    The names themselves go once, in a row of one bucket. A pack is known by a hash of its names.
+    The names themselves go once, in a row of one bucket, and with them the sizes of their sets. A pack is known by a
+    hash of its names.
     """
     mask = np.uint64((1 << 8 * width) - 1)
     for names, h, owner in found:
         table = b"".join(names)
         pack = int(np.uint64(xxhash.xxh3_64_intdigest(table)).astype(np.int64))
-        yield {"bucket": [pack % buckets], "pack": [pack], "hashes": [None], "owners": [None], "names": [table]}
+        sizes = np.bincount(owner, minlength=len(names)).astype("<u4")
+        yield {"bucket": [pack % buckets], "pack": [pack], "hashes": [None], "owners": [None], "names": [table + sizes.tobytes()]}
         fits = width <= 3 and buckets <= 1 << 24
         if fits:  # bucket, hash and owner are one number
             key = bucket_of(h, buckets)
@@ -84,6 +86,12 @@ def dealt_by_number(found: Iterator[Pack], buckets: int, width: int) -> Iterator
             yield {"bucket": [bucket], "pack": [pack], "hashes": [planes.tobytes()], "owners": [own.tobytes()], "names": [None]}
 
 
+def names_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A pack's names and the sizes of their sets."""
+    n = len(data) // 20
+    return np.frombuffer(data, "V16", n), np.frombuffer(data, "<u4", n, 16 * n).astype(np.int64)
+
+
 class Gathered(NamedTuple):
     hashes: np.ndarray  # of distinct (hash, name), in order
     names: np.ndarray  # which of a bucket's packs << 16, and the number in it

@@ -19,7 +19,7 @@ from typing import Any, NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, slices, texts_of
+from .common import bounded, map_batches, slices, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "secret")
@@ -198,4 +198,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = pa.array([None if t is None else mask(t) for t in batch.column("text").to_pylist()], pa.string())
                 yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return bounded(docs).mapInArrow(rows, docs.schema)
