@@ -74,27 +74,49 @@ def seeds_of(items: Items) -> Seeds:
 
 def hits(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (item, diagonal) of all seed hits, in order; filled: which low bits of a hash some seed has."""
-    found = [np.zeros(0, np.int64)]
+    found = []
     for mask in seeds.masks:
         h = seed_hashes(words, mask)
         at = np.flatnonzero(filled[h & np.uint64(len(filled) - 1)])
         if not len(at):
             continue
-        low, high = np.searchsorted(seeds.keys, h[at], "left"), np.searchsorted(seeds.keys, h[at], "right")
-        at, low, high = at[high > low], low[high > low], high[high > low]
-        _, same, times = np.unique(low, return_inverse=True, return_counts=True)
-        many = times[same] * (high - low) > MANY_HITS
-        for key in np.unique(low[many]):
-            found += _spread(at[many & (low == key)], seeds, key, high[low == key][0])
-        at, low, n = at[~many], low[~many], (high - low)[~many]
+        low = np.searchsorted(seeds.keys, h[at], "left")
+        there = seeds.keys[np.minimum(low, len(seeds.keys) - 1)] == h[at]
+        at, low = at[there], low[there]
+        if not len(at):
+            continue
+        n = np.searchsorted(seeds.keys, h[at], "right") - low
+        if n.sum() > MANY_HITS:
+            _, same, times = np.unique(low, return_inverse=True, return_counts=True)
+            many = times[same] * n > MANY_HITS
+            for key in np.unique(low[many]):
+                found += _spread(at[many & (low == key)], seeds, key, key + n[low == key][0])
+            at, low, n = at[~many], low[~many], n[~many]
         cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1
-        for p, first, k in zip(*(np.split(x, cuts) for x in (at, low, n)), strict=True):
+        for p, first, k in zip(*(np.split(x, cuts) for x in (at, low, n)), strict=True) if len(cuts) else [(at, low, n)]:
             seed = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            found.append(np.unique(_code(seeds.item[seed], np.repeat(p, k) - seeds.place[seed])))
-    codes = np.unique(np.concatenate(found))
+            codes = _code(seeds.item[seed], np.repeat(p, k) - seeds.place[seed])
+            found.append(np.unique(codes) if len(cuts) else codes)
+    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return codes >> 40, (codes & ((1 << 40) - 1)) - (1 << 39)
 
 
+def touched(texts: list[np.ndarray], seeds: Seeds, filled: np.ndarray) -> np.ndarray:
+    """Which texts, given by their words, have some hit: all are looked up together."""
+    found = np.zeros(len(texts), bool)
+    words = np.concatenate([np.zeros(0, np.uint64), *texts])
+    ends = np.cumsum([len(t) for t in texts])
+    for mask in seeds.masks:
+        h = seed_hashes(words, mask)
+        at = np.flatnonzero(filled[h & np.uint64(len(filled) - 1)])
+        if len(at):
+            h = h[at]
+            at = at[seeds.keys[np.minimum(np.searchsorted(seeds.keys, h), len(seeds.keys) - 1)] == h]
+            text = np.searchsorted(ends, at, "right")
+            found[text[at + max(mask) < ends[text]]] = True
+    return found
+
+
 def _code(item: np.ndarray | int, diagonal: np.ndarray) -> np.ndarray:
     return (item << 40) + diagonal + (1 << 39)
 
@@ -155,6 +177,11 @@ def overlaps(words: np.ndarray, seeds: Seeds, filled: np.ndarray) -> list[tuple[
     return out
 
 
+def overlaps_of(texts: list[str | None], seeds: Seeds, filled: np.ndarray) -> list[list[tuple[int | None, int, float]]]:
+    words = word_hashes(texts, PLAIN)
+    return [overlaps(w, seeds, filled) if some else [] for w, some in zip(words, touched(words, seeds, filled), strict=True)]
+
+
 def bitmap(seeds: Seeds) -> np.ndarray:
     filled = np.zeros(1 << max(16, (16 * len(seeds.keys)).bit_length()), bool)
     filled[seeds.keys & np.uint64(len(filled) - 1)] = True
@@ -214,8 +241,7 @@ def _report(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[dict[st
     for whole in batches:
         for batch in slices(whole):
             out = []
-            for words in word_hashes(batch.column("text").to_pylist(), PLAIN):
-                found = overlaps(words, seeds, filled)
+            for found in overlaps_of(batch.column("text").to_pylist(), seeds, filled):
                 leaks = [f for f in found if is_leak(*f[1:])]
                 item, matched, share = max(leaks or found, key=lambda f: (f[1], f[2], f[0] is not None, -(f[0] or 0)), default=(None, 0, 0.0))
                 out.append((bool(leaks), len(leaks), item, matched, share))
@@ -235,7 +261,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         filled = bitmap(seeds)
         for whole in batches:
             for batch in slices(whole):
-                stay = [not any(is_leak(*f[1:]) for f in overlaps(words, seeds, filled)) for words in word_hashes(batch.column("text").to_pylist(), PLAIN)]
+                stay = [not any(is_leak(*f[1:]) for f in found) for found in overlaps_of(batch.column("text").to_pylist(), seeds, filled)]
                 yield batch.filter(pa.array(stay))
 
     return bounded(docs).mapInArrow(kept, docs.schema)

@@ -71,6 +71,16 @@ def test_hits_equal_brute_force():
         assert set(zip(*(x.tolist() for x in dc.hits(words, seeds, filled)))) == want
 
 
+def test_texts_together_equal_texts_alone():
+    items, docs, _ = fixture()
+    seeds = dc.seeds_of(items)
+    filled = dc.bitmap(seeds)
+    texts = [d[1] for d in docs] + [items[7][1], "", items[3][1][:9]]
+    alone = [dc.overlaps(word_hashes([t], PLAIN)[0], seeds, filled) for t in texts]
+    assert dc.overlaps_of(texts, seeds, filled) == alone and sum(map(bool, alone)) > 50
+    assert dc.overlaps_of([], seeds, filled) == [] and dc.overlaps_of(texts, dc.seeds_of([]), dc.bitmap(dc.seeds_of([]))) == [[]] * len(texts)
+
+
 def one_run(item, words, diagonal):
     """Places of the item that match in the best run along a diagonal, by trying all."""
     same = [0 <= i + diagonal < len(words) and item[i] == words[i + diagonal] for i in range(len(item))]
