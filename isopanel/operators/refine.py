@@ -19,7 +19,8 @@ def directional_evaluations(vectors: DataFrame, edges: DataFrame, share: float =
 
     A direction's score is its mean absolute cosine to the node's other directions. The lowest share of them are tried
     in order, ties to the smaller neighbour; one is accepted while the mean score of those left gains enough, and the
-    first that isn't ends it. Two directions always stay; neighbours in the same place have none.
+    first that isn't ends it. The score of a row is that among the directions left when its turn comes. Two directions
+    always stay; neighbours in the same place have none.
     """
     a, b = (vectors.select(F.col("id").alias(c), F.col("v").alias(v)) for c, v in (("node", "v"), ("neighbour", "w")))
     shifts = half_edges(edges).join(b, "neighbour").join(a, "node").select("node", "neighbour", F.zip_with("w", "v", lambda x, y: x - y).alias("shift"))
@@ -37,13 +38,14 @@ def directional_evaluations(vectors: DataFrame, edges: DataFrame, share: float =
             scores = alike.sum(1) / (m - 1)
             order = np.lexsort((names, scores))[: min(int(np.ceil(share * m)), m - 2)]
             left, mean, goes = np.ones(m, bool), scores.mean(), True
-            for rank, i in enumerate(order):
+            for rank, i in enumerate(order, 1):
+                n = int(left.sum()) - 1
+                own = alike[i, left].sum() / n
                 left[i] = False
-                n = int(left.sum())
                 after = alike[np.ix_(left, left)].sum() / (n * (n - 1))
                 gain = (after - mean) / mean if mean > 0 else 0.0
                 goes = goes and gain + 1e-12 >= least_gain
-                rows.append((frame["node"].iloc[0], names[i], rank, (rank + 1) / m, scores[i], mean, after, gain, goes))
+                rows.append((frame["node"].iloc[0], names[i], rank, rank / m, own, mean, after, gain, goes))
                 if not goes:
                     break
                 mean = after

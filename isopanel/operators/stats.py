@@ -38,7 +38,8 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, *values: str) -> DataFrame:
-    """df with rank_<value> of each value."""
+    """df with rank_<value> of each value; df is computed once."""
+    df = settled(df, "ranked")
     for v in values:
         df = df.join(value_ranks(df, v).withColumnRenamed("r", f"rank_{v}"), v)
     return df

@@ -121,7 +121,7 @@ def rng_in_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {T.knn_sql(K)}, ranks AS (SELECT i, j, rank() OVER (PARTITION BY i ORDER BY d) - 1 AS nearer FROM half)
-    SELECT k.source, k.target, least(a.nearer, b.nearer) AS min_rank FROM knn k JOIN ranks a ON a.i = k.source AND a.j = k.target JOIN ranks b ON b.i = k.target AND b.j = k.source""")
+    SELECT k.source, k.target, min(nearer) AS min_rank FROM knn k JOIN ranks r ON r.i + r.j = k.source + k.target AND least(r.i, r.j) = k.source GROUP BY k.source, k.target""")
 def edge_min_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.vectors(spark, sf_dir)
     return G.min_ranks(G.knn_graph(nodes, K), D.pairwise(nodes)).select("source", "target", F.col("min_rank").cast("bigint").alias("min_rank"))

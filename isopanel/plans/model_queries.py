@@ -126,11 +126,16 @@ def neighbour_joining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("group").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum((F.col("d") - F.col("t")) ** 2) / F.sum(F.col("d") ** 2)), 6).alias("rsd"))
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS stratum, count(*) AS size FROM orders GROUP BY 1), x AS (SELECT *, size * 1000 / sum(size) OVER () AS x FROM s), b AS (SELECT *, floor(x) AS base FROM x),
-    l AS (SELECT *, 1000 - sum(base) OVER () AS spare, row_number() OVER (ORDER BY x - base DESC, stratum) AS r FROM b) SELECT stratum, size, CAST(base + CASE WHEN r <= spare THEN 1 ELSE 0 END AS BIGINT) AS n FROM l""")
+@query("""WITH s AS (SELECT strftime(o_orderdate, '%Y-%m') AS stratum, count(*) AS size FROM orders GROUP BY 1), a AS (SELECT *, CASE WHEN size >= 3 THEN least(size, 100) ELSE size END AS start FROM s),
+    m AS (SELECT *, (SELECT count(*) // 3 FROM orders) - sum(start) OVER () AS missing FROM a), r AS (SELECT *, CASE WHEN missing < 0 THEN start - least(size, 3, start) ELSE size - start END AS room FROM m),
+    x AS (SELECT *, abs(missing) * room / sum(room) OVER () AS x FROM r), b AS (SELECT *, floor(x) AS base FROM x),
+    l AS (SELECT *, abs(missing) - sum(base) OVER () AS spare, row_number() OVER (ORDER BY x - base DESC, stratum) AS r FROM b)
+    SELECT stratum, size, CAST(start + sign(missing) * (base + CASE WHEN r <= spare THEN 1 ELSE 0 END) AS BIGINT) AS n FROM l""")
 def exact_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strata = T.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count("*").alias("size"))
-    return R.allocate(strata, 1000).withColumn("n", F.col("n").cast("bigint"))
+    """A third of all orders, dealt to months: a hundred of each at first, then more or fewer, three at least."""
+    orders = T.table(spark, sf_dir, "orders")
+    strata = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("stratum")).agg(F.count("*").alias("size"))
+    return R.allocate(strata, orders.count() // 3, 3, 100)
 
 
 @query("SELECT 'doc' || doc_id AS accession, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS length, md5(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS digest FROM documents")

@@ -118,7 +118,10 @@ RANKS = ", r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) O
 
 @query(f"WITH {PAIR_DAYS}{RANKS} SELECT count(*) AS n, round(corr(r_d, r_days), 6) AS rho FROM r")
 def spearman_distance_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(S.spearman(_distance_and_days(spark, sf_dir), "d", "days"), "rho")
+    a, b = (T.dates(spark, sf_dir).select(F.col("node").alias(c), F.col("day").alias(n)) for c, n in (("i", "a"), ("j", "b")))
+    pairs = D.pairwise(T.vectors(spark, sf_dir)).join(a, "i").join(b, "j")
+    pairs = pairs.select(F.round(F.col("d").cast("double"), 3).alias("d"), F.abs(F.datediff("a", "b")).cast("double").alias("days"))
+    return _round(S.spearman(pairs, "d", "days"), "rho")
 
 
 @query(f"""WITH {PAIR_DAYS}{RANKS}, c AS (SELECT count(*) AS n, corr(r_d, r_days) AS xy, corr(r_d, r_t) AS xz, corr(r_days, r_t) AS yz FROM r)

@@ -25,6 +25,67 @@ def test_directional_filter_on_a_cross(spark):
     assert len(rows) == 2 and not rows[1]["accepted"]
 
 
+def test_directional_scores_are_taken_among_those_left(spark):
+    rng = np.random.default_rng(4)
+    points = np.vstack([np.zeros(3), rng.normal(size=(24, 3)) + [3, 0, 0]])
+    points[20:] -= [3, 0, 0]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 25)], "source long, target long, weight double")
+    got = refine.directional_evaluations(vectors, star, share=0.3).where("node = 0").orderBy("candidate_rank").collect()
+    unit = {i: p / np.linalg.norm(p) for i, p in enumerate(points) if i}
+    score = lambda i, among: sum(abs(float(unit[i] @ unit[j])) for j in among if j != i) / (len(among) - 1)
+    left, want = list(unit), []
+    for rank, i in enumerate(sorted(unit, key=lambda i: (score(i, unit), i))[: math.ceil(0.3 * 24)], 1):
+        own, before = score(i, left), sum(score(j, left) for j in left) / len(left)
+        left.remove(i)
+        after = sum(score(j, left) for j in left) / len(left)
+        want.append((i, rank, rank / 24, own, before, after, (after - before) / before >= 0.01))
+        if not want[-1][-1]:
+            break
+    assert sum(w[-1] for w in want) >= 2
+    assert len(got) == len(want)
+    for r, w in zip(got, want):
+        assert (r["neighbour"], r["candidate_rank"], r["accepted"]) == (w[0], w[1], w[6])
+        assert (r["rank_fraction"], r["score"], r["mean_before"], r["mean_after"]) == pytest.approx(w[2:6])
+
+
+def test_common_component(spark):
+    """What one graph cuts off splits another; the result is the same in either order."""
+    rng = np.random.default_rng(7)
+    graphs = [sorted({tuple(sorted(p)) for p in rng.integers(0, 40, (n, 2)).tolist() if p[0] != p[1]}) for n in (42, 46)]
+
+    def largest(nodes, edges):
+        up = {x: x for x in nodes}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a in up and b in up:
+                a, b = sorted((root(a), root(b)))
+                up[b] = a
+        parts = {}
+        for x in nodes:
+            parts.setdefault(root(x), set()).add(x)
+        return max(parts.items(), key=lambda p: (len(p[1]), -p[0]))[1]
+
+    want, rounds = set(range(40)), 0
+    while True:
+        kept = want & largest(want, graphs[0]) & largest(want, graphs[1])
+        if kept == want:
+            break
+        want, rounds = kept, rounds + 1
+    assert rounds > 1
+    nodes = spark.createDataFrame([(i,) for i in range(40)], "node long")
+    frames = [spark.createDataFrame([(*p, 1.0) for p in g], "source long, target long, weight double") for g in graphs]
+    for order in (frames, frames[::-1]):
+        assert {r["node"] for r in A.common_component(nodes, order).collect()} == want
+    with pytest.raises(ValueError):
+        A.common_component(nodes.limit(0), frames)
+
+
 def test_deletion_keeps_components(spark):
     rng = np.random.default_rng(1)
     e = sorted({tuple(sorted(p)) for p in rng.integers(0, 30, (80, 2)).tolist() if p[0] != p[1]})
