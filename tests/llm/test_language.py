@@ -79,3 +79,54 @@ def test_blocks_of_languages(spark, monkeypatch):
         monkeypatch.setattr(language, "MOST_LANGUAGES", most)
         assert sorted(language.documents_languages(df).collect()) == want
     assert {r["language"] for r in want} == {*WORDS, "und"}
+
+
+def test_fusion_equals_brute_force(spark):
+    """All evidence in plain Python: likelihoods, and tables of rows but one's own."""
+    from collections import defaultdict
+    from math import exp, log
+
+    rng = random.Random(6)
+    docs = []
+    for i in range(120):
+        name = rng.choices(list(WORDS), [5, 3, 1])[0]
+        mixed = text(rng, name, rng.randint(1, 6)) + " " + text(rng, rng.choice(list(WORDS)), rng.randint(0, 3))
+        docs.append((i, mixed, rng.choice([name, name, "aa", None]), rng.choice([name, "s0", "s1", None])))
+    docs += [(500, None, "aa", "s0"), (501, "12", None, "s1"), (502, text(rng, "bb", 3_000), "bb", "s0")]
+    names = sorted(WORDS)
+    table = {n: np.full(language.BUCKETS, language.ALPHA) for n in names}
+    for _, t, lang, _ in docs:
+        if lang and any(c.isalpha() for c in t or ""):
+            np.add.at(table[lang], language.trigrams([t])[0], 1)
+    model = {n: np.log(c / c.sum()).astype(np.float32).astype(float) for n, c in table.items()}
+    rows = []
+    for d, t, lang, source in docs:
+        buckets = language.trigrams([t or ""])[0]
+        means = [model[n][buckets].mean() if len(buckets) else 0.0 for n in names]
+        known = len(buckets) > 0 and max(means) > -log(language.BUCKETS)
+        score = [m * min(len(buckets), language.EVIDENCE) for m in means]
+        e = [exp(x - max(score)) for x in score]
+        rows.append((d, lang or "", source or "", known, score, [x / sum(e) if known else 0.0 for x in e]))
+    sums = defaultdict(lambda: np.zeros(3))
+    for _, lang, source, _, _, share in rows:
+        for key in ("all", ("declared", lang), ("suffix", ""), ("parent", ""), ("host", source)):
+            sums[key] += share
+    every = sums["all"] + 1
+    n_declared = len({r[1] for r in rows})
+    want = {}
+    for d, lang, source, known, score, share in rows:
+        others = lambda key: np.maximum(sums[key] - share, 0)
+        host = every / every.sum()
+        for key in (("parent", ""), ("host", source)):
+            host = (others(key) + language.HOST_ROWS * host) / (others(key).sum() + language.HOST_ROWS)
+        fused = np.array(score) + np.log(host)
+        for key, n in ((("declared", lang), n_declared), (("suffix", ""), 1)):
+            fused += np.log((others(key) + language.VALUE_ROWS) / (every + language.VALUE_ROWS * n))
+        p = 1 / np.exp(fused - fused.max()).sum()
+        want[d] = (names[int(fused.argmax())], p, names[int(np.argmax(score))]) if known else ("und", 0.0, "und")
+    got = language.documents_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(docs) and len({w[0] for w in want.values()}) >= 3
+    for r in got:
+        language_, p, by_text = want[r["doc_id"]]
+        assert (r["language"], r["text_language"], r["accepted"]) == (language_, by_text, p >= language.LEAST_PROBABILITY)
+        assert abs(r["probability"] - p) < 1e-4
