@@ -66,7 +66,9 @@ def k_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(agreed[0].unionAll(agreed[1]).unionAll(agreed[2]), "repeat").withColumn("objective", F.round("objective", 3))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS node, CAST(p_size AS INTEGER) AS slot, rpad(p_brand || p_type, 24, '-') AS s FROM part),
+    d AS (SELECT a.slot, a.node, CAST(sum(hamming(a.s, b.s)) AS BIGINT) AS s FROM p a JOIN p b USING (slot) GROUP BY ALL)
+    SELECT CAST(0 AS INTEGER) AS repeat, slot, arg_min(node, {'s': s, 'n': node}) AS node, min(s) AS s FROM d GROUP BY slot""")
 def hamming_profile_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medoids of brands and types as aligned strings, a cluster for each size of parts."""
     parts = T.table(spark, sf_dir, "part")
