@@ -62,6 +62,26 @@ def test_files_of_nothing(spark):
     assert idfiles.read_ids(idfiles.write_ids(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 64, idfiles.BLOCK])
+def test_several_blocks(tmp_path, block):
+    """Documents and ranges across the edges of blocks."""
+    rng = np.random.default_rng(block)
+    sizes = [0, 1, block - 1, block, block + 1, 0, 2 * block + 3, 5, 3 * block]
+    docs = [(i if i != 3 else None, rng.integers(0, 49_152, n).astype(np.uint32)) for i, n in enumerate(sizes)]
+    path = f"file://{tmp_path}/ids.bin"
+    writer = idfiles.Writer(path, 49_152, block)
+    for doc_id, ids in docs:
+        writer.add(doc_id, ids)
+    writer.close()
+    reader = idfiles.Reader(path)
+    every = np.concatenate([ids for _, ids in docs])
+    starts = np.cumsum([0, *sizes[:-1]])
+    assert [(d, s, i.tolist()) for d, s, i in reader.documents()] == [(d, int(s), i.tolist()) for (d, i), s in zip(docs, starts)]
+    edges = [k * block + x for k in range(9) for x in (-1, 0, 1)]
+    for a, b in [(x, y) for x in edges for y in edges if 0 <= x <= y <= len(every)] + [(0, len(every))]:
+        assert (reader.ids(a, b) == every[a:b]).all() and len(reader.ids(a, b)) == b - a
+
+
 def check_packing(got, capacity):
     where = {}
     for r in got:
