@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterable
@@ -19,16 +20,22 @@ MEMO_WORDS = 250_000
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
 #: The vocabulary's own word pattern (fixed), for the characters above in lower case.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: What a vocabulary's file says when its texts can be split as above (fixed values); texts of others go to the library whole.
+_LETTER_WORDS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_SPLIT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": _LETTER_WORDS, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 #: Byte-level vocabularies write bytes that are no visible Latin-1 character as U+0100 and on, in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _BYTES = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 
 
 class WordEncoder:
-    """Encodes as the tokenizers library does, for byte-level vocabularies that mark the ends of words and drop white space.
+    """Encodes as the tokenizers library does.
 
-    The ids of a text are those of its words, one after the other, so each different word goes to the library once
-    while the memo lasts.
+    With byte-level vocabularies that mark the ends of words and drop white space, the ids of a text are those of its
+    words, one after the other, so each different word goes to the library once while the memo lasts.
     """
 
     def __init__(self, path: str = VOCABULARY, memo: int = MEMO_WORDS):
@@ -36,6 +43,8 @@ class WordEncoder:
         self.size = memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = (told["normalizer"], told["pre_tokenizer"]) == _SPLIT and all(t["content"].startswith("<|") for t in told["added_tokens"])
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -51,7 +60,7 @@ class WordEncoder:
     def encode(self, text: str, end: int | None = END_ID) -> np.ndarray:
         """The ids of text, then the end id, as little-endian unsigned 32-bit integers."""
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        if _OTHER.search(text):
+        if not self.by_words or _OTHER.search(text):
             return np.frombuffer(self._ids(text).tobytes() + tail, "<u4")
         words = _WORD.findall(text.lower())
         try:

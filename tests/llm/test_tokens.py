@@ -34,6 +34,14 @@ def test_encoder_equals_the_library(tokenizer):
         assert words.encode(text or "").tolist() == brute(tokenizer, text)
 
 
+def test_other_vocabularies_go_to_the_library():
+    path = VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k")
+    words, library = WordEncoder(path), Tokenizer.from_file(path)
+    assert WordEncoder().by_words and not words.by_words
+    for _, text, *_ in rows()[:30]:
+        assert words.encode(text or "").tolist() == brute(library, text)
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 31])
 def test_bits(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint32)
