@@ -9,7 +9,7 @@ import pytest
 from isopanel.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = "graph_summary collapsed_graph temporal_roles date_profiles rank_sum_test medoid_update patristic_distances paired_summary set_membership fasta_round_trip exact_allocation usable_records id_list seeds_together header_ids label_codes".split()
+SOME = "graph_summary collapsed_graph temporal_roles date_profiles rank_sum_test medoid_update patristic_distances paired_summary set_membership fasta_round_trip exact_allocation usable_records id_list seeds_together header_ids label_codes normalized_curves holm_adjusted fisher_test clock_score random_pruned matrix_slice".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
