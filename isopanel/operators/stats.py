@@ -37,6 +37,24 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     return counted.join(F.broadcast(before), "_p").select(value, (F.col("_before") + inside - (F.col("_n") - 1) / 2).alias("r"))
 
 
+def range_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row of quantiles (linear) by name over a whole table: from range-split counts of values, not in one task.
+
+    df is read three times, so give a table rather than a long computation. Nulls stay out; no values give nulls.
+    """
+    rows = df.select(value).where(F.col(value).isNotNull())
+    n = rows.count()
+    sizes = rows.groupBy(value).agg(F.count("*").alias("_c"))
+    first = value_ranks(rows, value).join(sizes, value).select(value, (F.col("r") - (F.col("_c") - 1) / 2 - 1).alias("_first"))
+    at = lambda place: F.max(F.when(F.col("_first") <= place, F.col(value)))
+    columns = []
+    for name, q in quantiles.items():
+        place = max(n - 1, 0) * q
+        low, high = at(int(place)), at(-int(-place // 1))
+        columns.append((low + (high - low) * (place - int(place))).alias(name))
+    return first.agg(*columns)
+
+
 def with_ranks(df: DataFrame, *values: str) -> DataFrame:
     """df with rank_<value> of each value; df is computed once."""
     df = settled(df, "ranked")

@@ -11,6 +11,7 @@ from ..operators import analytics as A
 from ..operators import comparison as C
 from ..operators import distance as D
 from ..operators import graphs as G
+from ..operators import stats as S
 from ..storage import settled
 from . import statistics_queries as Q
 from . import tables as T
@@ -155,7 +156,7 @@ def matrix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between vectors of clicks, numbered in a caller's order: here from the last."""
     clicks = T.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("id"))
     vectors = T.vectors(spark, sf_dir).join(clicks, "id", "left_semi")
-    ranked = C.value_ranks(vectors, "id").select("id", F.col("r").cast("bigint").alias("r"))
+    ranked = S.value_ranks(vectors, "id").select("id", F.col("r").cast("bigint").alias("r"))
     places = ranked.join(F.broadcast(ranked.agg(F.max("r").alias("n")))).select("id", (F.col("n") - F.col("r")).alias("position"))
     found = C.sliced(D.pairwise(vectors), places)
     return found.select("i", "j", F.round(F.col("d").cast("double"), 3).alias("d"))

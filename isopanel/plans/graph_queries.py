@@ -127,13 +127,13 @@ def edge_min_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.min_ranks(G.knn_graph(nodes, K), D.pairwise(nodes)).select("source", "target", F.col("min_rank").cast("bigint").alias("min_rank"))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.RNG}{T.paths_sql('rng', 'greatest(g.distance, h.w)')} SELECT source, target, round(CAST(weight AS DOUBLE), 4) AS weight FROM rng JOIN geo ON source = root AND target = node WHERE CAST(weight AS DOUBLE) <= distance")
 def minimum_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative neighbours hold it, so Borůvka's rounds go over few edges."""
     return _weights(G.minimum_spanning_forest(G.relative_neighbours(T.vectors(spark, sf_dir))))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.RNG}{T.paths_sql('rng', 'greatest(g.distance, h.w)')} SELECT CAST(eps AS DOUBLE) AS eps, count(*) AS n_edges, round(sum(CAST(d AS DOUBLE)), 3) AS weight FROM pairs JOIN geo ON i = root AND j = node, (SELECT unnest([0.0, 0.1, 0.25]) AS eps) WHERE CAST(d AS DOUBLE) <= distance * (1 + eps) GROUP BY eps")
 def near_minimum_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.vectors(spark, sf_dir)
     tree = G.minimum_spanning_forest(G.relative_neighbours(nodes))
@@ -224,7 +224,8 @@ def leaves_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.without_leaves(_nodes(spark, sf_dir), G.tau_graph(T.vectors(spark, sf_dir), TAU))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TAUS}{DEGREES}, links AS (SELECT source AS a, target AS b FROM tau UNION ALL SELECT target, source FROM tau), gone(node) USING KEY (node) AS (SELECT node FROM deg WHERE degree < 2 UNION
+    (SELECT a FROM links LEFT JOIN recurring.gone x ON x.node = b WHERE a NOT IN (SELECT node FROM recurring.gone) AND (SELECT count(*) FROM gone) > 0 GROUP BY a HAVING count(*) - count(x.node) < 2)) SELECT id AS node FROM nodes WHERE id NOT IN (SELECT node FROM gone)""")
 def two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.core(_nodes(spark, sf_dir), settled(G.tau_graph(T.vectors(spark, sf_dir), TAU), "tau"))
 
@@ -251,14 +252,14 @@ def refinement_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.transition(edges, edges.where(F.col("weight") <= TAU))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.knn_sql(K)}{T.paths_sql('knn')} SELECT node, round(distance, 4) AS distance FROM geo WHERE root = (SELECT min(id) FROM nodes)")
 def geodesics_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.vectors(spark, sf_dir)
     roots = nodes.agg(F.min("id").alias("root"))
     return A.geodesics_from(G.knn_graph(nodes, K), roots).select("node", F.round("distance", 4).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.knn_sql(K)}{T.paths_sql('knn')} SELECT root, count(*) AS reached, round(max(distance), 4) AS eccentricity, round(avg(distance), 4) AS mean FROM geo GROUP BY root")
 def all_geodesics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of all geodesics, root by root."""
     nodes = T.vectors(spark, sf_dir)
@@ -266,7 +267,7 @@ def all_geodesics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("root").agg(F.count("*").alias("reached"), F.round(F.max("distance"), 4).alias("eccentricity"), F.round(F.avg("distance"), 4).alias("mean"))
 
 
-@query()
+@query(f"WITH RECURSIVE {T.knn_sql(K)}{T.paths_sql('knn')}, r AS (SELECT unnest(quantile_cont(distance, [0.05, 0.25, 0.5])) AS radius FROM geo WHERE distance > 0) SELECT root AS center, round(radius, 4) AS radius, count(*) AS n FROM geo, r WHERE distance <= radius GROUP BY ALL")
 def geodesic_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.vectors(spark, sf_dir)
     found = settled(A.geodesics(settled(G.knn_graph(nodes, K), "knn"), nodes.select(F.col("id").alias("root"))), "geodesics")

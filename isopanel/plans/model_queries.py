@@ -199,7 +199,8 @@ def local_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(a, "source").join(b, ["shuffle", "target"]).groupBy("shuffle").agg(F.round(F.avg(F.abs(F.datediff("a", "b"))), 6).alias("mean"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {T.knn_sql(5)}{T.paths_sql('knn')}, x AS (SELECT root, distance, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS DOUBLE) AS x FROM geo JOIN events ON event_id = node WHERE root <> node),
+    f AS (SELECT root, corr(distance, x) AS r FROM x GROUP BY root) SELECT root, round(r, 6) AS r FROM f WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY f.r DESC, root LIMIT 1""")
 def best_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = T.vectors(spark, sf_dir)
     found = A.geodesics(settled(G.knn_graph(nodes, 5), "knn"), nodes.select(F.col("id").alias("root")))

@@ -96,7 +96,10 @@ def edge_date_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(M.edge_relations(_knn(spark, sf_dir), M.profiles(events)), "p_before")
 
 
-@query()
+@query(f"""WITH {ORIENTED}, k AS (SELECT unnest(generate_series(1, 99)) AS k), n AS (SELECT k, node, row_number() OVER (PARTITION BY k ORDER BY node) AS r FROM dates, k), x AS (SELECT k, day, row_number() OVER (PARTITION BY k ORDER BY md5(k || '-' || node), node) AS r FROM dates, k),
+    dealt AS (SELECT k, node, day FROM n JOIN x USING (k, r)), m AS (SELECT a.k, avg(abs(date_diff('day', a.day, b.day))) AS m FROM knn JOIN dealt a ON a.node = source JOIN dealt b ON b.node = target AND b.k = a.k GROUP BY a.k),
+    s AS (SELECT avg(coalesce(lag_days, 0)) AS observed FROM o WHERE status <> 'missing') SELECT round(any_value(observed), 6) AS observed, round(avg(m), 6) AS null_mean, round(stddev_samp(m), 6) AS null_sd, round((any_value(observed) - avg(m)) / stddev_samp(m), 6) AS z,
+    round((count(*) FILTER (m >= observed) + 1) / (count(*) + 1), 6) AS p_ge, round((count(*) FILTER (m <= observed) + 1) / (count(*) + 1), 6) AS p_le FROM m, s""")
 def date_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = M.lag_null(settled(_knn(spark, sf_dir), "knn"), T.dates(spark, sf_dir), 99)
     return _round(one, *one.columns)
@@ -219,7 +222,9 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(S.adjusted_rand(T.table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey"), "ari", places=8)
 
 
-@query()
+@query("""WITH c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL), l AS (SELECT DISTINCT p FROM c), t AS (SELECT x.p AS f, y.p AS o, z.p AS q FROM l x JOIN l y ON x.p <> y.p JOIN l z ON z.p NOT IN (x.p, y.p)),
+    v AS (SELECT t.*, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, coalesce(d.n, 0) AS d FROM t LEFT JOIN c a ON a.s = 'F' AND a.p = f LEFT JOIN c b ON b.s = 'O' AND b.p = o LEFT JOIN c d ON d.s = 'P' AND d.p = q), w AS (SELECT * FROM v ORDER BY a + b + d DESC, f, o, q LIMIT 1)
+    SELECT unnest(['F', 'O', 'P']) AS o_orderstatus, unnest([f, o, q]) AS o_orderpriority, unnest([a, b, d]) AS n FROM w""")
 def cluster_label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
     return S.best_mapping(rows, "o_orderstatus", "o_orderpriority")

@@ -48,3 +48,13 @@ def undirected_sql(edges: str) -> str:
     return f""", ends AS (SELECT source AS a, target AS b FROM {edges} UNION ALL SELECT target, source FROM {edges}),
     reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a),
     comps AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"""
+
+
+def paths_sql(edges: str, step: str = "g.distance + h.w") -> str:
+    """A CTE geo (root, node, distance) of every two nodes of edges named so: SQL's own keyed iteration over shorter paths.
+
+    With greatest(g.distance, h.w) as the step, distance is the least largest weight on a path.
+    """
+    return f""", path_ends AS (SELECT source AS a, target AS b, CAST(weight AS DOUBLE) AS w FROM {edges} UNION ALL SELECT target, source, CAST(weight AS DOUBLE) FROM {edges}),
+    geo(root, node, distance) USING KEY (root, node) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM nodes UNION
+    (SELECT g.root, h.b, min({step}) FROM geo g JOIN path_ends h ON g.node = h.a LEFT JOIN recurring.geo k ON k.root = g.root AND k.node = h.b WHERE k.distance IS NULL OR {step} < k.distance GROUP BY g.root, h.b))"""
