@@ -44,7 +44,34 @@ BROADCAST_ROWS = 10_000
 HASHES = 1 << 40
 _LETTER = r"[a-zA-Z\x{80}-\x{10FFFF}]"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_RAW = re.compile(r"(?i)<(?:(script)|style)\b")
+_RAW_ENDS = {True: re.compile(r"(?i)</script\s*>"), False: re.compile(r"(?i)</style\s*>")}
+
+
+def visible(html: str) -> str:
+    """html with a space for each tag, comment, script and style sheet; one that nothing closes is a tag, or text.
+
+    One pass: an ending that isn't found once is not looked for again.
+    """
+    out, low, at = [], 0, 0
+    over: set[bool | str] = set()
+    while (at := html.find("<", at)) >= 0:
+        end = 0
+        if (raw := _RAW.match(html, at)) and (kind := bool(raw[1])) not in over:
+            closing = _RAW_ENDS[kind].search(html, raw.end())
+            end = closing.end() if closing else 0
+            over |= {kind} if not end else set()
+        for ending, skip in (("-->", 4 * html.startswith("<!--", at)), (">", 1)):
+            if not end and skip and ending not in over:
+                end = html.find(ending, at + skip) + len(ending)
+                if end < len(ending):
+                    end = 0
+                    over.add(ending)
+        if end:
+            out += [html[low:at], " "]
+            low = end
+        at = end or at + 1
+    return "".join([*out, html[low:]])
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +150,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                yield {c: batch.column(c) for c in ("page_id", "declared", "suffix", "host", "parent")} | {"text": [_HIDDEN.sub(" ", h) for h in batch.column("html").to_pylist()]}
+                yield {c: batch.column(c) for c in ("page_id", "declared", "suffix", "host", "parent")} | {"text": [visible(h) for h in batch.column("html").to_pylist()]}
 
     flat = rows.select("key.page_id", "html", "declared", "suffix", "host", "parent")
     return map_batches(flat, strip, "page_id bigint, text string, declared string, suffix string, host string, parent string").select(F.struct("page_id").alias("key"), "text", "declared", "suffix", "host", "parent")

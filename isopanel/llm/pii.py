@@ -88,7 +88,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in four):
                 yield start, end
             start = end + 1
 

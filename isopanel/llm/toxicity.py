@@ -47,7 +47,8 @@ REACH = {"negation": 3, "report": 8, "target": 6}
 #: What an arc does to an insult's weight in each state.
 NEGATED, REPORTED, TARGETED = 0.3, 0.6, 1.3
 THREAT_WEIGHT = 2.0
-_CLAUSE = re.compile(r"[.;:!?\n]+(?=\s|$)")
+#: A clause ends with a run of these that white space or the text's end follows.
+_RUN = re.compile(r"[.;:!?\n]++")
 _WORD = re.compile(r"[^\W\d_]+(?:'t)?")
 _FOREIGN = re.compile(r"[^\x00-\x7fß-öø-ÿ]")
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -96,6 +97,16 @@ class Clause(NamedTuple):
     weight: float
 
 
+def _ends(text: str) -> Iterator[int]:
+    """Ends of clauses. A run within a word can still end one before its last line break, so each run is read once."""
+    for run in _RUN.finditer(text):
+        start, end = run.span()
+        if end == len(text) or text[end].isspace():
+            yield end
+        elif (line := text.rfind("\n", start + 1, end)) >= 0:
+            yield line
+
+
 class Grammar:
     def __init__(self, insults: dict[str, float]):
         self.insults = insults
@@ -138,7 +149,7 @@ class Grammar:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found, start = [], 0
         if self._any(low):
-            for end in [*(m.end() for m in _CLAUSE.finditer(low)), len(low)]:
+            for end in [*_ends(low), len(low)]:
                 words = _WORD.findall(low, start, end)
                 if not self.heads.isdisjoint(words) and (weight := self.weigh(words)):
                     found.append(Clause(start, end, weight))

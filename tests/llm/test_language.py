@@ -1,6 +1,11 @@
 import random
+import re
+import time
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from isopanel.llm import language
 
@@ -130,3 +135,19 @@ def test_fusion_equals_brute_force(spark):
         language_, p, by_text = want[r["doc_id"]]
         assert (r["language"], r["text_language"], r["accepted"]) == (language_, by_text, p >= language.LEAST_PROBABILITY)
         assert abs(r["probability"] - p) < 1e-4
+
+
+MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(["<script", "<style>", "</script>", "</SCRIPT >", "</style", "-->", "<!--", "<!-->", ">", "<", "a", " ", "\n", "<scripts", "é"]), max_size=14).map("".join))
+def test_visible_text(html):
+    assert language.visible(html) == MARKUP.sub(" ", html)
+
+
+@pytest.mark.parametrize("html", ["<script " * 130_000, "<!-- " * 200_000, "<style></script " * 60_000, "<!--" * 250_000 + ">"])
+def test_unclosed_markup_takes_linear_time(html):
+    began = time.process_time()
+    language.visible(html)
+    assert time.process_time() - began < 2

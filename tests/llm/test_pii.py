@@ -40,11 +40,16 @@ def test_known():
     assert pii.mask("a b") == "a b"
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@a" * 100_000, "+1" + "(" * 200_000, "AA00 " + "A " * 100_000, "a" * 300_000])
+@pytest.mark.parametrize("text", ["1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@a" * 100_000, "+1" + "(" * 200_000, "AA00 " + "A " * 100_000, "a" * 300_000, "0" * 200_000 + ".1.2.3"])
 def test_long_texts_take_linear_time(text):
     pii.find(text)
 
 
+def test_leading_zeros_of_any_number():
+    assert [(s.start, s.end, s.kind) for s in pii.find("0" * 5000 + "1.2.3.4")] == [(0, 5007, "ip")]
+    assert [(s.start, s.end) for s in pii.find("000.0000.0.0")] == [(0, 12)] and pii.find("0256.1.1.1") == []
+
+
 def test_queries(spark):
     rng = random.Random(1)
     parts = ["a.b@c.de", "1.2.3.4", "300.1.1.1", "+1 (555) 010-2030", "4111111111111111", "word", "é", "@", "@x.y"]

@@ -1,6 +1,12 @@
 import random
+import re
+import time
 import zlib
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from isopanel.llm import toxicity as tox
 
 SCHEMA = "doc_id long, text string, toxic string, score string"
@@ -96,3 +102,16 @@ def test_apostrophes_weigh_the_same_beside_any_letters():
     g = tox.Grammar({"ain't": 3.0})
     assert [c.weight for c in g.clauses("you ain't here")] == [c.weight for c in g.clauses("you ain't here Ж")] == [3.0 * tox.TARGETED]
     assert g.clauses("you ain here") == []
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=".;\na \u2028", max_size=30))
+def test_ends_of_clauses(text):
+    assert list(tox._ends(text)) == [m.end() for m in re.finditer(r"[.;:!?\n]+(?=\s|$)", text)]
+
+
+@pytest.mark.parametrize("tail", ["." * 1_000_000 + "a", ".\n" * 500_000 + "a", "!a" * 500_000])
+def test_long_runs_take_linear_time(tail):
+    began = time.process_time()
+    assert tox.Grammar({"trash": 2.0}).clauses("you trash " + tail)
+    assert time.process_time() - began < 2
