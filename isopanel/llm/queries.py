@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, jaccard, language, maxscore, packing, pii, suffix, toxicity, warc
+from . import decontaminate, idfiles, jaccard, language, lexical, manifest, maxscore, packing, pii, secret_scan, suffix, toxicity, warc
 from .common import table
 
 
@@ -59,11 +59,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_id_files, op4_jaccard_join, op5_warc_archives, op6_maxscore_top_k, op7_language_id, llm_pages_language, op8_toxicity, op9_pii_spans, op10_decontamination)
+    for f in (op1_best_fit_packing, op2_suffix_dedup, op3_token_id_files, op4_jaccard_join, op5_warc_archives, op6_maxscore_top_k, op7_language_id, llm_pages_language, op8_toxicity, op9_pii_spans, op10_decontamination, op11_ranked_search, op12_merkle_manifest, op13_secret_scan)
 }
 
+#: A row's leaf in SQL, and what a level does to a digest and its proof.
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_UP = "sha256(array_to_string(nodes[1:place % 8] || [h] || nodes[place % 8 + 2:], '')), proof || array_to_string(nodes[1:place % 8] || nodes[place % 8 + 2:], '')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": """
         WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM b),
@@ -100,4 +116,36 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+        i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        q AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+        t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, g GROUP BY term, n_docs),
+        s AS (SELECT q, item_id, r, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l)))) AS BIGINT) AS score
+              FROM q JOIN t USING (term) JOIN f USING (term), g GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+    """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+            xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS crc FROM documents),
+        l AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, crc, {_LEAF.format("text")} AS leaf, {_LEAF.format("low")} AS lower_leaf FROM d),
+        n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM l),
+        v AS (SELECT 0 AS k, tree, place, size, leaf AS node FROM n UNION ALL
+            SELECT k + 1, tree, place // 8, (max(size) + 7) // 8, sha256(string_agg(node, '' ORDER BY place)) FROM v WHERE size > 1 GROUP BY k, tree, place // 8),
+        s AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM v WHERE size = 1),
+        t AS (SELECT 0 AS k, place, size, node FROM s UNION ALL
+            SELECT k + 1, place // 8, (max(size) + 7) // 8, sha256(string_agg(node, '' ORDER BY place)) FROM t WHERE size > 1 GROUP BY k, place // 8),
+        a AS (SELECT k, tree, place // 8 AS run, list(node ORDER BY place) AS nodes FROM v WHERE size > 1 GROUP BY ALL),
+        b AS (SELECT k, place // 8 AS run, list(node ORDER BY place) AS nodes FROM t WHERE size > 1 GROUP BY ALL),
+        f AS (SELECT r, tree, 0 AS k, place, CASE WHEN crc % 3 = 0 THEN lower_leaf ELSE leaf END AS h, '' AS proof FROM n UNION ALL
+            SELECT r, f.tree, f.k + 1, place // 8, {_UP} FROM f JOIN a ON f.k = a.k AND f.tree = a.tree AND f.place // 8 = a.run),
+        g AS (SELECT r, 0 AS k, s.place, h, proof FROM (SELECT r, arg_max(tree, k) AS tree, arg_max(h, k) AS h, arg_max(proof, k) AS proof FROM f GROUP BY r) JOIN s USING (tree) UNION ALL
+            SELECT r, g.k + 1, place // 8, {_UP} FROM g JOIN b ON g.k = b.k AND g.place // 8 = b.run),
+        e AS (SELECT r, arg_max(h, k) AS folded_root, sha256(arg_max(proof, k)) AS proof_sha256 FROM g GROUP BY r)
+        SELECT doc_id, leaf, s.node AS subroot, t.node AS root, proof_sha256, folded_root, folded_root = t.node AS verified FROM l JOIN e USING (r) JOIN s USING (tree) JOIN t ON t.size = 1
+    """,
 }
