@@ -140,13 +140,13 @@ def exact_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.allocate(strata, orders.count() // 3, 3, 100)
 
 
-@query("SELECT 'doc' || doc_id AS accession, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS length, md5(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS digest FROM documents")
+@query("SELECT 'doc' || doc_id AS accession, 'doc' || doc_id || ' c.' || n_chars || 'G>A of ' || source AS header, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS length, md5(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS digest FROM documents")
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of documents written as FASTA and read back."""
-    rows = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(" of "), "source").alias("header"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    rows = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(" c."), "n_chars", F.lit("G>A of "), "source").alias("header"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
     path = shared_dir(spark, "fasta")
     fasta.write_fasta(rows, path)
-    return fasta.read_fasta(spark, path).select("accession", F.length("seq").cast("bigint").alias("length"), F.md5("seq").alias("digest"))
+    return fasta.read_fasta(spark, path).select("accession", "header", F.length("seq").cast("bigint").alias("length"), F.md5("seq").alias("digest"))
 
 
 @query("""SELECT event_type AS graph, count(*) AS n, round(avg(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))), 6) AS mean, round(stddev_samp(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))), 6) AS sd, CAST(min(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))) AS INTEGER) AS min, CAST(max(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))) AS INTEGER) AS max FROM events GROUP BY 1""")

@@ -12,10 +12,14 @@ from ..functions.scalars import accession
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, header, seq) of each record; lines of a sequence are joined."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """(accession, header, seq) of each record; lines of a sequence are joined.
+
+    Records begin with a > at the start of a line; one within a header is part of it, further ones at its start are not.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    records = rows.select(F.regexp_replace("value", "^>+", "").alias("value")).where(F.trim("value") != "")
     cut = F.split("value", "\n", 2)
-    header = F.trim(F.get(cut, F.lit(0)))
+    header = F.regexp_replace(F.get(cut, F.lit(0)), r"^\s+|\s+$", "")
     seq = F.regexp_replace(F.coalesce(F.get(cut, F.lit(1)), F.lit("")), r"\s", "")
     return records.select(accession(header).alias("accession"), header.alias("header"), seq.alias("seq"))
 

@@ -176,6 +176,8 @@ def test_sources(spark, tmp_path, path, nodes):
     rows = spark.createDataFrame([("EPI_ISL_1 a", "A" * 200), ("NP_2 b", "CD"), ("x", "")], "header string, seq string")
     fasta.write_fasta(rows, f"{tmp_path}/fa")
     assert sorted((r["accession"], r["seq"]) for r in fasta.read_fasta(spark, f"{tmp_path}/fa").collect()) == [("EPI_ISL_1", "A" * 200), ("NP_2", "CD"), ("x", "")]
+    (tmp_path / "marks.fa").write_bytes(b">A mutation c.35G>A x\r\nAC\r\nGT\n>>B\nT>T\n>C\n")
+    assert [tuple(r) for r in fasta.read_fasta(spark, f"{tmp_path}/marks.fa").collect()] == [("A", "A mutation c.35G>A x", "ACGT"), ("B", "B", "T>T"), ("C", "C", "")]
     assert fasta.parse_newick("((a:1,'b c':2)n[x]:0.5,d);") == [(0, None, None, ""), (1, 0, 0.5, "n"), (2, 1, 1.0, "a"), (3, 1, 2.0, "b c"), (4, 0, None, "d")]
     (tmp_path / "t.nwk").write_text("(a:1,b:2);")
     assert fasta.read_newick(spark, f"{tmp_path}/t.nwk").count() == 3
