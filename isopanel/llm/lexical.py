@@ -7,8 +7,8 @@ occurrences, a small table in the shared folder, from which the collection's cou
 
 A task orders its vectors by length and cuts them into buckets. For an item and its threshold (the k-th best score so
 far) Cauchy-Schwarz ends the search at the first bucket whose longest vector is too short. Inside a bucket the item's
-heaviest terms are focus coordinates, as many as it takes until no vector can compete by the others alone; a vector's
-bound is its part over them and, for the rest, the lesser of two: Cauchy-Schwarz over what is left of its length, and
+heaviest terms are focus coordinates, as many as it takes until no vector can compete by the others alone, and more
+while many vectors are left; a vector's bound is its part over them and, for the rest, the lesser of two: Cauchy-Schwarz over what is left of its length, and
 the sum of the other coordinates' largest values in the bucket. Vectors whose bound reaches the threshold are scored
 again in whole numbers. First thresholds come from the exact scores of every SEED_FILES-th file of vectors: the k-th
 best of any rows is a lower bound for that of all.
@@ -42,6 +42,8 @@ BEST = 10
 BLOCK_TERMS, SEED_FILES = 200_000, 64
 #: Vectors of a bucket; numbers in the vectors that a task orders together.
 BUCKET_ROWS, CHUNK_NUMBERS = 2048, 2_000_000
+#: Coordinates are added, so many at a time, while more vectors than this are left in a bucket.
+FEW, MORE = 32, 4
 #: Bytes of a text that are split together, and the bytes between terms (fixed by the contract; A-Z are lowered first).
 STEP = 1 << 20
 BETWEEN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -260,18 +262,28 @@ class Bucket:
         # focus coordinates: no vector reaches the threshold by the terms after them
         focus = int(np.argmax(np.minimum(query.rest * self.lengths[0], others) * SLACK < board.threshold))
         part, squares = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        for t in np.flatnonzero(there[:focus]):
-            span = slice(self.cuts[place[t]], self.cuts[place[t] + 1])
-            rows, values = self.rows[span], self.values[span]
-            part[rows] += query.weights[t] * values
-            squares[rows] += values * values
+
+        def read(low: int, high: int) -> None:
+            for t in low + np.flatnonzero(there[low:high]):
+                span = slice(self.cuts[place[t]], self.cuts[place[t] + 1])
+                rows, values = self.rows[span], self.values[span]
+                part[rows] += query.weights[t] * values
+                squares[rows] += values * values
+
+        read(0, focus)
         alive = np.flatnonzero(part)
-        if len(alive) > board.k:  # a part is a lower bound of its score
-            least = np.partition(part[alive], len(alive) - board.k)[-board.k]
-            board.threshold = max(board.threshold, math.floor(least / SLACK))
-        left = np.sqrt(np.maximum(self.lengths[alive] ** 2 * SLACK - squares[alive], 0.0))
-        bound = part[alive] + np.minimum(query.rest[focus] * left, others[focus])
-        alive = alive[bound * SLACK >= board.threshold]
+        while True:
+            if len(alive) > board.k:  # a part is a lower bound of its score
+                least = np.partition(part[alive], len(alive) - board.k)[-board.k]
+                board.threshold = max(board.threshold, math.floor(least / SLACK))
+            left = np.sqrt(np.maximum(self.lengths[alive] ** 2 * SLACK - squares[alive], 0.0))
+            bound = part[alive] + np.minimum(query.rest[focus] * left, others[focus])
+            alive = alive[bound * SLACK >= board.threshold]
+            if len(alive) <= FEW or focus == len(query.terms):
+                break
+            # further coordinates make the bounds of those left closer
+            low, focus = focus, min(focus + MORE, len(query.terms))
+            read(low, focus)
         if len(alive):
             board.add(self.ids[alive], self.missing[alive], self._exact(query, alive))
 
