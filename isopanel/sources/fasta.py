@@ -5,23 +5,34 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import accession
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, header, seq) of each record; lines of a sequence are joined.
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(value): each record of FASTA files, from its header on.
 
     Records begin with a > at the start of a line; one within a header is part of it, further ones at its start are not.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    records = rows.select(F.regexp_replace("value", "^>+", "").alias("value")).where(F.trim("value") != "")
-    cut = F.split("value", "\n", 2)
-    header = F.regexp_replace(F.get(cut, F.lit(0)), r"^\s+|\s+$", "")
-    seq = F.regexp_replace(F.coalesce(F.get(cut, F.lit(1)), F.lit("")), r"\s", "")
-    return records.select(accession(header).alias("accession"), header.alias("header"), seq.alias("seq"))
+    return spark.read.option("lineSep", "\n>").text(path).where(F.regexp_replace("value", r"^>+", "").rlike(r"\S"))
+
+
+def header() -> Column:
+    """Of a record."""
+    return F.regexp_replace(F.get(F.split("value", "\n", 2), F.lit(0)), r"^>*\s*|\s+$", "")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, header, seq) of each record; lines of a sequence are joined."""
+    seq = F.regexp_replace(F.coalesce(F.get(F.split("value", "\n", 2), F.lit(1)), F.lit("")), r"\s", "")
+    return records(spark, path).select(accession(header()).alias("accession"), header().alias("header"), seq.alias("seq"))
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, header) of each record; sequences are not kept."""
+    return records(spark, path).select(accession(header()).alias("accession"), header().alias("header"))
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 80) -> None:
