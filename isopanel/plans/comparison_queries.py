@@ -40,6 +40,15 @@ def tail_sql(z: str) -> str:
     return f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series})"
 
 
+def student_sql(t: str, v: str) -> str:
+    """The tail of Student's law for t >= 0 and whole v as SQL: its finite series in the angle, normal above 20,000."""
+    cosine = f"(CAST({v} AS DOUBLE) / ({v} + {t} * {t}))"
+    series = lambda first, second, last, front: f"list_sum(list_transform(range(0, {last}), lambda k: exp(lgamma(k + {first}) - lgamma(k + {second}) + {front} + k * ln({cosine}))))"
+    even = f"sqrt(1 - {cosine}) * {series('0.5', '1', f'{v} // 2', '-0.5 * ln(pi())')}"
+    odd = f"2 / pi() * (atan({t} / sqrt({v})) + CASE WHEN {v} > 1 THEN sqrt({cosine} * (1 - {cosine})) * {series('1', '1.5', f'({v} - 1) // 2', '0.5 * ln(pi()) - ln(2)')} ELSE 0 END)"
+    return f"(CASE WHEN {v} > 20000 THEN {tail_sql(t)} ELSE (1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END) / 2 END)"
+
+
 @query(f"""WITH {Q.PAIR_DAYS}, c AS (SELECT t AS a, d AS b, d - t AS added, CASE WHEN t > 0 THEN d / t END AS ratio, greatest(1e-5, 1e-6 * t) AS tolerance FROM pd),
     r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM c)
     SELECT count(*) AS n_pairs, count(*) FILTER (added < -tolerance) AS n_shrunk, round(avg(CASE WHEN abs(added) > tolerance THEN 1.0 ELSE 0.0 END), 6) AS changed, round(avg(added), 5) AS mean_added, round(avg(ratio), 5) AS mean_ratio,
@@ -91,7 +100,7 @@ def curve_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEANS = f"""WITH m AS (SELECT user_id, count(value) AS n, (avg(value) - (SELECT avg(value) FROM events)) / (CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) END / sqrt(count(value))) AS z FROM events WHERE value IS NOT NULL GROUP BY user_id),
-    p AS (SELECT *, 2 * {tail_sql("abs(z)")} AS p FROM m), k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, user_id) + 1 AS k FROM p WHERE p IS NOT NULL)"""
+    p AS (SELECT *, CASE WHEN n > 1 THEN 2 * {student_sql("abs(z)", "(n - 1)")} END AS p FROM m), k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, user_id) + 1 AS k FROM p WHERE p IS NOT NULL)"""
 
 
 @query(MEANS + " SELECT user_id, n, round(z, 5) AS z, round(p, 6) AS p, round(least(1.0, max(p * k) OVER (ORDER BY p, user_id)), 6) AS p_holm FROM k")
@@ -115,7 +124,7 @@ def fisher_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH x AS (SELECT CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS DOUBLE) AS x, CAST(o_totalprice AS DOUBLE) AS y FROM orders), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM x),
     f AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, corr(x, y) AS r FROM x), t AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r ** 2)) AS t FROM f)
-    SELECT n, round(slope, 5) AS slope, round(r, 7) AS r, round(2 * {tail_sql("t")}, 6) AS p, round((SELECT corr(a, b) FROM r), 7) AS rho FROM t""")
+    SELECT n, round(slope, 5) AS slope, round(r, 7) AS r, round(2 * {student_sql("t", "(n - 2)")}, 6) AS p, round((SELECT corr(a, b) FROM r), 7) AS rho FROM t""")
 def regression_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "orders").select(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
     return _round(_round(_round(C.regression_test(rows, "x", "y").select("n", "slope", "r", "p", "rho"), 5, "slope"), 7, "r", "rho"), 6, "p")
