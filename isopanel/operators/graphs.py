@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settled
-from .distance import both_ways, lunes, nearest, pairwise
+from .distance import nearest, pairwise
+from .witnesses import lunes, nearer_counts, witnessed
 
 EDGES = ("source", "target", "weight")
 
@@ -39,20 +40,19 @@ def relative_neighbours(nodes: DataFrame, metric: str = "cityblock", eps: float
     return found.select(F.col("i").alias("source"), F.col("j").alias("target"), F.col("d").alias("weight"), F.when(F.col("d") > 0, F.col("lune") / F.col("d")).alias("ratio"))
 
 
-def prune_by_witness(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+def prune_by_witness(candidates: DataFrame, nodes: DataFrame, metric: str = "cityblock") -> DataFrame:
     """candidates with status kept or pruned: pruned if some other node is nearer to both ends."""
-    half = both_ways(pairs.select("i", "j", "d"))
-    a = half.select(F.col("i").alias("source"), F.col("j").alias("k"), F.col("d").alias("d_source"))
-    b = half.select(F.col("i").alias("target"), F.col("j").alias("k"), F.col("d").alias("d_target"))
-    seen = candidates.join(a, "source").where("d_source < weight").join(b, ["target", "k"]).where("d_target < weight").select("source", "target").distinct()
-    return candidates.join(seen.withColumn("pruned", F.lit(True)), ["source", "target"], "left").select(*EDGES, F.when(F.col("pruned"), "pruned").otherwise("kept").alias("status"))
-
-
-def min_ranks(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """edges with min_rank: how many are strictly nearer, from the end where these are fewer."""
-    ranks = both_ways(pairs.select("i", "j", "d")).withColumn("nearer", F.rank().over(Window.partitionBy("i").orderBy("d")) - 1)
-    ends = [ranks.select(F.col("i").alias(a), F.col("j").alias(b), F.col("nearer").alias(n)) for a, b, n in (("source", "target", "of_source"), ("target", "source", "of_target"))]
-    return edges.join(ends[0], ["source", "target"]).join(ends[1], ["source", "target"]).withColumn("min_rank", F.least("of_source", "of_target")).drop("of_source", "of_target")
+    candidates = settled(candidates.select(*EDGES), "candidates")
+    kept = witnessed(nodes, candidates, metric).withColumn("kept", F.lit(True))
+    return candidates.join(kept, ["source", "target"], "left").select(*EDGES, F.when(F.col("kept"), "kept").otherwise("pruned").alias("status"))
+
+
+def min_ranks(edges: DataFrame, nodes: DataFrame, metric: str = "cityblock") -> DataFrame:
+    """edges with min_rank: how many nodes are strictly nearer, from the end where these are fewer."""
+    edges = settled(edges.select(*EDGES), "edges")
+    counts = nearer_counts(nodes, half_edges(edges), metric)
+    least = counts.groupBy(F.least("node", "neighbour").alias("source"), F.greatest("node", "neighbour").alias("target")).agg(F.min("nearer").alias("min_rank"))
+    return edges.join(least, ["source", "target"])
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:

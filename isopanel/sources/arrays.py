@@ -39,7 +39,7 @@ SPLIT_BYTES, FILE_BYTES, BATCH_BYTES = 64 << 20, 64 << 20, 4 << 20
 VECTORS, ENTRIES = "row bigint, v array<double>", "row bigint, col bigint, value double"
 
 
-def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """A file system and the path in it; file:/x counts as file:///x."""
     if path.startswith("file:") and not path.startswith("file://"):
         path = path.removeprefix("file:")
@@ -119,7 +119,7 @@ class NpyReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        system, path = _file_system(self.path)
+        system, path = file_system(self.path)
         parts: list[InputPartition] = []
         first = 0
         for name in _names(system, path, ".npy"):
@@ -133,7 +133,7 @@ class NpyReader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
         if partition.low == partition.high:
             return
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         with system.open_input_file(partition.path) as file:
             known = header(file)
             each = max(1, BATCH_BYTES // max(1, 8 * known.width))
@@ -164,7 +164,7 @@ class NpzReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        system, path = _file_system(self.path)
+        system, path = file_system(self.path)
         parts: list[InputPartition] = []
         for name in _names(system, path, ".npz"):
             with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
@@ -183,7 +183,7 @@ class NpzReader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
         if partition.low == partition.high:
             return
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
             indptr, indices, data = (Member(archive, name) for name in ("indptr", "indices", "data"))
             ends = indptr.take(partition.low, partition.high + 1).astype(np.int64)
@@ -219,7 +219,7 @@ class FilesWriter(DataSourceArrowWriter):
 
     def __init__(self, path: str, overwrite: bool, size: int):
         self.path, self.size = path, size
-        system, folder = _file_system(path)
+        system, folder = file_system(path)
         if system.get_file_info(f"{folder}/{FILES}").type != pyarrow.fs.FileType.NotFound and not overwrite:
             raise FileExistsError(path)
 
@@ -227,7 +227,7 @@ class FilesWriter(DataSourceArrowWriter):
         raise NotImplementedError
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         task, names = TaskContext.get().partitionId(), []  # type: ignore[union-attr]
         for content in self.files(iterator):
@@ -237,14 +237,14 @@ class FilesWriter(DataSourceArrowWriter):
         return Written(task, names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         done = sorted((m.task, m.names) for m in messages if isinstance(m, Written))
         with system.open_output_stream(f"{folder}/{FILES}") as file:
             file.write(json.dumps([name for _, names in done for name in names]).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         for name in (name for m in messages if isinstance(m, Written) for name in m.names):
             system.delete_file(f"{folder}/{name}")
 
