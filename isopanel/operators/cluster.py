@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +41,31 @@ def update(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
     return every.groupBy("repeat", "slot").agg(F.min(F.struct("s", "node")).alias("m")).select("repeat", "slot", F.col("m.node").alias("node"))
 
 
-def k_medoids(pairs: DataFrame, medoids: DataFrame, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Assignments and (repeat, iterations, objective): assign and update until no objective falls."""
+def k_medoids(pairs: DataFrame, medoids: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Assignments and (repeat, iterations, objective, converged): assign and update until no objective falls.
+
+    Objectives fall among finitely many choices, so this ends; with a number of rounds, a repeat that still moves after
+    them comes out as not converged.
+    """
     medoids = settled(medoids.select("repeat", "slot", "node"), "medoids")
     assigned = settled(assign(pairs, medoids), "assigned")
     values = {r["repeat"]: r["objective"] for r in objectives(assigned).collect()}  # a row for each repeat
     steps = dict.fromkeys(values, 1)
-    for _ in range(rounds):
+    moving: set[int] = set(values)
+    for _ in count() if rounds is None else range(rounds):
         after = settled(update(pairs, assigned), "medoids")
         found = settled(assign(pairs, after), "assigned")
         fallen = {r["repeat"]: r["objective"] for r in objectives(found).collect()}
         better = {k for k, v in fallen.items() if v < values[k] - 1e-9}
+        moving = better
         if not better:
             break
         for k in better:
             values[k], steps[k] = fallen[k], steps[k] + 1
         moved = F.col("repeat").isin(sorted(better))
         assigned = settled(found.where(moved).unionByName(assigned.where(~moved)), "assigned")
-    rows = [(k, steps[k], values[k]) for k in sorted(values)]
-    return assigned, pairs.sparkSession.createDataFrame(rows, "repeat int, iterations int, objective double")
+    rows = [(k, steps[k], values[k], k not in moving) for k in sorted(values)]
+    return assigned, pairs.sparkSession.createDataFrame(rows, "repeat int, iterations int, objective double, converged boolean")
 
 
 def profile_medoids(strings: DataFrame, assigned: DataFrame) -> DataFrame:

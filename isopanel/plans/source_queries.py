@@ -189,3 +189,41 @@ def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = scalars.seed_list(F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit(", "), (n + 7).cast("string")))
     name = F.get(F.array(*map(F.lit, ("a_mst", "b_RNG", "c_knn10", "d_tau0.5", "a_other"))), (n % 5).cast("int"))
     return T.table(spark, sf_dir, "lineitem").select("l_orderkey", n, scalars.edge_key(F.col("l_orderkey"), n, F.lit(1000)).cast("bigint").alias("edge"), F.size(seeds).cast("bigint").alias("n_seeds"), scalars.graph_family(name).alias("family"))
+
+
+_ORDER = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-00-00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-00') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'unknown' END"
+_LINEAGE = "list_extract(['B.1.1.7', 'Q.4', 'BA.2.86.1', 'BA.2.75', 'JN.1.4', 'XBB.1.5', 'B.1.1', 'KP.3'], CAST(o_orderkey % 8 + 1 AS INTEGER))"
+
+
+@query(f"""WITH o AS (SELECT *, {_ORDER} AS text, {_LINEAGE} AS lineage FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-06-15') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-15') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
+        CASE WHEN lineage LIKE 'B.1.1.7%' OR lineage LIKE 'Q.%' THEN 'Alpha' WHEN lineage LIKE 'BA.2.86%' THEN 'BA.2.86' WHEN lineage LIKE 'BA.2%' THEN 'BA.2' WHEN lineage LIKE 'JN.1%' OR lineage LIKE 'KP.%' THEN 'JN.1' WHEN lineage LIKE 'XBB%' THEN 'XBB' ELSE 'Other' END AS bucket,
+        CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'soon' ELSE o_orderpriority END AS label, CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE format('{{:,.2f}}', o_totalprice) END AS price,
+        xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(lineage || '|' || o_orderkey, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS seed FROM o""")
+def record_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in part, lineage buckets, new names of labels, numbers as text and seeds, of orders."""
+    date, key = F.col("o_orderdate"), F.col("o_orderkey")
+    text = F.when(key % 4 == 0, F.date_format(date, "yyyy-00-00")).when(key % 4 == 1, F.date_format(date, "yyyy-MM-00")).when(key % 4 == 2, F.date_format(date, "yyyy-MM-dd")).otherwise("unknown")
+    lineage = F.element_at(F.array(*map(F.lit, ("B.1.1.7", "Q.4", "BA.2.86.1", "BA.2.75", "JN.1.4", "XBB.1.5", "B.1.1", "KP.3"))), (key % 8 + 1).cast("int"))
+    columns = {
+        "day": scalars.repaired_date(text).cast("string"),
+        "bucket": scalars.prefix_bucket(lineage, scalars.LINEAGES),
+        "label": scalars.regrouped(F.col("o_orderpriority"), {"soon": ["1-URGENT", "2-HIGH"]}),
+        "price": scalars.ratio_text(F.when(key % 11 != 0, F.col("o_totalprice"))),
+        "seed": M.stable_seed(lineage, key.cast("string")),
+    }
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in columns.items()))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand || '-' || replace(p_name, ' ', repeat('-', CAST(p_size % 4 AS INTEGER))) || '.' || p_type || CASE WHEN p_size % 2 = 0 THEN '--' ELSE '**' END AS s FROM part),
+    g AS (SELECT p_partkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] = '-' AND (i = 1 OR s[i - 1] <> '-')) AS a, list_filter(range(1, length(s) + 1), lambda i: s[i] = '-' AND (i = length(s) OR s[i + 1] <> '-')) AS z FROM p)
+    SELECT p_partkey, rtrim(translate(translate(upper(s), '-.', ''), 'UZOB', 'XXXX'), '*') AS clean, length(replace(s, '-', '')) AS ungapped, length(s) - length(translate(s, 'XBZJ', '')) AS ambiguous,
+        array_to_string(list_transform(list_zip(a, z), lambda x: CASE WHEN x[1] = x[2] THEN CAST(x[1] AS VARCHAR) ELSE x[1] || '-' || x[2] END), ';') AS gaps FROM g""")
+def sequence_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean sequences, lengths and runs of gaps, of names of parts as aligned sequences."""
+    size = F.col("p_size")
+    gap = F.expr("repeat('-', p_size % 4)")
+    text = F.concat("p_brand", F.lit("-"), F.replace("p_name", F.lit(" "), gap), F.lit("."), "p_type", F.when(size % 2 == 0, "--").otherwise("**"))
+    parts = T.table(spark, sf_dir, "part").select("p_partkey", text.alias("s"))
+    s = F.col("s")
+    return parts.select("p_partkey", scalars.clean_sequence(s).alias("clean"), scalars.ungapped_length(s).cast("bigint").alias("ungapped"), scalars.ambiguous_count(s).cast("bigint").alias("ambiguous"), scalars.gap_ranges(s).alias("gaps"))

@@ -101,7 +101,8 @@ def test_k_medoids(spark, pairs):
     assert [r["slot"] for r in first.orderBy("node").collect()] == [0, 0, 0, 1, 1, 1] and K.objectives(first).first()["objective"] == 7.0
     assert sorted(r["node"] for r in K.update(pairs, first).collect()) == [1, 4]
     _, runs = K.k_medoids(pairs, start)
-    assert runs.first()["objective"] == 4.5
+    assert runs.first()["objective"] == 4.5 and runs.first()["converged"]
+    assert not K.k_medoids(pairs, start, rounds=1)[1].first()["converged"]
     strings = spark.createDataFrame([(0, "AAAA"), (1, "AAAB"), (2, "AABB")], "node long, s string")
     owned = spark.createDataFrame([(0, 0, i) for i in range(3)], "repeat int, slot int, node long")
     one = K.profile_medoids(strings, owned).first()
