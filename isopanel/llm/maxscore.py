@@ -6,8 +6,8 @@ full and give a threshold; terms whose widths together can't reach it are non-es
 part, and the other terms are probed, widest first, for rows that can still compete; the threshold rises with what k
 rows have already. Shards give their best k and these are merged.
 
-Queries and candidates travel as blocks: each block of queries goes to every shard, so neither side needs to fit
-anywhere whole. Ties go to the smaller id.
+Queries and candidates travel as blocks: each block of queries goes to every shard, which is built once and then asked
+by one block after the other, so neither side needs to fit anywhere whole. Ties go to the smaller id.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, and rows without an id take no part;
 vectors of different lengths are compared over the shorter (a missing term scores nothing); rows with the query's id
@@ -49,8 +49,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: float =
     block = "ids binary, width int, terms binary"
     held = map_batches(spread.repartition("shard").sortWithinPartitions("shard"), _blocks, f"shard int, {block}", scale, "shard", shard_rows)
     packed = map_batches(asked, _blocks, f"shard int, {block}", scale, None, QUERY_BLOCK)
-    packed = packed.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "width", "terms")), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = map_batches(packed.join(held, "shard"), _search, "query_id bigint, vec_id bigint, score bigint", k)
+    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+    # a shard comes first, then the blocks of queries one after the other
+    both = held.withColumn("asks", F.lit(False)).unionByName(packed).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = map_batches(both, _search, "query_id bigint, vec_id bigint, score bigint", k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -86,15 +88,25 @@ def _matrix(ids: bytes, width: int, terms: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[dict[str, Any]]:
+    """Rows come by shard, its own before those that ask; each is built once, for queries of one width."""
+    own: int | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    built: dict[tuple[int, int], Shard] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            q_ids, queries = _matrix(row["q_ids"], row["q_width"], row["q_terms"])
-            ids, rows = _matrix(row["ids"], row["width"], row["terms"])
-            shared = min(queries.shape[1], rows.shape[1])
-            shard = Shard(ids, rows[:, :shared])
-            for query_id, query in zip(q_ids.tolist(), queries[:, :shared], strict=True):
-                found, scores = shard.best(query, query_id, k)
-                yield {"query_id": np.full(len(found), query_id), "vec_id": found, "score": scores}
+            if row["shard"] != own:
+                own, held, built = row["shard"], [], {}
+            ids, terms = _matrix(row["ids"], row["width"], row["terms"])
+            if not row["asks"]:
+                held.append((ids, terms))
+                continue
+            for place, (names, rows) in enumerate(held):
+                shared = min(terms.shape[1], rows.shape[1])
+                if (place, shared) not in built:
+                    built[place, shared] = Shard(names, rows[:, :shared])
+                for query_id, query in zip(ids.tolist(), terms[:, :shared], strict=True):
+                    found, scores = built[place, shared].best(query, query_id, k)
+                    yield {"query_id": np.full(len(found), query_id), "vec_id": found, "score": scores}
 
 
 class Shard:

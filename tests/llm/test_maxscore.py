@@ -58,3 +58,28 @@ def test_shards_of_any_size_leave_terms_to_probe():
             assert list(zip((-scores).tolist(), found.tolist())) == want
             probed += shard.probed
         assert probed > 0 or n <= 11
+
+
+def test_a_shard_is_built_once_for_all_blocks_of_queries(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    blocks = [(shard, False, np.arange(200) + 1000 * shard, rng.integers(-99, 99, (200, 6))) for shard in (0, 1)]
+    asked = [(np.arange(5) + 10 * n, rng.integers(-99, 99, (5, 6))) for n in range(4)]
+    rows = sorted([*blocks, *((shard, True, *a) for shard in (0, 1) for a in asked)], key=lambda r: r[:2])
+    columns = {"shard": [r[0] for r in rows], "asks": [r[1] for r in rows], "ids": [r[2].astype("<i8").tobytes() for r in rows], "width": [6] * len(rows), "terms": [r[3].astype("<i8").tobytes() for r in rows]}
+    built = []
+
+    class Counted(maxscore.Shard):
+        def __init__(self, *args):
+            built.append(1)
+            super().__init__(*args)
+
+    monkeypatch.setattr(maxscore, "Shard", Counted)
+    table = pa.table(columns)
+    found = list(maxscore._search(iter(table.to_batches(max_chunksize=2)), 3))
+    assert len(built) == 2 and len(found) == 2 * 4 * 5
+    for out, (shard, ids, query) in zip(found, ((s, i, q) for s in (0, 1) for a in asked for i, q in zip(*a, strict=True)), strict=True):
+        scores = blocks[shard][3] @ query
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, blocks[shard][2]) if i != ids)[:3]
+        assert list(zip((-out["score"]).tolist(), out["vec_id"].tolist())) == best and set(out["query_id"].tolist()) == {int(ids)}
