@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import accession
 from ..operators import graphs as G
 from ..operators import positions as P
-from ..sources import arrays, delimited, fasta
+from ..sources import arrays, delimited, fasta, tree_files
 from ..storage import shared_dir
 from . import tables as T
 
@@ -77,3 +77,31 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in batches of 30,000 characters, longest first."""
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return P.token_batches(docs, "n_chars", "doc_id", 30_000).select("doc_id", "batch")
+
+
+@query("""WITH c AS (SELECT n_regionkey AS r, n_nationkey AS n, c_custkey AS c FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    e AS (SELECT CAST(NULL AS INTEGER) AS r, CAST(NULL AS INTEGER) AS n, CAST(NULL AS BIGINT) AS c, NULL AS branch, '' AS name UNION ALL SELECT DISTINCT r, NULL, NULL, 2.0, 'r' || r FROM c
+        UNION ALL SELECT DISTINCT r, n, NULL, 0.5, 'nation, ' || n FROM c UNION ALL SELECT r, n, c, c % 100 / 4, 'c' || c FROM c),
+    p AS (SELECT *, row_number() OVER (ORDER BY r NULLS FIRST, n NULLS FIRST, c NULLS FIRST) - 1 AS node FROM e)
+    SELECT p.node, CASE WHEN p.c IS NOT NULL THEN a.node WHEN p.n IS NOT NULL THEN b.node WHEN p.r IS NOT NULL THEN 0 ELSE -1 END AS parent, CAST(p.branch AS DOUBLE) AS branch, p.name
+    FROM p LEFT JOIN p a ON a.n = p.n AND a.c IS NULL LEFT JOIN p b ON b.r = p.r AND b.n IS NULL""")
+def large_newick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers below their nations and regions as one Newick tree in files of several blocks, read by many tasks."""
+    nations = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n")).join(nations, "n")
+    ends = rows.groupBy("r", "n").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    # a row for each nation
+    region, every = Window.partitionBy("r"), Window.partitionBy()
+    ends = ends.withColumns({"n0": F.min("n").over(region), "n1": F.max("n").over(region), "r0": F.min("r").over(every), "r1": F.max("r").over(every)})
+    both = rows.join(ends, ["r", "n"])
+    opens, closes = F.col("c") == F.col("first"), F.col("c") == F.col("last")
+    after = F.concat(F.lit(")'nation, "), F.col("n").cast("string"), F.lit("':0.5"))
+    token = F.concat(
+        F.when(opens & (F.col("n") == F.col("n0")) & (F.col("r") == F.col("r0")), "(").otherwise(""), F.when(opens & (F.col("n") == F.col("n0")), "(").otherwise(""), F.when(opens, "(").otherwise(""),
+        F.lit("c"), F.col("c").cast("string"), F.lit(":"), (F.col("c") % 100 / 4).cast("string"), F.lit("[&d="), (F.col("c") % 7).cast("string"), F.lit("]"),
+        F.when(closes, after).otherwise(""), F.when(closes & (F.col("n") == F.col("n1")), F.concat(F.lit(")r"), F.col("r").cast("string"), F.lit(":2"))).otherwise(""),
+        F.when(closes & (F.col("n") == F.col("n1")) & (F.col("r") == F.col("r1")), ");").otherwise(""),
+    )
+    path = shared_dir(spark, "newick")
+    both.select("r", "n", "c", token.alias("value")).repartitionByRange(4, "r", "n", "c").sortWithinPartitions("r", "n", "c").select("value").write.option("lineSep", ",").text(path)
+    return tree_files.read_large_newick(spark, path).fillna(-1, ["parent"])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,15 +74,24 @@ def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str]]:
     return [(int(a), None if b is None else int(b), c, str(d)) for a, b, c, d in rows]  # type: ignore[call-overload, misc]
 
 
-def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """(file, node, parent, branch, name) of trees, one in each file."""
+def _parsed(spark: SparkSession, path: str, parse: Callable[[str], list[Any]], columns: dict[str, str]) -> DataFrame:
+    """(file, columns) of trees, one in each file, parsed a file at a time."""
     files = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = list(zip(*parse(row["value"]), strict=True))
+                arrays = [pa.array([row["file"]] * len(found[0]), pa.string()), *(pa.array(c, kinds[k]) for c, k in zip(found, columns.values(), strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["file", *columns])
 
-    @F.udf("array<struct<node: bigint, parent: bigint, branch: double, name: string>>")
-    def parsed(text: str) -> list[tuple[int, int | None, float | None, str]]:
-        return parse_newick(text)
+    return files.mapInArrow(rows, ", ".join(["file string", *(f"{c} {k}" for c, k in columns.items())]))
 
-    return files.select("file", F.inline(parsed("value")))
+
+def read_newick(spark: SparkSession, path: str) -> DataFrame:
+    """(file, node, parent, branch, name) of trees, one in each file."""
+    return _parsed(spark, path, parse_newick, {"node": "bigint", "parent": "bigint", "branch": "double", "name": "string"})
 
 
 def _number(attributes: dict[str, Any], name: str) -> float | None:
@@ -108,10 +119,4 @@ def parse_tree_json(text: str) -> list[tuple[int, int | None, float, float, str]
 
 def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
     """(file, node, parent, branch, root_dist, name) of trees, one in each file."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
-
-    @F.udf("array<struct<node: bigint, parent: bigint, branch: double, root_dist: double, name: string>>")
-    def parsed(text: str) -> list[tuple[int, int | None, float, float, str]]:
-        return parse_tree_json(text)
-
-    return files.select("file", F.inline(parsed("value")))
+    return _parsed(spark, path, parse_tree_json, {"node": "bigint", "parent": "bigint", "branch": "double", "root_dist": "double", "name": "string"})
