@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settled
 from .analytics import broadcast_graph, membership
 from .graphs import components, half_edges, minimum_spanning_forest
+from .positions import numbered
 
 EVALUATIONS = "node bigint, neighbour bigint, candidate_rank int, rank_fraction double, score double, mean_before double, mean_after double, gain double, accepted boolean"
 
@@ -60,8 +61,9 @@ def agreed(evaluations: DataFrame) -> DataFrame:
     a = yes.select(F.col("node").alias("source"), F.col("neighbour").alias("target"), F.col("score").alias("sa"), F.col("rank_fraction").alias("ra"))
     b = yes.select(F.col("neighbour").alias("source"), F.col("node").alias("target"), F.col("score").alias("sb"), F.col("rank_fraction").alias("rb"))
     both = a.join(b, ["source", "target"]).where("source < target")
-    order = Window.orderBy(F.greatest("sa", "sb"), F.greatest("ra", "rb"), "source", "target")
-    return both.select("source", "target", F.row_number().over(order).alias("position"))
+    keyed = both.select("source", "target", F.greatest("sa", "sb").alias("score"), F.greatest("ra", "rb").alias("fraction"))
+    placed = numbered(keyed, [], ["score", "fraction", "source", "target"], "place")
+    return placed.select("source", "target", (F.col("place") + 1).alias("position"))
 
 
 def delete_safely(edges: DataFrame, queue: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import distance as D
 from ..operators import graphs as G
 from ..operators import homophily as H
+from ..operators.positions import numbered
 from ..storage import settled
 from . import tables as T
 
@@ -65,8 +66,7 @@ for _metric in METRIC_SQL:
 def pairwise_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct aligned strings; equal rows are one node."""
     strings = T.table(spark, sf_dir, "part").select(F.rpad(F.concat("p_brand", "p_type"), 24, "-").alias("s")).distinct()
-    # as many as there are different strings, not rows
-    nodes = strings.withColumn("id", F.row_number().over(Window.orderBy("s")).cast("bigint") - 1)
+    nodes = numbered(strings, [], ["s"], "id")
     return D.pairwise_hamming(nodes).select("i", "j", F.col("d").cast("double").alias("d"))
 
 
