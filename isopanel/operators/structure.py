@@ -31,22 +31,20 @@ def densest_by_batches(edges: DataFrame, slack: int = 10) -> Dense:
     Loops and repeated edges are left out; without edges there is no round and no node.
     """
     left = settled(edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct(), "batches")
-    first = left
     rows: list[tuple[int, int, int, float]] = []
     best: DataFrame | None = None
     while True:
         of = settled(half_edges(left.withColumn("weight", F.lit(1))).groupBy("node").agg(F.count("*").alias("degree")), "batch-degrees")
         now = of.agg(F.count("*").alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()
         n, m = now["n"], now["d"] // 2
+        if best is None or m * top[0] > top[1] * n:
+            best, top = of.select("node"), (n, m)
         if not n:
             break
-        if best is None or m * top[0] > top[1] * n:
-            best, top = left, (n, m)
         rows.append((len(rows), n, m, m / n))
         left = settled(induced(left, of.where(F.col("degree") * (100 * n) > (100 + slack) * 2 * m)), "batches")
     trace = edges.sparkSession.createDataFrame(rows, "round bigint, n_nodes bigint, n_edges bigint, edges_per_node double")
-    ends = (first if best is None else best).select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return Dense(trace, ends)
+    return Dense(trace, best)
 
 
 def stages(nodes: DataFrame, edges: DataFrame, slack: int = 10) -> DataFrame:
