@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparison as C
-from ..operators import distance as D
 from ..operators import sampling as P
 from ..operators import stats as S
 from . import tables as T
@@ -48,7 +47,7 @@ def drawn_quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four-point condition over quartets that are drawn, one for each vector."""
     nodes = T.vectors(spark, sf_dir)
     quartets = P.drawn_tuples(nodes, nodes.select(F.col("id").alias("qid")), ["a", "b", "c", "d"])
-    found = S.four_point(S.quartet_sums(quartets, D.pairwise(nodes)))
+    found = S.four_point(S.quartet_sums_of(quartets, nodes))
     return found.withColumns({c: F.round(c, 4) for c in ("delta_q", "half_gap")})
 
 
