@@ -48,3 +48,23 @@ def test_quartets_from_vectors(spark, folder, metric):
     quartets = spark.createDataFrame([(0, 1, 2, 3, 4), (1, 9, 8, 7, 3), (2, 1, 1, 2, 3), (3, 1, 2, 3, 99)], "qid long, a long, b long, c long, d long")
     got, want = (sorted(map(tuple, f.collect())) for f in (S.quartet_sums_of(quartets, nodes, metric), S.quartet_sums(quartets, D.pairwise(nodes, metric))))
     assert got == want and [r[0] for r in got] == [0, 1]
+
+
+def test_permuted_labels_are_not_broadcast(spark, folder):
+    plan = plan_of(registry.QUERIES["permuted_label_test"](spark, folder))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_shuffled_dates_are_not_broadcast(spark, folder):
+    dates = spark.createDataFrame([(i, 0) for i in range(9)], "node long, d int").select("node", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("day"))
+    plan = plan_of(M.shuffled(dates, 5))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_root_distances_are_not_broadcast(spark):
+    dates = spark.range(4).select(F.col("id").alias("node"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    distances = spark.range(2).select(F.col("id").alias("root"), F.explode(F.array(*map(F.lit, range(4)))).cast("long").alias("node")).withColumn("distance", F.abs(F.col("root") - F.col("node")).cast("double"))
+    found = M.best_root(distances, dates)
+    plan = plan_of(found)
+    assert "SortMergeJoin" not in plan and "BuildRight" in plan and "BuildLeft" not in plan
+    assert tuple(found.first()) == (0, pytest.approx(1.0))
