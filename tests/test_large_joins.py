@@ -1,12 +1,13 @@
 """Queries over all pairs that must not make, send or join a table of them; and steps whose size Spark takes for small."""
 
-import itertools
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isopanel.operators import cluster as K
+from isopanel.operators import comparison as C
 from isopanel.operators import distance as D
+from isopanel.operators import pairs as P
 from isopanel.operators import stats as S
 from isopanel.operators import temporal as M
 from isopanel.plans import registry
@@ -63,8 +64,67 @@ def test_shuffled_dates_are_not_broadcast(spark, folder):
 
 def test_root_distances_are_not_broadcast(spark):
     dates = spark.range(4).select(F.col("id").alias("node"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
-    distances = spark.range(2).select(F.col("id").alias("root"), F.explode(F.array(*map(F.lit, range(4)))).cast("long").alias("node")).withColumn("distance", F.abs(F.col("root") - F.col("node")).cast("double"))
+    distances = spark.range(2).select(F.col("id").alias("root"), F.explode(F.array(*(F.lit(n).cast("long") for n in range(4)))).alias("node")).withColumn("distance", F.abs(F.col("root") - F.col("node")).cast("double"))
     found = M.best_root(distances, dates)
     plan = plan_of(found)
     assert "SortMergeJoin" not in plan and "BuildRight" in plan and "BuildLeft" not in plan
     assert tuple(found.first()) == (0, pytest.approx(1.0))
+
+
+ASKED = "spearman_distance_days partial_spearman distance_distortion distance_change correlation_change gromov_relative time_control matrix_quality medoid_update medoid_assignment clock_score".split()
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_statistics_make_no_pairs(spark, folder, no_pairs, name):
+    assert registry.QUERIES[name](spark, folder).count() > 0
+
+
+@pytest.fixture(scope="module")
+def both(spark, folder):
+    """Dated vectors, asked in blocks of 16, and the same as a table of pairs (i, j, d, t, days)."""
+    days = spark.createDataFrame([(i, None if i % 10 == 4 else float(i * 7 % 11)) for i in range(60)], "id long, days double")
+    nodes = D.vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    table = D.pairwise(nodes).select("i", "j", F.round(F.col("d").cast("double"), 3).alias("d"))
+    table = table.join(D.pairwise(nodes, "euclidean").select("i", "j", F.round(F.col("d").cast("double"), 3).alias("t")), ["i", "j"])
+    a, b = (days.select(F.col("id").alias(c), F.col("days").alias(n)) for c, n in (("i", "a"), ("j", "b")))
+    table = table.join(a, "i").join(b, "j").select("i", "j", "d", "t", F.abs(F.col("a") - F.col("b")).alias("days")).cache()
+    return P.Pairs(nodes.join(days, "id"), {"d": "cityblock", "t": "euclidean"}, {"days": None}, block=16), table
+
+
+def close(got, want):
+    return got.columns == want.columns and tuple(got.first()) == pytest.approx(tuple(want.first()), abs=1e-9)
+
+
+def test_asked_as_in_a_table(both):
+    pairs, table = both
+    assert close(P.spearman(pairs, "d", "days"), S.spearman(table, "d", "days"))
+    assert close(P.partial_spearman(pairs, "d", "days", "t"), S.partial_spearman(table, "d", "days", "t"))
+    assert close(P.correlation_change(pairs, "d", "t", "days"), C.correlation_change(table, "d", "t", "days"))
+    assert close(P.distance_fit(pairs, "d", "t"), S.distance_fit(table))
+    assert close(P.quantiles(pairs, "d", {"q1": 0.25, "q3": 0.75}), S.range_quantiles(table, "d", {"q1": 0.25, "q3": 0.75}))
+
+
+def test_change_as_in_a_table(both):
+    pairs, table = both
+    for x, y in (("t", "d"), ("d", "t")):
+        got = P.distance_change(pairs, x, y)
+        assert close(got, C.distance_change(table.select("i", "j", F.col(x).alias("d")), table.select("i", "j", F.col(y).alias("d"))))
+
+
+def test_few_vectors(spark):
+    nodes = spark.createDataFrame([(1, [0.0, 1.0], 0.0), (2, [1.0, 1.0], 3.0)], "id long, v array<double>, days double")
+    for n in range(3):
+        pairs = P.Pairs(nodes.where(f"id <= {n}"), {"d": "cityblock", "t": "euclidean"}, {"days": None})
+        assert tuple(P.spearman(pairs, "d", "days").first()) == (n // 2, None)
+        assert P.distance_change(pairs, "t", "d").first()["median_ratio"] == (1.0 if n == 2 else None)
+        assert P.distance_fit(pairs, "d", "t").first()["n"] == n // 2
+        assert P.matrix_quality(nodes.where(f"id <= {n}").select("id", "v")).first()["n_pairs"] == n // 2
+
+
+def test_medoids_from_vectors(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    nodes, start = D.vectors(rows), rows.groupBy("label").agg(F.min("vec_id").alias("node")).select(F.lit(0).alias("repeat"), F.col("label").alias("slot"), "node")
+    pairs = D.pairwise(nodes)
+    first = K.assign(pairs, start)
+    assert sorted(map(tuple, K.assign_vectors(nodes, start).collect())) == sorted(map(tuple, first.collect()))
+    assert sorted(map(tuple, K.update_vectors(nodes, first).collect())) == sorted(map(tuple, K.update(pairs, first).collect()))
