@@ -46,14 +46,14 @@ MEDOIDS = T.HALF + ", m AS (SELECT CAST(label AS INTEGER) AS slot, min(id) AS no
 
 @query(f"WITH {MEDOIDS} SELECT node, slot FROM a")
 def medoid_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.assign(D.pairwise(T.vectors(spark, sf_dir)), _first_medoids(spark, sf_dir)).select("node", "slot")
+    return K.assign_vectors(T.vectors(spark, sf_dir), _first_medoids(spark, sf_dir)).select("node", "slot")
 
 
 @query(f"""WITH {MEDOIDS}, s AS (SELECT x.slot, x.node, sum(CAST(d AS DOUBLE)) AS s FROM half JOIN a x ON x.node = i JOIN a y ON y.node = j AND x.slot = y.slot GROUP BY ALL)
     SELECT slot, arg_min(node, {{'s': s, 'n': node}}) AS node FROM s GROUP BY slot""")
 def medoid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = D.pairwise(T.vectors(spark, sf_dir))
-    return K.update(pairs, K.assign(pairs, _first_medoids(spark, sf_dir))).select("slot", "node")
+    nodes = T.vectors(spark, sf_dir)
+    return K.update_vectors(nodes, K.assign_vectors(nodes, _first_medoids(spark, sf_dir))).select("slot", "node")
 
 
 @query()
