@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isopanel.operators import cluster as K
 from isopanel.operators import comparison as C
 from isopanel.operators import distance as D
+from isopanel.operators import graphs as G
 from isopanel.operators import pairs as P
 from isopanel.operators import stats as S
 from isopanel.operators import temporal as M
@@ -128,3 +129,35 @@ def test_medoids_from_vectors(spark, folder):
     first = K.assign(pairs, start)
     assert sorted(map(tuple, K.assign_vectors(nodes, start).collect())) == sorted(map(tuple, first.collect()))
     assert sorted(map(tuple, K.update_vectors(nodes, first).collect())) == sorted(map(tuple, K.update(pairs, first).collect()))
+
+
+#: Vectors on a grid of few values, so that many distances are equal.
+@pytest.fixture(scope="module")
+def grid(spark):
+    rng = np.random.default_rng(4)
+    return D.vectors(spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(70)], "vec_id long, embedding array<double>"))
+
+
+@pytest.mark.parametrize("metric", ["cityblock", "euclidean"])
+@pytest.mark.parametrize("k", [1, 4, 200])
+def test_lists_are_enough(grid, metric, k):
+    near = D.nearest(grid, k, metric, block=16).cache()
+    knn = G.knn_graph(grid, k, metric).cache()
+    both = lambda f: sorted(map(tuple, f.collect()))
+    assert both(G.prune_nearest(near, grid, metric)) == both(G.prune_by_witness(knn, grid, metric))
+    assert both(G.nearest_ranks(near)) == both(G.min_ranks(knn, grid, metric).select("source", "target", "weight", "min_rank"))
+
+
+@pytest.mark.parametrize("name", ["witness_pruned_knn", "rng_in_knn", "edge_min_ranks", "pruning_fractions"])
+def test_pruning_asks_no_others(spark, folder, monkeypatch, name):
+    def refuse(*args, **more):
+        raise AssertionError("all nodes are read for each edge")
+
+    for asked in ("lunes", "witnessed", "nearer_counts"):
+        monkeypatch.setattr(G, asked, refuse)
+    assert registry.QUERIES[name](spark, folder).count() > 0
+
+
+def test_vectors_are_not_shuffled_for_pairs(grid):
+    for found in (D.pairwise(grid, block=16), D.pairwise(grid, within=2.0, block=16)):
+        assert "FlatMapGroupsInArrow" not in plan_of(found)
