@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import controls as K
+from ..operators import distance as D
 from ..operators import graphs as G
 from ..storage import settled
 from . import tables as T
@@ -30,7 +31,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """The edges of the ten nearest, those that a third vector is nearer to both ends of (rejected), and of these the
     ones between different labels (removed)."""
     nodes, labels = T.vectors(spark, sf_dir), T.labels(spark, sf_dir)
-    edges = settled(G.prune_by_witness(G.knn_graph(nodes, 10), nodes), "edges-judged")
+    edges = settled(G.prune_nearest(D.nearest(nodes, 10), nodes), "edges-judged")
     rejected = edges.where("status = 'pruned'").select("source", "target")
     ends = [labels.select(F.col("node").alias(e), F.col("label").alias(c)) for e, c in (("source", "a"), ("target", "b"))]
     removed = settled(rejected.join(ends[0], "source").join(ends[1], "target").where("a <> b").select("source", "target"), "edges-removed")
