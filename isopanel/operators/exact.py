@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -314,30 +315,39 @@ POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in
 
 def hashed_weight(key: Column, replicate: Column) -> Column:
     """A Poisson number with mean 1 from the md5 of key and replicate."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p < u))
+    h = F.substring(F.md5(F.concat_ws("-", key.cast("string"), replicate.cast("string"))), 1, 8)
+    # h / 2^32 passes p from this number on, which stands in the order of its digits
+    firsts = [first for p in POISSON if (first := math.floor(p * 2**32) + 1) < 2**32]
+    return reduce(lambda a, b: a + b, [(h >= f"{first:08x}").cast("int") for first in firsts])
+
+
+#: Weights of a range of values: those of the ranges that hold a replicate's median are made twice.
+RANGE_WEIGHTS, MOST_RANGES = 500_000, 2048
 
 
 def bootstrap_medians(rows: DataFrame, value: str, key: str, replicates: int, *by: str, level: float = 0.95) -> DataFrame:
     """(by, n, median, low, high): percentile interval of the median over Poisson resamples.
 
-    Weights are summed by value and replicate at once, values are split into ranges, and each replicate's median is
-    where its running weight passes half of the whole: only sums of ranges meet, no replicate's rows do.
+    Values are split into ranges, and the weights of a range are summed where it lies; only sums of ranges meet. A
+    replicate's median is where its running weight passes half of the whole, so only the ranges where that happens are
+    looked at by value. No replicate's rows are shuffled.
     """
     group = list(by)
-    k = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("_k")
-    fine = rows.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("_key"), F.col(value).cast("double").alias("v"), k)
+    name = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    fine = rows.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("_key"), F.col(value).cast("double").alias("v"))
+    ranges = max(8, min(MOST_RANGES, fine.count() * (replicates + 1) // RANGE_WEIGHTS))
+    # equal values may lie in several ranges, in any order
+    parted = settled(fine.repartitionByRange(ranges, *by, "v", "_key").withColumn("_p", F.spark_partition_id()), "resamples").withColumn("_group", name)
     # replicate 0 is the sample itself
     weight = F.when(F.col("_k") == 0, 1).otherwise(hashed_weight(F.col("_key"), F.col("_k")))
-    counted = fine.groupBy(*by, "_k", "v").agg(F.sum(weight).alias("n")).where("n > 0")
-    parted = settled(counted.repartitionByRange(*by, "v").withColumn("_p", F.spark_partition_id()), "resamples")
-    name = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
-    parted = parted.withColumn("_group", name)
+    each = parted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    sums = each.groupBy("_group", "_k", "_p").agg(F.sum(weight).alias("_s")).where("_s > 0")
     every = Window.partitionBy("_group", "_k")  # a row for each range
-    sums = parted.groupBy("_group", "_k", "_p").agg(F.sum("n").alias("_s"))
-    sums = sums.withColumns({"_all": F.sum("_s").over(every), "_before": F.coalesce(F.sum("_s").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("_s")
+    sums = sums.withColumns({"_all": F.sum("_s").over(every), "_before": F.coalesce(F.sum("_s").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    middle = settled(sums.where("_before * 2 <= _all AND (_before + _s) * 2 >= _all").drop("_s"), "middles")
+    counted = parted.join(F.broadcast(middle), ["_group", "_p"]).groupBy(*by, "_group", "_k", "_p", "_before", "_all", "v").agg(F.sum(weight).alias("n")).where("n > 0")
     run = F.col("_before") + F.sum("n").over(Window.partitionBy("_group", "_k", "_p").orderBy("v"))
-    reached = parted.join(sums, ["_group", "_k", "_p"]).withColumn("_run", run)
+    reached = counted.withColumn("_run", run)
     low, high = (F.min(F.when(c, F.col("v"))) for c in (F.col("_run") * 2 >= F.col("_all"), F.col("_run") * 2 > F.col("_all")))
     medians = reached.groupBy(*group, "_group", "_k").agg(((low + high) / 2).alias("m"), F.first("_all").alias("_all"))
     draws = F.when(F.col("_k") > 0, F.col("m"))  # as many as there are replicates
