@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settled
-from .analytics import core, degrees, density, without_leaves
+from .analytics import core, degrees, density, density_of, without_leaves
 from .graphs import half_edges, induced
+from .within import Within
 
 
 class Dense(NamedTuple):
@@ -47,6 +48,32 @@ def densest_by_batches(edges: DataFrame, slack: int = 10) -> Dense:
     return Dense(trace, best)
 
 
+def batches_within(graph: Within, of: DataFrame, slack: int = 10) -> tuple[list[tuple[int, int, int, float]], DataFrame]:
+    """densest_by_batches() of a graph without a table of edges, from its degrees (node, degree): the trace's rows, and
+    (node, degree) of the dense part. A round counts anew among the nodes that stay."""
+    rows: list[tuple[int, int, int, float]] = []
+    best, left = of.where("degree > 0"), of.where("degree > 0")
+    top = (0, 0)
+    while True:
+        now = left.agg(F.count("*").alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()
+        n, m = now["n"], now["d"] // 2
+        if not rows or m * top[0] > top[1] * n:
+            best, top = left, (n, m)
+        if not n:
+            return rows, best
+        rows.append((len(rows), n, m, m / n))
+        graph = graph.among(left.where(F.col("degree") * (100 * n) > (100 + slack) * 2 * m))
+        left = settled(graph.degrees().where("degree > 0"), "batch-degrees")
+
+
+def stages_within(graph: Within, slack: int = 10) -> DataFrame:
+    """stages() of a graph without a table of edges."""
+    of = settled(graph.degrees(), "stage-degrees")
+    bare = graph.without(of, settled(of.where("degree = 1").select("node"), "leaves"))
+    parts = {"original_graph": of, "one_round_degree_1_removed": bare, "recursive_2_core": graph.peeled(of), "densest_by_batches": batches_within(graph, of, slack)[1]}
+    return reduce(DataFrame.unionByName, [density_of(part).select(F.lit(name).alias("stage"), "*") for name, part in parts.items()])
+
+
 def stages(nodes: DataFrame, edges: DataFrame, slack: int = 10) -> DataFrame:
     """(stage, n, m, edges_per_node, mean_degree, ...) of the whole graph, without its leaves, its 2-core and its dense part.
 
@@ -75,17 +102,18 @@ def multiplicity_by_degree(degree: DataFrame, records: DataFrame) -> DataFrame:
     return named.groupBy("node_group").agg(n.alias("n_nodes"), of.alias("n_records"), (of / n).alias("mean"), F.percentile("times", F.lit(0.5), F.col("k")).alias("median"), repeated.alias("n_repeated"), (repeated / n).alias("share_repeated"), F.max("times").alias("most"))
 
 
-def hub_records(nodes: DataFrame, edges: DataFrame, records: DataFrame, top: int = 4) -> DataFrame:
+def hub_records(nodes: DataFrame, edges: DataFrame | Within, records: DataFrame, top: int = 4) -> DataFrame:
     """The top nodes by degree (ties: the smaller node), what pruning leaves of them, and their records (node, record,
     lineage, day): node, degree, n_records, leaf_neighbours, degree_without_leaves, in_core, degree_in_core, representative
     (the smallest record), lineages (different ones in order, joined by |), earliest, latest.
 
     A hub without records has 0 of them, no representative, empty lineages and no days.
     """
-    of = settled(degrees(nodes, edges), "hub-degrees")
-    inner = core(nodes, edges).select("node", F.lit(True).alias("in_core"))
+    whole = isinstance(edges, Within)
+    of = settled(edges.degrees() if whole else degrees(nodes, edges), "hub-degrees")
+    inner = (edges.peeled(of) if whole else core(nodes, edges)).select("node", F.lit(True).alias("in_core"))
     best = of.orderBy(F.desc("degree"), "node").limit(top)
-    around = half_edges(edges).join(F.broadcast(best.select("node")), "node", "left_semi")
+    around = settled(edges.edges_at(best), "hub-edges") if whole else half_edges(edges).join(F.broadcast(best.select("node")), "node", "left_semi")
     near = around.join(of.select(F.col("node").alias("neighbour"), F.col("degree").alias("_d")), "neighbour").join(inner.select(F.col("node").alias("neighbour"), F.col("in_core").alias("_c")), "neighbour", "left")
     counts = near.groupBy("node").agg(F.count_if(F.col("_d") == 1).alias("leaf_neighbours"), F.count_if(F.col("_d") != 1).alias("degree_without_leaves"), F.count_if(F.col("_c")).alias("_kept"))
     theirs = records.join(F.broadcast(best.select("node")), "node", "left_semi").groupBy("node")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics as A
 from ..operators import graphs as G
 from ..operators import structure as R
+from ..operators.within import Within
 from ..storage import settled
 from . import tables as T
 from .graph_queries import DEGREES
@@ -68,7 +68,7 @@ CORE = """, gone(node) USING KEY (node) AS (SELECT node FROM deg WHERE degree <
     SELECT stage, count(*) AS n, CAST(sum(d) // 2 AS BIGINT) AS m, round(sum(d) / 2 / count(*), 8) AS edges_per_node, round(sum(d) / count(*), 8) AS mean_degree, CAST(quantile_cont(d, 0.5) AS DOUBLE) AS median_degree, min(d) AS min_degree, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 8) AS density FROM h GROUP BY stage""")
 def structure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold graph, without its leaves, its 2-core and its dense part, side by side."""
-    found = R.stages(*_graph(spark, sf_dir))
+    found = R.stages_within(Within(T.vectors(spark, sf_dir), TAU))
     return found.withColumns({c: F.round(c, 8) for c in ("edges_per_node", "mean_degree", "density")})
 
 
@@ -77,7 +77,7 @@ def structure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node_group, count(*) AS n_nodes, CAST(sum(times) AS BIGINT) AS n_records, round(avg(times), 8) AS mean, CAST(quantile_cont(times, 0.5) AS DOUBLE) AS median, CAST(count_if(times > 1) AS BIGINT) AS n_repeated, round(count_if(times > 1) / count(*), 8) AS share_repeated, max(times) AS most FROM g GROUP BY node_group""")
 def multiplicity_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records stand behind nodes of each degree and of groups of degrees."""
-    found = R.multiplicity_by_degree(A.degrees(*_graph(spark, sf_dir)), _records(spark, sf_dir))
+    found = R.multiplicity_by_degree(Within(T.vectors(spark, sf_dir), TAU).degrees(), _records(spark, sf_dir))
     return found.withColumns({c: F.round(c, 8) for c in ("mean", "share_repeated")})
 
 
@@ -87,7 +87,8 @@ def multiplicity_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node, degree, coalesce(n, 0) AS n_records, CAST(coalesce(leaves, 0) AS BIGINT) AS leaf_neighbours, CAST(coalesce(others, 0) AS BIGINT) AS degree_without_leaves, node IN (SELECT node FROM core) AS in_core, CAST(CASE WHEN node IN (SELECT node FROM core) THEN kept ELSE 0 END AS BIGINT) AS degree_in_core, first AS representative, coalesce(lineages, '') AS lineages, earliest, latest FROM r LEFT JOIN l USING (node) LEFT JOIN e USING (node)""")
 def hub_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four nodes of most neighbours and the records behind them (a top-k report)."""
-    return R.hub_records(*_graph(spark, sf_dir), _records(spark, sf_dir))
+    graph = Within(T.vectors(spark, sf_dir), TAU)
+    return R.hub_records(graph.names, graph, _records(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS priority, year(o_orderdate) AS year FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000), g AS (SELECT * FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'P') CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS year FROM orders)),
