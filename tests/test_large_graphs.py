@@ -49,3 +49,15 @@ def test_bootstrap_medians_over_many_ranges(spark, monkeypatch):
     low, high = np.quantile([median(k) for k in range(1, 7)], [0.025, 0.975])
     assert (found["n"], found["median"]) == (len(values), median(0))
     assert np.allclose([found["low"], found["high"]], [low, high])
+
+
+def test_densest_nodes_are_all_of_them_by_few_cuts(monkeypatch):
+    from isopanel.operators import flows
+
+    cuts = []
+    whole = flows.Network.source_side
+    monkeypatch.setattr(flows.Network, "source_side", lambda self, *ends: cuts.append(ends) or whole(self, *ends))
+    # two equal cliques and a tail: both are in the answer
+    clique = [(i, j) for i in range(4) for j in range(i)]
+    a, b = np.array(clique + [(i + 4, j + 4) for i, j in clique] + [(0, 8), (8, 9)]).T
+    assert flows.densest_nodes(a, b, 10) == set(range(8)) and len(cuts) <= 4
