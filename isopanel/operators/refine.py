@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settled
-from .analytics import broadcast_graph, membership
+from .analytics import Csr, broadcast_graph, membership
 from .graphs import components, half_edges, minimum_spanning_forest
 from .positions import numbered
 
@@ -89,29 +92,94 @@ def directional_refinement(vectors: DataFrame, edges: DataFrame, share: float =
     return delete_safely(edges, agreed(directional_evaluations(vectors, edges, share, least_gain)))
 
 
-#: Nodes of a dense eigenproblem at the driver.
-LAYOUT_NODES = 5000
+#: Nodes of a dense eigenproblem at the driver; numbers that the vectors of Lanczos' method take above it, and these vectors at least
+#: and at most; the residual, as a share of the largest eigenvalue's bound, at which one is found.
+LAYOUT_NODES, BASIS, FEW, MANY, RESIDUAL = 2000, 25_000_000, 40, 300, 1e-14
 
 
 def spectral_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, x, y, rank) of the largest component: the second and third eigenvectors of its Laplacian, signs so that
-    the largest entry is positive; rank is the order of x."""
+    the largest entry is positive; rank is the order of x.
+
+    The component's edges come to the driver behind a check of their number. Above LAYOUT_NODES nodes no matrix is made: the
+    Laplacian meets one vector after the other.
+    """
     found = settled(membership(nodes, edges), "membership")
     top = found.groupBy("component").count().agg(F.min_by("component", F.struct(-F.col("count"), "component")).alias("component"))
     giant = found.join(F.broadcast(top), "component", "left_semi").select("node")
-    if giant.count() > LAYOUT_NODES:
-        raise ValueError(f"a layout is for {LAYOUT_NODES} nodes at most")
-    graph = broadcast_graph(edges.join(giant.select(F.col("node").alias("source")), "source", "left_semi"))
+    alone = giant.limit(1).toPandas()["node"].to_numpy(np.int64)
+    graph = broadcast_graph(edges.join(giant.select(F.col("node").alias("source")), "source", "left_semi"), alone)
     n = len(graph.ids)
-    laplacian = np.zeros((n, n))
-    at = np.repeat(np.arange(n), np.diff(graph.starts))
-    laplacian[at, graph.to] = -graph.weight
-    np.fill_diagonal(laplacian, -laplacian.sum(1))
-    vectors = np.linalg.eigh(laplacian)[1][:, 1:3]
+    vectors = dense_vectors(graph) if n <= LAYOUT_NODES else sparse_vectors(graph)
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
     x = vectors[:, 0] if vectors.shape[1] else np.zeros(n)
     y = vectors[:, 1] if vectors.shape[1] > 1 else np.zeros(n)
-    rank = np.empty(n, int)
+    rank = np.empty(n, np.int64)
     rank[np.lexsort((graph.ids, x))] = np.arange(n)
-    rows = [(int(i), float(a), float(b), int(r)) for i, a, b, r in zip(graph.ids, x, y, rank, strict=True)]
+    rows = pa.table({"node": graph.ids, "x": x, "y": y, "rank": rank})
     return edges.sparkSession.createDataFrame(rows, "node bigint, x double, y double, rank bigint")
+
+
+def dense_vectors(graph: Csr) -> np.ndarray:
+    """The second and third eigenvectors of the Laplacian, a column each."""
+    n = len(graph.ids)
+    laplacian = np.zeros((n, n))
+    at = np.repeat(np.arange(n), np.diff(graph.starts))
+    laplacian[at, graph.to] = -graph.weight
+    np.fill_diagonal(laplacian, -laplacian.sum(1))
+    return np.linalg.eigh(laplacian)[1][:, 1:3]
+
+
+def sparse_vectors(graph: Csr, many: int | None = None) -> np.ndarray:
+    """dense_vectors() of a connected graph by Lanczos' method with thick restarts; one after the other, so that equal
+    eigenvalues have a vector each."""
+    n = len(graph.ids)
+    some = np.flatnonzero(np.diff(graph.starts))
+    degree = np.zeros(n)
+    degree[some] = np.add.reduceat(graph.weight, graph.starts[some])
+    if not np.isfinite(degree).all():
+        raise ValueError("a layout's weights are finite")
+    many = many or int(np.clip(BASIS // n, FEW, MANY))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = degree * x
+        out[some] -= np.add.reduceat(graph.weight * x[graph.to], graph.starts[some])
+        return out
+
+    found = [np.full(n, n**-0.5)]
+    for _ in range(min(2, n - 1)):
+        found.append(_least_vector(times, np.array(found), min(many, n - len(found)), RESIDUAL * 2 * degree.max()))
+    return np.stack(found[1:], axis=1)
+
+
+def _least_vector(times: Callable[[np.ndarray], np.ndarray], known: np.ndarray, many: int, residual: float) -> np.ndarray:
+    """The eigenvector of the least eigenvalue among what is at right angles to known ones (rows)."""
+
+    def free(x: np.ndarray, m: int) -> np.ndarray:
+        """x less what is known or among the first m of the basis; twice, as once leaves rounding behind."""
+        for _ in range(2):
+            x = x - known.T @ (known @ x)
+            x -= basis[:m].T @ (basis[:m] @ x)
+        return x
+
+    basis, small, m = np.zeros((many + 1, known.shape[1])), np.zeros((many, many)), 0
+    start = free(np.random.default_rng(len(known)).standard_normal(known.shape[1]), 0)
+    basis[0] = start / np.linalg.norm(start)
+    while True:
+        while m < many:
+            x = times(basis[m])
+            small[m, : m + 1] = small[: m + 1, m] = basis[: m + 1] @ x
+            x = free(x, m + 1)
+            length, m = np.linalg.norm(x), m + 1
+            if length <= residual:  # the basis holds all that the start reaches
+                break
+            basis[m] = x / length
+        values, turned = np.linalg.eigh(small[:m, :m])
+        if length <= residual or m == known.shape[1] - len(known) or length * abs(turned[-1, 0]) <= residual:
+            x = free(turned[:, 0] @ basis[:m], 0)
+            return x / np.linalg.norm(x)
+        kept = max(1, m // 3)
+        basis[:kept], basis[kept] = turned[:, :kept].T @ basis[:m], basis[m].copy()
+        small[:] = 0
+        small[np.arange(kept), np.arange(kept)] = values[:kept]
+        m = kept

@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from isopanel.operators import analytics as A
@@ -118,6 +119,25 @@ def test_layout_of_a_path(spark):
     assert [r["rank"] for r in rows] in ([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0])
 
 
+def test_layout_of_many_nodes(spark):
+    """More nodes than a dense eigenproblem has; with vectors one by one as with a matrix."""
+    rng = np.random.default_rng(3)
+    n = 5_200
+    source, target = np.concatenate([np.arange(n), rng.integers(0, n, n)]), np.concatenate([(np.arange(n) + 1) % n, rng.integers(0, n, n)])
+    ends = {(min(a, b), max(a, b)) for a, b in zip(source.tolist(), target.tolist(), strict=True) if a != b}
+    edges = spark.createDataFrame([(a, b, 1.0 + (a + b) % 7) for a, b in sorted(ends)], "source long, target long, weight double")
+    rows = refine.spectral_layout(spark.range(n).withColumnRenamed("id", "node"), edges).orderBy("node").toPandas()
+    x = rows["x"].to_numpy()
+    applied = np.zeros(n)
+    for a, b in ends:
+        applied[[a, b]] += (1.0 + (a + b) % 7) * np.array([x[a] - x[b], x[b] - x[a]])
+    assert np.abs(applied - (x @ applied) * x).max() < 1e-9 and abs(x.sum()) < 1e-9 and abs(x @ x - 1) < 1e-9
+    assert rows["rank"].to_numpy()[x.argmin()] == 0 and rows["rank"].to_numpy()[x.argmax()] == n - 1
+    half = pd.DataFrame([(a, b, 1.0) for i in range(299) for a, b in ((i, i + 1), (i + 1, i))], columns=["node", "neighbour", "weight"])
+    graph = A.Csr(half)
+    assert np.allclose(np.abs(refine.sparse_vectors(graph, many=20)), np.abs(refine.dense_vectors(graph)), atol=1e-9)
+
+
 def test_small_tests(spark):
     assert S.fisher_tail(1, 9, 11, 3) == pytest.approx(1.379728e-3, rel=1e-4)
     df = spark.createDataFrame([(1, True, 1.0), (2, True, 1.1), (3, False, 1.05), (4, False, 9.0), (5, True, 50.0)], "k long, g boolean, v double").withColumn("s", F.lit("x"))
