@@ -150,6 +150,30 @@ def test_trees(spark):
     assert {r["stratum"]: r["n"] for r in sizes.collect()} == {"a": 6, "b": 2, "c": 2, "d": 0}
 
 
+def test_tree_fits_are_those_of_trees(spark):
+    """Vectors to one row a group, without pairs or paths: the same as the tree as a table."""
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 3 % 2], i, rng.integers(0, 9, 6).astype(float).tolist()) for i in range(40)] + [("alone", 99, [0.0] * 6), (None, 100, [1.0] * 6)]
+    members = spark.createDataFrame(rows, "group string, id long, v array<double>")
+    got = {r["group"]: (r["n"], r["rsd"]) for r in R.tree_fits(members).collect()}
+    want = {}
+    for group in "ab":
+        own = [(i, np.array(v)) for g, i, v in rows if g == group]
+        pairs = [(group, i, j, float(np.abs(x - y).sum())) for (i, x), (j, y) in itertools.combinations(own, 2)]
+        tree = R.neighbour_trees(spark.createDataFrame(pairs, "group string, i long, j long, d double")).collect()
+        up, name = {r["node"]: (r["parent"], r["branch"]) for r in tree}, {r["tip"]: r["node"] for r in tree}
+
+        def path(node):
+            out = {node: 0.0}
+            while up[node][0] is not None:
+                out[up[node][0]], node = out[node] + up[node][1], up[node][0]
+            return out
+
+        squares = [(d, min(path(name[i])[k] + path(name[j])[k] for k in path(name[i]).keys() & path(name[j]).keys())) for _, i, j, d in pairs]
+        want[group] = (len(pairs), pytest.approx((sum((d - t) ** 2 for d, t in squares) / sum(d * d for d, _ in squares)) ** 0.5, abs=1e-9))
+    assert got == want
+
+
 @pytest.mark.parametrize(("target", "want"), [(155, {"a": 3, "b": 50, "c": 102}), (153, {"a": 3, "b": 50, "c": 100}), (300, {"a": 3, "b": 50, "c": 247}), (60, {"a": 3, "b": 20, "c": 37}), (13, {"a": 3, "b": 5, "c": 5}), (12, None), (1054, None)])
 def test_allocation_within_bounds(spark, target, want):
     strata = spark.createDataFrame([("a", 3), ("b", 50), ("c", 1000)], "stratum string, size long")
