@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import cluster as K
-from ..operators import distance as D
 from ..operators import flows
 from ..operators import graphs as G
 from ..operators import refine
@@ -60,8 +59,7 @@ def medoid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three repeats from designed starts: steps, objective and agreement with the labels."""
     labels = T.labels(spark, sf_dir)
-    pairs = settled(D.pairwise(T.vectors(spark, sf_dir)), "pairs")
-    assigned, runs = K.k_medoids(pairs, K.design(labels, 3))
+    assigned, runs = K.k_medoids_vectors(T.vectors(spark, sf_dir), K.design(labels, 3))
     agreed = [S.adjusted_rand(assigned.where(F.col("repeat") == r).join(labels, "node"), "slot", "label").select(F.lit(r).alias("repeat"), F.round("ari", 6).alias("ari")) for r in range(3)]
     return runs.join(agreed[0].unionAll(agreed[1]).unionAll(agreed[2]), "repeat").withColumn("objective", F.round("objective", 3))
 

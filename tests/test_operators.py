@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isopanel.functions import scalars as C
 from isopanel.operators import analytics as A
 from isopanel.operators import cluster as K
+from isopanel.operators import distance as D
 from isopanel.operators import stats as S
 from isopanel.operators import temporal as M
 from isopanel.operators import trees as R
@@ -109,6 +110,17 @@ def test_k_medoids(spark, pairs):
     assert (one["node"], one["s"]) == (1, 2)
 
 
+def test_k_medoids_from_vectors(spark):
+    """Several repeats at once, without a table of pairs: the same steps as with one."""
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(3 * i, rng.integers(0, 30, 3).astype(float).tolist()) for i in range(60)], "id long, v array<double>").localCheckpoint()
+    start = spark.createDataFrame([(0, 0, 0), (0, 1, 90), (1, 0, 6), (1, 1, 9), (1, 2, 12), (4, 0, 33)], "repeat int, slot int, node long")
+    pairs = D.pairwise(nodes).localCheckpoint()
+    (a, x), (b, y) = K.k_medoids(pairs, start), K.k_medoids_vectors(nodes, start)
+    assert sorted(map(tuple, a.select("repeat", "node", "slot", "d").collect())) == sorted(map(tuple, b.select("repeat", "node", "slot", "d").collect()))
+    assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.agg(F.max("iterations")).first()[0] > 1
+
+
 def test_partitions(spark):
     rows = spark.createDataFrame([(a, b) for a, b in zip([0, 1, 2] * 4, [2, 0, 1] * 4)], "truth int, found int")
     assert S.adjusted_rand(rows, "truth", "found").first()["ari"] == 1.0
