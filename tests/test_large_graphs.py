@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from isopanel.operators import analytics as A
+from isopanel.operators import comparison as C
 from isopanel.operators import distance as D
 from isopanel.operators import exact as X
 from isopanel.operators import graphs as G
 from isopanel.operators import structure as R
+from isopanel.operators import temporal as M
 from isopanel.operators.within import Within
 
 
@@ -61,3 +63,22 @@ def test_densest_nodes_are_all_of_them_by_few_cuts(monkeypatch):
     clique = [(i, j) for i in range(4) for j in range(i)]
     a, b = np.array(clique + [(i + 4, j + 4) for i, j in clique] + [(0, 8), (8, 9)]).T
     assert flows.densest_nodes(a, b, 10) == set(range(8)) and len(cuts) <= 4
+
+
+def test_geodesics_are_summed_where_they_are(spark):
+    """Moments, reach and fits by root against the table of all geodesics, with nodes alone and without a date."""
+    rng = np.random.default_rng(2)
+    ends = {tuple(sorted(map(int, rng.choice(30, 2, replace=False) + (0 if n % 2 else 100)))) for n in range(60)}
+    edges = spark.createDataFrame([(a, b, float(1 + (3 * a + b) % 5)) for a, b in ends], "source long, target long, weight float").localCheckpoint()
+    nodes = spark.createDataFrame([(n,) for n in [*range(30), *range(100, 130), 500]], "node long")
+    members = A.membership(nodes, edges).localCheckpoint()
+    table = A.geodesics(edges, nodes.select(F.col("node").alias("root"))).localCheckpoint()
+    want = table.groupBy("root").agg(F.count("*"), F.max("distance"), F.round(F.avg("distance"), 9))
+    got = A.eccentricities(edges, nodes).withColumn("mean", F.round("mean", 9))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() == 61
+    assert C.reach_check_of(A.reach_counts(edges, members), members).first() == C.reach_check(table, members).first()
+    wrong = members.withColumn("component", F.when(F.col("node") == 5, -1).otherwise(F.col("component")))
+    assert C.reach_check_of(A.reach_counts(edges, wrong), wrong).first() == C.reach_check(table, wrong).first()
+    dates = nodes.where("node % 7 <> 0").select("node", F.date_from_unix_date((F.col("node") * 13 % 41).cast("int")).alias("day"))
+    best, first = M.best_fit(A.date_fits(edges, nodes, dates)).first(), M.best_root(table, dates).first()
+    assert best["root"] == first["root"] and abs(best["r"] - first["r"]) < 1e-9
