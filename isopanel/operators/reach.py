@@ -73,15 +73,11 @@ class Reach:
             out.append((low * (1 - 2.0**-20), high * (1 + 2.0**-20)))
         return out
 
-    def spread(self, dates: DataFrame, quantiles: list[float]) -> DataFrame:
-        """(step, center, mean_gap): of the dates (node, day) in the ball around each root, by quantile; none without dates."""
-        schema = "step int, center bigint, mean_gap double"
+    def located(self, quantiles: list[float]) -> tuple[dict, dict, dict] | None:
+        """By quantile of the positive distances: an interval that holds it, the first and last bin it lies in, and its places
+        from there with the share of the step between them; None without such distances."""
         if not self.pairs:
-            return self.spark.createDataFrame([], schema)
-        days = dates.where("day IS NOT NULL").select("node", F.unix_date("day").alias("x")).toPandas().sort_values("x")
-        days = days[days["node"].isin(self.graph.ids)]
-        at, x = np.searchsorted(self.graph.ids, days["node"].to_numpy()), days["x"].to_numpy(np.int64)
-        dated = self.spark.sparkContext.broadcast((at, x))
+            return None
         everyone, asked = np.arange(len(self.graph.ids)), dict(enumerate(quantiles))
         spans, bins, ranks = dict(enumerate(self.intervals(quantiles))), {}, {}
         while asked:
@@ -90,7 +86,7 @@ class Reach:
             counts = {(r["kind"], r["step"], r["value"]): r["n"] for r in found.groupBy("kind", "step", "value").agg(F.sum("n").alias("n")).collect()}
             total = self.pairs - counts.get(("zero", -1, 0.0), 0)
             if total <= 0:
-                return self.spark.createDataFrame([], schema)
+                return None
             for k, q in list(asked.items()):
                 run = np.cumsum([counts.get(("bin", k, float(b)), 0) for b in range(-1, BINS)])
                 wanted = (total - 1) * q
@@ -105,13 +101,34 @@ class Reach:
                 else:
                     bins[k], ranks[k] = (first, last), (ends[0] - int(run[first]), ends[1] - int(run[first]), wanted - ends[0])
                     del asked[k]
+        return spans, bins, ranks
+
+    def sizes(self, quantiles: list[float]) -> DataFrame:
+        """(center, radius, n): how many nodes are in the ball around each root, itself included, by quantile."""
+        schema = "center bigint, radius double, n bigint"
+        if (found := self.located(quantiles)) is None:
+            return self.spark.createDataFrame([], schema)
+        spans, bins, ranks = found
+        top, ids = max(high for _, high in spans.values()), np.arange(len(self.graph.ids))
+        near = settled(self.walk(ids, top, lambda graph: Sizes(graph.ids, spans, bins)), "ball-sizes")
+        radii = _radii(near, ranks)
+        asked = self.spark.createDataFrame(list(radii.items()), "step int, radius double")
+        rows = near.join(F.broadcast(asked), "step").where("kind = 'below' OR value <= radius")
+        return rows.groupBy("step", "center", "radius").agg(F.sum("n").alias("n")).select("center", "radius", "n")
+
+    def spread(self, dates: DataFrame, quantiles: list[float]) -> DataFrame:
+        """(step, center, mean_gap): of the dates (node, day) in the ball around each root, by quantile; none without dates."""
+        if (found := self.located(quantiles)) is None:
+            return self.spark.createDataFrame([], "step int, center bigint, mean_gap double")
+        spans, bins, ranks = found
+        days = dates.where("day IS NOT NULL").select("node", F.unix_date("day").alias("x")).toPandas().sort_values("x")
+        days = days[days["node"].isin(self.graph.ids)]
+        at, x = np.searchsorted(self.graph.ids, days["node"].to_numpy()), days["x"].to_numpy(np.int64)
+        dated = self.spark.sparkContext.broadcast((at, x))
+        everyone = np.arange(len(self.graph.ids))
         top = max(high for _, high in spans.values())
         near = settled(self.walk(everyone, top, lambda graph: Balls(graph.ids, dated.value, spans, bins)), "balls")
-        radii = {}
-        for k, (a, b, part) in ranks.items():
-            inside = near.where((F.col("kind") == "inside") & (F.col("step") == k)).groupBy("value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
-            low, high = inside["value"].to_numpy()[np.searchsorted(np.cumsum(inside["n"].to_numpy()), [a, b], side="right")]
-            radii[k] = float(low + (high - low) * part)
+        radii = _radii(near, ranks)
         open_ = np.array([r["center"] for r in near.where("kind = 'open'").select("center").distinct().collect()], np.int64)
         again = self.walk(np.sort(np.searchsorted(self.graph.ids, open_)), max(radii.values()), lambda graph: Balls(graph.ids, dated.value, radii))
         rest = again.where("kind = 'gap'").join(near.where("kind = 'open'").select("step", "center"), ["step", "center"], "left_semi")
@@ -119,6 +136,16 @@ class Reach:
         return rows.select((F.col("step") + 1).alias("step"), "center", F.col("value").alias("mean_gap"))
 
 
+def _radii(near: DataFrame, ranks: dict[int, tuple[int, int, float]]) -> dict[int, float]:
+    """The quantiles themselves, from the distances in their bins."""
+    radii = {}
+    for k, (a, b, part) in ranks.items():
+        inside = near.where((F.col("kind") == "inside") & (F.col("step") == k)).groupBy("value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
+        low, high = inside["value"].to_numpy()[np.searchsorted(np.cumsum(inside["n"].to_numpy()), [a, b], side="right")]
+        radii[k] = float(low + (high - low) * part)
+    return radii
+
+
 def _table(rows: list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     """kind, step, centers, values, counts."""
     names, kinds = ["kind", "step", "center", "value", "n"], [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
@@ -209,3 +236,31 @@ class Balls:
             value, n = np.unique(np.concatenate(self.inside[k]), return_counts=True)
             rows.append(("inside", k, np.zeros(len(value), np.int64), value, n))
         return _table(rows)
+
+
+class Sizes:
+    """By root: how many nodes are before the bins of each quantile, and the distances in these."""
+
+    def __init__(self, ids: np.ndarray, spans: dict, bins: dict):
+        self.ids, self.spans, self.bins = ids, spans, bins
+        self.below: dict[int, list] = {k: [] for k in spans}
+        self.inside: dict[int, list] = {k: [] for k in spans}
+
+    def add(self, root: int, d: np.ndarray) -> None:
+        near = d[np.isfinite(d)]
+        positive = near[near > 0]
+        for k, span in self.spans.items():
+            first, last = self.bins[k]
+            place = _bin(positive, span)
+            self.below[k].append((root, len(near) - len(positive) + int((place < first).sum())))
+            some = positive[(place >= first) & (place <= last)]
+            self.inside[k].append((np.full(len(some), root), some))
+
+    def table(self) -> pa.Table:
+        rows = []
+        for k in self.spans:
+            root, n = (np.array(c, np.int64) for c in zip(*self.below[k], strict=True)) if self.below[k] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            rows.append(("below", k, self.ids[root], np.zeros(len(root)), n))
+            root, value = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0)), *self.inside[k], strict=True))
+            rows.append(("inside", k, self.ids[root], value, np.ones(len(root), np.int64)))
+        return _table(rows)

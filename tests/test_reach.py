@@ -52,3 +52,14 @@ def test_walks_end_at_the_bound(spark):
 def test_query_writes_no_geodesics(spark, monkeypatch):
     monkeypatch.setattr(A, "geodesics", None)
     assert __spark_entry__.queries()["center_date_correlations"](spark, "/root/testdata/sf0.001").count() == 2
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_ball_sizes_without_a_table_of_distances(spark, whole):
+    nodes, edges, _ = graph(spark, whole)
+    quantiles = [0.05, 0.25, 0.5]
+    found = A.geodesics(edges, nodes.select(F.col("node").alias("root"))).localCheckpoint()
+    radii = A.quantile_radii(found, quantiles)
+    want = [(r["center"], radius, r["count"]) for radius in radii for r in found.where(F.col("distance") <= radius).groupBy(F.col("root").alias("center")).count().collect()]
+    assert sorted(tuple(r) for r in Reach(nodes, edges).sizes(quantiles).collect()) == sorted(want) and len(want) == 180
+    assert Reach(nodes, edges.limit(0)).sizes(quantiles).count() == 0
